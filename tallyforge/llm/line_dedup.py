@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import numbered
 from .scratch import Scratch
 
 #: Up to so many lines to drop (two numbers each) are broadcast.
@@ -49,17 +50,20 @@ def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: st
 def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", percent: int = 10, least_pages: int = 3, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines dropped; with ``counts`` also n_lines and n_dropped."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(boilerplate_lines(docs, host_col=host_col, text_col=text_col, percent=percent, least_pages=least_pages), "boilerplate")
+    work, (host, text) = numbered(docs, host_col, text_col)
+    found = scratch.keep(boilerplate_lines(work, host_col=host, text_col=text, percent=percent, least_pages=least_pages), "boilerplate")
     per_host = found.groupBy("host").agg(F.collect_list("key").alias("_drop")).withColumnRenamed("host", "_host")
     if found.count() <= MOST_BROADCAST:
         per_host = F.broadcast(per_host)
-    joined = docs.withColumn("_at", F.struct(docs[host_col].alias("v"))).join(per_host, F.col("_at") == F.col("_host"), "left")
-    lines = _lines(F.col(text_col))
+    joined = work.withColumn("_at", F.struct(F.col(host).alias("v"))).join(per_host, F.col("_at") == F.col("_host"), "left")
+    lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x)))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    columns = [cleaned.alias(c) if c == text else F.col(c) for c in work.columns]
+    names = list(docs.columns)
     if counts:
-        n = F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
-        left = F.when(F.col("_drop").isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept)).cast("long")
+        n = F.coalesce(F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
+        left = F.when(F.col("_drop").isNull() | F.col(text).isNull(), n).otherwise(F.size(kept)).cast("long")
         columns += [n.alias("n_lines"), (n - left).alias("n_dropped")]
-    return joined.select(*columns)
+        names += ["n_lines", "n_dropped"]
+    return joined.select(*columns).toDF(*names)

@@ -19,6 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import numbered
 from .scratch import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -28,16 +29,24 @@ ROUNDS = 12
 
 
 def tokens(text: Column) -> Column:
-    """White-space separated words of a text."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    """White-space separated words of a text: the parts of a split, less an empty first and last one."""
+    blank = [" ", "\t", "\n", "\x0b", "\f", "\r"]
+    ends = F.substring(text, 1, 1).isin(blank).cast("long") + F.substring(text, -1, 1).isin(blank).cast("long")
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, r"[\x20\x09-\x0D]+")) - ends).cast("long")
+
+
+def _times(text: Column, marks: str) -> Column:
+    """How often the marks occur: byte searches, which cost little where a mark is rare."""
+    left = text
+    for m in marks:
+        left = F.replace(left, F.lit(m), F.lit(""))
+    return F.length(text) - F.length(left)
 
 
 def topic(text: Column) -> Column:
     """A coarse default topic: tables, marked-up text, notes of a few lines, or prose."""
-    pipes = F.length(text) - F.length(F.translate(text, "|", ""))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&<>", ""))
-    return F.when(text.isNull(), "none").when(pipes * 20 > F.length(text), "table").when(marks * 20 > F.length(text), "markup").when(F.length(text) < 300, "note").otherwise("prose")
+    pipes, marks, size = _times(text, "|"), _times(text, "#*$%&<>"), F.length(text)
+    return F.when(text.isNull(), "none").when(pipes * 20 > size, "table").when(marks * 20 > size, "markup").when(size < 300, "note").otherwise("prose")
 
 
 def calibrated_cells(cells: DataFrame, *, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -88,15 +97,12 @@ def mix(
 ) -> DataFrame:
     """The sampled documents; with ``details`` every document's id, tokens, cell, factor, probability and decision instead."""
     spark = docs.sparkSession
-    marked = docs.withColumns(
-        {
-            "_source": docs[source_col].cast("string"),
-            "_lang": docs[lang_col].cast("string"),
-            "_topic": topic_expr if topic_expr is not None else topic(docs[text_col].cast("string")),
-        }
-    )
+    own = docs if topic_expr is None else docs.withColumn("_topic_given", topic_expr)
+    work, (key, text, source, lang) = numbered(own, id_col, text_col, source_col, lang_col)
+    given = topic(F.col(text).cast("string")) if topic_expr is None else F.col(work.columns[-1])
+    marked = work.withColumns({"_source": F.col(source).cast("string"), "_lang": F.col(lang).cast("string"), "_topic": given})
     names = {"_source": "source", "_lang": "lang", "_topic": "topic"}
-    summed = marked.withColumn("_tokens", tokens(F.col(text_col).cast("string"))).groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
+    summed = marked.withColumn("_tokens", tokens(F.col(text).cast("string"))).groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
     scratch = Scratch(spark)
     cells = scratch.keep(summed.withColumnsRenamed(names), "cells")
     factors = calibrated_cells(cells, targets=targets, rounds=rounds).select(*[F.struct(F.col(n).alias("v")).alias(f"_k{o}") for o, n in names.items()], F.col("factor").alias("_factor"))
@@ -104,13 +110,13 @@ def mix(
     condition = [F.col(f"_j{o}") == F.col(f"_k{o}") for o in names]
     joined = keyed.join(factors, condition, "left")
     chance = F.least(F.lit(1.0), F.lit(float(rate)) * F.col("_factor"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
     if details:
         return joined.select(
-            F.col(id_col), tokens(F.col(text_col).cast("string")).alias("n_tokens"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+            F.col(key).alias(id_col), tokens(F.col(text).cast("string")).alias("n_tokens"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
             F.round("_factor", 6).alias("factor"), F.round(chance, 6).alias("probability"), (draw < chance).alias("kept"),
         )
-    return joined.filter(draw < chance).select(*docs.columns)
+    return joined.filter(draw < chance).select(*work.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def mix_sql(rounds: int = ROUNDS, seed: str = "mix", source: str = "documents") -> str:
