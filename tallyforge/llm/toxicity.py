@@ -27,6 +27,8 @@ from .words import blocks, mix, raw
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
+#: Bytes of text worked on at once: an n-gram takes about 50 bytes while it is counted.
+BLOCK = 1 << 20
 #: Fixed seed of the features' hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,23 +58,29 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np
     return text[keep], bucket[keep]
 
 
-def presence(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) pairs, or (text number, index in ``known``) of the known buckets alone."""
+def presence(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order, the distinct (text number, bucket) pairs, or (text number, index in ``known``) of the known buckets alone."""
     data, offsets = raw(column)
     lookup = None
     if known is not None:
         lookup = np.full(1 << BITS, -1, dtype=np.int32)
         lookup[known] = np.arange(len(known))
-    keys = []
     for order in ORDERS:
         text, bucket = ngram_buckets(data, offsets, order)
         if lookup is not None:
             found = lookup[bucket]
             hit = found >= 0
             text, bucket = text[hit], found[hit].astype(np.int64)
-        keys.append(text << BITS | bucket)
-    pairs = np.unique(np.concatenate(keys))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+        pairs = np.unique(text << BITS | bucket)
+        yield pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def features_of(column: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, index in ``known``) over all orders, by text."""
+    parts = list(presence(column, known))
+    text, index = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(text, kind="stable")
+    return text[order], index[order]
 
 
 def _labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_rows: int, scratch: Scratch) -> DataFrame:
@@ -88,12 +96,12 @@ def _counts(sample: DataFrame) -> DataFrame:
         total = np.zeros((2, 1 << BITS), dtype=np.int32)
         rows = np.zeros(2, dtype=np.int64)
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 y = block.column(1).to_numpy(zero_copy_only=False)
-                text, bucket = presence(block.column(0))
-                for c in (0, 1):
-                    total[c] += np.bincount(bucket[y[text] == c], minlength=1 << BITS).astype(np.int32)
-                    rows[c] += int((y == c).sum())
+                for text, bucket in presence(block.column(0)):
+                    for c in (0, 1):
+                        total[c] += np.bincount(bucket[y[text] == c], minlength=1 << BITS).astype(np.int32)
+                rows += [int((y == 0).sum()), int((y == 1).sum())]
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[0][some], rows[0]), pa.int64()), pa.array(np.append(total[1][some], rows[1]), pa.int64())], names=["bucket", "n0", "n1"])
 
@@ -131,8 +139,8 @@ def fit(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text"):
-                text, index = presence(block.column(0), features)
+            for block in blocks(batch, "text", BLOCK):
+                text, index = features_of(block.column(0), features)
                 at = np.searchsorted(text, np.arange(block.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([block.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(index, pa.int32()))], names=["y", "index"])
 
@@ -174,8 +182,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text"):
-                text, index = presence(block.column(1), features)
+            for block in blocks(batch, "text", BLOCK):
+                text, index = features_of(block.column(1), features)
                 z = np.bincount(text, weights=weights[index], minlength=block.num_rows) + intercept
                 s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
@@ -191,8 +199,8 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), f"c{place}"):
-                text, index = presence(block.column(place), features)
+            for block in blocks(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), f"c{place}", BLOCK):
+                text, index = features_of(block.column(place), features)
                 z = np.bincount(text, weights=weights[index], minlength=block.num_rows) + intercept
                 yield block.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold)).rename_columns(batch.schema.names)
 

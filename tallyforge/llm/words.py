@@ -64,13 +64,13 @@ class Words(NamedTuple):
     code: np.ndarray
 
 
-def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about BLOCK_BYTES of text each; a longer text stands alone."""
+def blocks(batch: pa.RecordBatch, text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each; a longer text stands alone."""
     column = batch.column(batch.schema.get_field_index(text))
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(sizes) // BLOCK_BYTES
+    group = np.cumsum(sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
