@@ -66,7 +66,8 @@ def _strength(level: DataFrame) -> Column:
     s2 = k * spread / ((k - 1) * n)
     top = mean * (1 - mean) - s2
     low = s2 - mean * (1 - mean) / k * F.sum(1 / F.col("n"))
-    return F.when((k < 2) | (n <= 0) | (low <= 0) | (top <= 0), F.lit(STRENGTH[1])).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), top / low)))
+    # No spread beyond chance: the strongest prior; more spread than rates can have: the weakest.
+    return F.when((k < 2) | (n <= 0) | (low <= 0), F.lit(STRENGTH[1])).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), top / low)))
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most_bad: float = MOST_BAD) -> DataFrame:
@@ -129,7 +130,7 @@ def url_filter_sql() -> str:
     """DuckDB SQL for ``url_filter`` over pages, labels (quality 0 is bad) and RULES."""
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
     level = f"""count(*)::double as k, sum(n)::double as n, sum(bad)::double as bad, sum(bad * bad / n::double) as sq, sum(1.0 / n) as inv"""
-    strength = f"case when k < 2 or n <= 0 or low <= 0 or top <= 0 then {STRENGTH[1]} else greatest({STRENGTH[0]}, least({STRENGTH[1]}, top / low)) end"
+    strength = f"case when k < 2 or n <= 0 or low <= 0 then {STRENGTH[1]} else greatest({STRENGTH[0]}, least({STRENGTH[1]}, top / low)) end"
 
     def moments(name: str, source: str) -> str:
         return f"""{name} as (select {strength} as v from (select k, n, m * (1 - m) - s2 as top, s2 - m * (1 - m) / k * inv as low
