@@ -80,7 +80,7 @@ def canonical_division(code: Column) -> Column:
     """Division code with its spellings folded; unknown codes pass through."""
     s = F.trim(code)
     squeezed = F.regexp_replace(s, "[^0-9]", "")
-    return F.when(squeezed.isin("10", "11", "12", "1012"), "10-12").when(s.rlike(r"^\d$"), F.lpad(s, 2, "0")).otherwise(s)
+    return F.when(squeezed.isin("10", "11", "12", "1012"), "10-12").when(squeezed.isin("31", "32", "3132"), "31-32").when(s.rlike(r"^\d$"), F.lpad(s, 2, "0")).otherwise(s)
 
 
 def classify_division(hint: Column, text: Column) -> Column:

@@ -17,9 +17,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import civic_numbers, normalize_job, normalize_name, phrase_in, prefix_candidates, street_signature
 
-#: Rows of a dimension up to which a join without an equality key may broadcast it.
-SMALL = 100_000
-
 
 def docs_with_text(documents: DataFrame, texts: DataFrame) -> DataFrame:
     """Documents that are not in the trash, with their text where there is one."""
@@ -58,9 +55,12 @@ def precedence_join(keys: DataFrame, strategies: Sequence[Strategy]) -> DataFram
     return out.select("key", F.col("hit.target").alias("target"), F.coalesce("hit.method", F.lit("unresolved")).alias("method"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"))
 
 
-def _near(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """A join without an equality key, of distinct values against a dimension: broadcast where the dimension is counted and small."""
-    return left.join(F.broadcast(right) if right.count() <= SMALL else right, condition)
+def containing(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs in which a name contains a key, by equality on the key's first characters (up to three), which stand somewhere in the name."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.array(*[F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)])))
+    left = keys.filter(F.length(key) > 0).withColumn("_g", F.substring(key, 1, 3))
+    right = names.filter(F.length(name) > 0).withColumn("_g", F.explode(F.array_distinct(grams)))
+    return left.join(right, "_g").filter(F.contains(F.col(name), F.col(key))).drop("_g")
 
 
 def token_phrases(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:
@@ -301,7 +301,7 @@ def filename_resolver(files: DataFrame, projects: DataFrame, vendors: DataFrame)
     dim = vendors.select(F.col("id").alias("target"), squeeze(F.col("name")).alias("slug"))
     keys = parsed.filter("vendor_slug is not null").select(F.col("vendor_slug").alias("key")).distinct()
     exact = keys.join(dim, squeeze(F.col("key")) == F.col("slug")).select("key", "target")
-    inside = _near(keys, dim, F.contains(F.col("slug"), squeeze(F.col("key")))).select("key", "target")
+    inside = containing(keys.withColumn("_k", squeeze(F.col("key"))), "_k", dim, "slug").select("key", "target")
     vendor = precedence_join(keys, [Strategy(exact, "exact", 1.0, True), Strategy(inside, "contains", 0.8, True)])
     out = parsed.join(projects.select(F.col("id").alias("project_id"), "code"), "code", "left")
     return out.join(vendor.select(F.col("key").alias("vendor_slug"), F.col("target").alias("vendor_id"), F.col("method").alias("vendor_method")), "vendor_slug", "left")

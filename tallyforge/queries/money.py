@@ -214,7 +214,7 @@ def _hits(hay: str, words) -> str:
 _HAY = "concat(name, ' ', folder_path, ' ', coalesce(body, ''))"
 _CONTRACT = "mime_type in ('application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document')"
 _CAND = f""", s as (select *, {_hits(_HAY, S.FINANCIAL_KEYWORDS)} as hits from document where not is_trashed and trim(coalesce(body, '')) <> '' and mime_type <> 'image/jpeg'
- and not regexp_matches(name, '(?i)pro ?forma|underwriting|projection|acquisition|valuation') and not regexp_matches(concat(name, ' ', folder_path), '(?i)\\bphoto|\\bdrawing|\\bplan view|\\brendering')),
+ and not regexp_matches(name, '(?i)acquisition model|pro-?forma|projection|valuation|underwriting') and not regexp_matches(concat(name, ' ', folder_path), '(?i)\\bphoto|\\bdrawing|\\bplan view|\\brendering')),
 k as (select *, greatest(hits, 1) as score, least(length(body), 20000) as chars from s where hits > 0 or {_CONTRACT}),
 o as (select *, row_number() over w as rank, coalesce(sum(chars) over (w rows between unbounded preceding and 1 preceding), 0) as before from k window w as (partition by project_id order by score desc, modified desc, id)),
 cand as (select project_id, id, score, rank, least(chars, 120000 - before)::bigint as chars from o where rank <= 25 and before < 120000)

@@ -81,7 +81,7 @@ def canonical_division(v):
 def classify_division(v):
     k = F.col("p_partkey") % 6
     hint = F.when(k == 0, "Div. 22").when(k == 1, "Painting - paints")
-    text = F.when(k == 2, "Demolition of wall").when(k == 3, "Électricité et éclairage").when(k == 4, "Kitchens").otherwise(F.lit("zzz"))
+    text = F.when(k == 2, "Demolition of wall").when(k == 3, "Électricité et éclairage").when(k == 4, "Cabinets").otherwise(F.lit("zzz"))
     return v("part").select("p_partkey", M.classify_division(hint, text).alias("division"))
 
 

@@ -59,7 +59,7 @@ def recency_vote(v):
 , n as (select project_id as note_id, concat('Task ', project_id % 5 + 1, ' done of ', project_id) as text, project_id from (select distinct project_id from task)),
 j as (select t.*, note_id, {_TOK.format('title')} as w, {_TOK.format('text')} as nt, abs(date_diff('day', date '{TODAY}', start_date)) as days from task t join n using (project_id)),
 s as (select note_id, id, case when status in ('IN_PROGRESS', 'BLOCKED') then 'active' when status = 'DONE' then 'done' else 'upcoming' end as bucket,
- round(0.5 * case status when 'IN_PROGRESS' then 1.0 when 'BLOCKED' then 0.9 when 'TODO' then 0.6 when 'DONE' then 0.2 else 0.3 end::double + 0.3::double * (len(list_intersect(w, nt))::double / len(w)) + 0.2::double * (case when days <= 7 then 1.0 when days <= 14 then 0.85 when days <= 30 then 0.65 when days <= 60 then 0.45 when days <= 90 then 0.30 else 0.15 end)::double, 6) as score from j)
+ round(0.5 * case status when 'IN_PROGRESS' then 1.0 when 'BLOCKED' then 0.95 when 'TODO' then 0.55 when 'DONE' then 0.1 else 0.3 end::double + 0.3::double * (len(list_intersect(w, nt))::double / len(w)) + 0.2::double * (case when days <= 7 then 1.0 when days <= 14 then 0.85 when days <= 30 then 0.65 when days <= 60 then 0.45 when days <= 90 then 0.30 else 0.15 end)::double, 6) as score from j)
 select *, row_number() over (partition by note_id, bucket order by score desc, id)::int as rank from s""")
 def task_relevance(v):
     tasks = v("task")
