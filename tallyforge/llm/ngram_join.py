@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .columns import numbered
 from .components import connected_components
-from .scratch import Scratch
+from ..scratch import Scratch
 from .words import blocks, distinct_sorted, mix, shingles, words
 
 SKETCH_BITS = 22
@@ -50,6 +51,8 @@ CHUNK_BITS = 14
 MOST_BROADCAST = 1_000_000
 #: Members of one list that one task takes at most; a longer list is dealt out by salt.
 LIST_SHARE = 4096
+#: Bits of a set's parity signature: bit i tells whether an odd number of its shingles fall on i.
+PARITY_BITS = 1024
 #: Boundaries weighed against one another.
 BOUNDARIES = (0, 4, 8, 12, 16, 20, 24, 32, 40, 48, 64)
 
@@ -103,7 +106,7 @@ def _estimate(levels: np.ndarray, noise: float) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, levels, noise: float) -> DataFrame:
-    """Per row of (id, text): n, two 64-bit sums that tell sets apart, the prefix for k = 2 (in order) and the cost of scanning its lists."""
+    """Per row of (id, text): n, two 64-bit sums that tell sets apart, the prefix for k = 2 (in order), the cost of scanning its lists and the parity bits of the set."""
     table = levels
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +129,16 @@ def shingle_sets(docs: DataFrame, levels, noise: float) -> DataFrame:
                     prefixes.append(flat[a:b][first])
                     costs.append(float(_estimate(rank[a:b][first[: (b - a) // 4 + 1]], noise).sum()))
                 ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
+                slots = np.repeat(np.arange(len(n)), n) * PARITY_BITS + (flat & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+                odd = np.bincount(slots, minlength=len(n) * PARITY_BITS) & 1
+                parity = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+                starts = np.arange(0, len(parity) + 1, PARITY_BITS // 64, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64))), pa.array(costs, pa.float64())],
-                    names=["id", "n", "s1", "s2", "prefix", "scan"],
+                    [block.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64))), pa.array(costs, pa.float64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(parity))],
+                    names=["id", "n", "s1", "s2", "prefix", "scan", "parity"],
                 )
 
-    return docs.mapInArrow(build, f"id {docs.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, prefix array<long>, scan double")
+    return docs.mapInArrow(build, f"id {docs.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, prefix array<long>, scan double, parity array<long>")
 
 
 def choose_boundary(sets: DataFrame) -> int:
@@ -189,10 +196,16 @@ def postings(sets: DataFrame, boundary: int, levels, noise: float) -> DataFrame:
 
 
 def _may_link(a: str, b: str):
-    """Size filter, and for two places in one list the positional bound on the overlap."""
+    """Size filter, and what must hold at the first shingle in the order that a linked pair shares: all that it shares stands from there on."""
     na, nb, pa_, pb = (F.col(f"{x}.{y}") for x, y in ((a, "n"), (b, "n"), (a, "pos"), (b, "pos")))
-    bound = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & ((pa_ < 0) | (pb < 0) | (bound >= required(na, nb)))
+    least = required(na, nb)
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & ((pa_ < 0) | (pb < 0) | ((na - pa_ >= least) & (nb - pb >= least)))
+
+
+def _parity_allows(a: str, b: str):
+    """No linked pair fails this: bits that differ are at most as many as the shingles only one set has, of which a linked pair has a seventh of m + n at most."""
+    differ = sum((F.bit_count(F.get(F.col(f"{a}.parity"), i).bitwiseXOR(F.get(F.col(f"{b}.parity"), i))) for i in range(1, PARITY_BITS // 64)), F.bit_count(F.get(F.col(f"{a}.parity"), 0).bitwiseXOR(F.get(F.col(f"{b}.parity"), 0))))
+    return differ * 7 <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -219,25 +232,25 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) ->
 
 
 def near_candidates(lists: DataFrame, most: int = 3) -> DataFrame:
-    """Step one: each set with up to ``most`` list neighbours it stands beside most often. Which ones are tried first decides the speed only; step two tries every pair that is left."""
-    near = lists.filter("prev is not null").select(F.col("prev").alias("p"), F.struct("id", "n", "pos").alias("q"))
+    """Step one: each set with up to ``most`` of those that lead its lists or stand before it, most frequent first. Which ones are tried decides the speed only; step two tries every pair that is left."""
+    near = lists.filter("prev is not null").select(F.explode(F.array("first", "prev")).alias("p"), F.struct("id", "n", "pos").alias("q"))
     near = near.filter("p.id <> q.id").filter(_may_link("p", "q"))
     counted = near.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
     return counted.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select("a", "b")
 
 
-def cross_candidates(lists: DataFrame, known: DataFrame) -> DataFrame:
+def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame) -> DataFrame:
     """Step two: every pair of one list that lies in different components and may link."""
     owned = lists.select("key", "id", "n", "pos").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1").drop("parts")
-    open_lists = owned.join(split, "key")
-    small = open_lists.filter("component <> largest").select("key", F.struct("id", "n", "pos", "component").alias("p"))
-    rest = open_lists.select("key", F.struct("id", "n", "pos", "component").alias("q"), "largest")
+    open_lists = owned.join(split, "key").join(parities, ["id", "n"])
+    small = open_lists.filter("component <> largest").select("key", F.struct("id", "n", "pos", "component", "parity").alias("p"))
+    rest = open_lists.select("key", F.struct("id", "n", "pos", "component", "parity").alias("q"), "largest")
     # Two members outside the largest component meet twice; one of the two is enough.
     once = (F.col("q.component") == F.col("largest")) | (F.col("p.component") < F.col("q.component"))
-    met = small.join(rest, "key").filter(once & (F.col("p.component") != F.col("q.component"))).filter(_may_link("p", "q"))
+    met = small.join(rest, "key").filter(once & (F.col("p.component") != F.col("q.component"))).filter(_may_link("p", "q")).filter(_parity_allows("p", "q"))
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
@@ -262,13 +275,16 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     boundary = choose_boundary(single)
     emitted = postings(single, boundary, table, noise)
-    order = Window.partitionBy("key", "salt").orderBy("n", "id")
-    shared = emitted.withColumn("prev", F.lag(F.struct("id", "n", "pos")).over(order)).withColumn("next", F.lead("n").over(order))
+    # A set that others are copies of has few rare shingles of its own: its shared ones stand early, so it leads its lists.
+    order = Window.partitionBy("key", "salt").orderBy("pos", "n", "id")
+    member = F.struct("id", "n", "pos")
+    first = F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    shared = emitted.withColumns({"prev": F.lag(member).over(order), "first": first, "next": F.lead("n").over(order)})
     lists = scratch.keep(shared.filter("prev is not null or next is not null or salt > 0").drop("next"), "lists")
 
     links = verified(near_candidates(lists), picked, scratch, "near")
     known = connected_components(links, scratch, "cc1")
-    more = verified(cross_candidates(lists, known), picked, scratch, "cross")
+    more = verified(cross_candidates(lists, known, sets.select("id", F.col("n").cast("int").alias("n"), "parity")), picked, scratch, "cross")
     final = connected_components(links.unionByName(more), scratch, "cc2")
     scratch.drop("lists", "copies", "near-links", "cross-links")
 
@@ -287,4 +303,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession)
     gone = scratch.keep(gone, "gone")
     small = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    work, (key,) = numbered(docs, id_col)
+    return work.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_gone"), "left_anti").toDF(*docs.columns)
