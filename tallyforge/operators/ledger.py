@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.money import classify_division, classify_extras_status, classify_sheet, division_name, doc_currency, doc_status, doc_unit, is_tax_line, parse_grid_money
 from ..functions.text import amount_in_text, document_numbers, fold_accents
+from ..scratch import Scratch
 
 MONEY = "decimal(18,2)"
 
@@ -136,7 +137,8 @@ def ledger_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sections = split_workbook_sections(documents)
     typed = sections.withColumn("sheet_type", classify_sheet(F.concat_ws(" ", "name", "sheet"), F.col("body")))
     first = typed.groupBy("document_id", "sheet_type").agg(F.min(F.struct("position", "name", "sheet", "body")).alias("m")).select("document_id", "sheet_type", "m.*").filter(F.col("sheet_type").isin("quote", "extras"))
-    lines = grid_lines(first)
+    # Cells are read twice (as change orders, then as grids), so they are split once and written.
+    lines = Scratch(documents.sparkSession).keep(grid_lines(first), "lines")
     kinds = first.select("document_id", "position", "sheet_type")
     extras = parse_extras_grid(lines.join(kinds.filter("sheet_type = 'extras'"), ["document_id", "position"], "left_semi"))
     bare = kinds.join(extras.select("document_id", "position").distinct(), ["document_id", "position"], "left_anti")

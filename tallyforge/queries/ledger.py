@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..scratch import Scratch
 from .registry import query
 
 
@@ -17,6 +18,7 @@ def quote_sheets(v):
     body = F.concat(F.col("division"), F.lit(",,,,"), money(F.col("total")), F.lit("\n"), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("    "), x["product_name"], F.lit(",,"), money(x["subtotal"]), F.lit(",$1.00,"))), "\n"))
     text = F.concat(F.lit("ESTIMATE\nDescription,Notes,Material Amount (CAD),Labour Amount (CAD),Total Amount (CAD)\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("division", "body"))), lambda x: x["body"]), "\n"), F.lit('\n,Pre-Tax,,,"$'), F.format_number(F.sum("total"), 2), F.lit('"'))
     sheets = ordered.withColumn("body", body).groupBy("receipt_id").agg(text.alias("text"))
+    sheets = Scratch(v.spark).keep(sheets, "sheets")
     return sheets.select(F.col("receipt_id").alias("document_id"), F.concat(F.lit("9"), F.lpad((F.col("receipt_id") % 100).cast("string"), 2, "0"), F.lit(" ACCEPTED QUOTE")).alias("name"), "text")
 
 
