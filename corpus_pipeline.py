@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import line_dedup, mixing, ngram_join, sentencepiece_nbest, toxicity
-from tallyforge.llm.scratch import Scratch
+from tallyforge.scratch import Scratch
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from tallyforge.llm import sentencepiece_nbest as S
 from tallyforge.llm import toxicity as T
 from tallyforge.llm import url_filter as U
 from tallyforge.llm import warc as W
-from tallyforge.llm.scratch import Scratch
+from tallyforge.scratch import Scratch
 
 from .conftest import words
 
