@@ -240,9 +240,21 @@ def near_candidates(lists: DataFrame, most: int = 3) -> DataFrame:
     return counted.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select("a", "b")
 
 
+def telling_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members only the one whose shingle comes first in the order.
+
+    The shingles of a shared passage all have the same list. The first shingle that a
+    pair shares is the first of its kind, so no pair loses the list that shows it.
+    """
+    id_hash = [F.bit_xor(F.xxhash64(F.col("id"), F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    marks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *id_hash, F.sum("pos").alias("place"))
+    first = marks.groupBy("members", "x0", "x1").agg(F.min(F.struct("place", "key")).alias("m")).select(F.col("m.key").alias("key"))
+    return lists.join(first, "key", "left_semi")
+
+
 def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame) -> DataFrame:
     """Step two: every pair of one list that lies in different components and may link."""
-    owned = lists.select("key", "id", "n", "pos").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    owned = telling_lists(lists.select("key", "id", "n", "pos")).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1").drop("parts")
     open_lists = owned.join(split, "key").join(parities, ["id", "n"])
