@@ -151,7 +151,7 @@ def choose_boundary(sets: DataFrame) -> int:
 
 
 def postings(sets: DataFrame, boundary: int, levels, noise: float) -> DataFrame:
-    """(key, salt, id, n, pos): 2-subsets of light sets, prefix shingles of those that may meet a heavy one (pos: place in the order, else -1)."""
+    """(key, salt, id, n, s1, pos): 2-subsets of light sets, prefix shingles of those that may meet a heavy one (pos: place in the order, else -1)."""
     id_type = sets.schema["id"].dataType.simpleString()
     table = levels
 
@@ -188,11 +188,11 @@ def postings(sets: DataFrame, boundary: int, levels, noise: float) -> DataFrame:
                 salt = (mix(row.astype(np.uint64) + np.uint64(begin) + mix(n[row].astype(np.uint64))) % np.maximum(shares, np.uint64(1))).astype(np.int32)
                 salt = np.where(shares > 1, salt + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(salt), batch.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["key", "salt", "id", "n", "pos"],
+                    [pa.array(key.view(np.int64)), pa.array(salt), batch.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), batch.column(3).take(pa.array(row)), pa.array(np.concatenate(places).astype(np.int32))],
+                    names=["key", "salt", "id", "n", "s1", "pos"],
                 )
 
-    return sets.select("id", "n", "prefix").mapInArrow(emit, f"key long, salt int, id {id_type}, n int, pos int")
+    return sets.select("id", "n", "prefix", "s1").mapInArrow(emit, f"key long, salt int, id {id_type}, n int, s1 long, pos int")
 
 
 def _may_link(a: str, b: str):
@@ -245,19 +245,22 @@ def telling_lists(lists: DataFrame) -> DataFrame:
 
     The shingles of a shared passage all have the same list. The first shingle that a
     pair shares is the first of its kind, so no pair loses the list that shows it.
+    A member is a set of an id (an id may have several) and stands once in a list.
+    Beside the XOR of their hashes the lists have a sum, in which equal members do
+    not cancel; it takes the upper halves, which cannot overflow.
     """
-    id_hash = [F.bit_xor(F.xxhash64(F.col("id"), F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    marks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *id_hash, F.sum("pos").alias("place"))
+    mark = [F.xxhash64("id", "s1", F.lit(k)) for k in (0, 1)]
+    marks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(mark[0]).alias("x0"), F.sum(F.shiftright(mark[1], 32)).alias("x1"), F.sum("pos").alias("place"))
     first = marks.groupBy("members", "x0", "x1").agg(F.min(F.struct("place", "key")).alias("m")).select(F.col("m.key").alias("key"))
     return lists.join(first, "key", "left_semi")
 
 
 def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame) -> DataFrame:
     """Step two: every pair of one list that lies in different components and may link."""
-    owned = telling_lists(lists.select("key", "id", "n", "pos")).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    owned = telling_lists(lists.select("key", "id", "n", "s1", "pos")).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1").drop("parts")
-    open_lists = owned.join(split, "key").join(parities, ["id", "n"])
+    open_lists = owned.join(split, "key").join(parities, ["id", "n", "s1"])
     small = open_lists.filter("component <> largest").select("key", F.struct("id", "n", "pos", "component", "parity").alias("p"))
     rest = open_lists.select("key", F.struct("id", "n", "pos", "component", "parity").alias("q"), "largest")
     # Two members outside the largest component meet twice; one of the two is enough.
@@ -280,10 +283,15 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     several = scratch.keep(classes.filter("rows > 1").drop("rows"), "classes")
     held = F.broadcast(several) if several.count() <= MOST_BROADCAST else several
-    # Narrow rows only: what is not the first of its class.
-    copies = sets.filter("n > 0").select("id", *keys).join(held, keys).filter("id <> rep or id is null")
-    spare = scratch.keep(copies.select("id").filter("id is not null").distinct(), "copies")
-    single = sets.filter("n > 0 and id is not null").join(F.broadcast(spare) if spare.count() <= MOST_BROADCAST else spare, "id", "left_anti")
+    # One row stands for a class: the copies of its set go, not the other sets of their ids.
+    named = sets.filter("id is not null")
+    lead = scratch.keep(named.join(held, keys).filter("id = rep").drop("rep").select(*sets.columns).dropDuplicates(["id", *keys]), "lead")
+    single = named.filter("n > 0").join(held, keys, "left_anti").select(*sets.columns).unionByName(lead)
+    # An id with several sets is one node: it ties the classes that its sets are copies in.
+    span = [f(c).alias(f"{c}{k}") for c in keys for k, f in enumerate((F.min, F.max))]
+    several_sets = named.groupBy("id").agg(*span).filter(" or ".join(f"{c}0 <> {c}1" for c in keys)).select("id")
+    held_by = named.select("id", *keys).join(several_sets, "id").join(held, keys).filter("id <> rep")
+    ties = scratch.keep(held_by.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "ties")
 
     boundary = choose_boundary(single)
     emitted = postings(single, boundary, table, noise)
@@ -294,26 +302,31 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = emitted.withColumns({"prev": F.lag(member).over(order), "first": first, "next": F.lead("n").over(order)})
     lists = scratch.keep(shared.filter("prev is not null or next is not null or salt > 0").drop("next"), "lists")
 
-    links = verified(near_candidates(lists), picked, scratch, "near")
+    links = verified(near_candidates(lists), picked, scratch, "near").unionByName(ties)
     known = connected_components(links, scratch, "cc1")
-    more = verified(cross_candidates(lists, known, sets.select("id", F.col("n").cast("int").alias("n"), "parity")), picked, scratch, "cross")
+    more = verified(cross_candidates(lists, known, single.select("id", F.col("n").cast("int").alias("n"), "s1", "parity")), picked, scratch, "cross")
     final = connected_components(links.unionByName(more), scratch, "cc2")
-    scratch.drop("lists", "copies", "near-links", "cross-links")
+    scratch.drop("lists", "lead", "ties", "near-links", "cross-links")
 
     small = final.count() <= MOST_BROADCAST
     final = final.select(F.col("node").alias("rep"), "component")
     rows = sets.select("id", *keys).join(held, keys, "left").withColumn("rep", F.coalesce("rep", "id"))
     rows = rows.join(F.broadcast(final) if small else final, "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")).alias("class_id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names its component; rows with a null id stay."""
+    """One row of ``docs``, all columns, per id that names its component: of an id's rows the one with the least text; rows with a null id stay."""
     found = link_components(docs, id_col=id_col, text_col=text_col)
     gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
     scratch = Scratch(docs.sparkSession)
     gone = scratch.keep(gone, "gone")
     small = gone.count() <= MOST_BROADCAST
-    work, (key,) = numbered(docs, id_col)
-    return work.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    work, (key, text) = numbered(docs, id_col, text_col)
+    kept = work.join(F.broadcast(gone) if small else gone, F.col(key) == F.col("_gone"), "left_anti")
+    again = scratch.keep(docs.groupBy(docs[id_col].alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and _again is not null").drop("n"), "again")
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+    repeated = F.col(key) == F.col("_again")
+    row = F.min_by(F.struct(*work.columns), F.struct(F.col(text).isNull(), F.col(text))).alias("row")
+    one = kept.join(again, repeated, "left_semi").groupBy(key).agg(row).select("row.*")
+    return kept.join(again, repeated, "left_anti").unionByName(one).toDF(*docs.columns)

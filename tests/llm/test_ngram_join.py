@@ -101,3 +101,33 @@ def test_one_of_each_keeps_the_smallest_id(odd_docs):
     assert kept.columns == odd_docs.columns
     want = brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
+
+
+def chained(rng):
+    """Texts that share passages, so that the three tries of step one leave links to step two."""
+    rows = near_copies(rng, n_groups=10, copies=5)
+    core = words(rng, 120).split()
+    return rows + [(1000 + k, " ".join(core[k * 3 :] + [f"v{k}x{j}" for j in range(3 * k)])) for k in range(25)]
+
+
+def test_a_table_unioned_with_itself(spark, monkeypatch):
+    rows = chained(random.Random(6))
+    for most in (3, 0):
+        monkeypatch.setattr(ngram_join.near_candidates, "__defaults__", (most,))
+        check(spark, rows + rows)
+
+
+def test_lists_of_repeated_members_stay_apart(spark):
+    members = {1: "AAB", 2: "CCB", 3: "DDEE", 4: "FFGG", 5: "HJ", 6: "HJ"}
+    lists = spark.createDataFrame([(k, ord(m), 9, ord(m), k) for k, ms in members.items() for m in ms], "key long, id long, n int, s1 long, pos int")
+    assert {r.key for r in ngram_join.telling_lists(lists).select("key").distinct().collect()} == {1, 2, 3, 4, 5}
+
+
+def test_an_id_keeps_its_other_texts(spark):
+    rng = random.Random(7)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    # 2 ties the classes of a and b; its third text is near 4's; 6 has an empty row and a copy; 8 has two texts.
+    rows = [(1, a), (2, a), (3, b), (2, b), (2, c), (4, c + " tail"), (5, d), (6, d), (6, ""), (8, words(rng, 30)), (8, words(rng, 31)), (8, None)]
+    check(spark, rows)
+    got = ngram_join.one_of_each(spark.createDataFrame(rows + rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 5, 8]
