@@ -107,7 +107,8 @@ def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], object]:
     for i, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())):
         lines = [x for x in whole[a:b].split(b"\n") if x.strip(b" \t\n\v\f\r")]
         dup_lines[i] = len(lines) - len(set(lines))
-    hashes, at = shingles(w)
+    # Repeats are told by the words as they stand: their hashes fold case.
+    hashes, at = shingles(w._replace(code=_cased(w)))
     windows = np.where(count >= SHINGLE, np.diff(at), 0)
     covered = np.zeros(len(w.code) + 1, dtype=np.int64)
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -158,6 +159,8 @@ def fertility(w, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _cased(w) -> np.ndarray:
     """Word hashes that tell capitals apart."""
+    if not len(w.code):
+        return w.code
     upper = ((w.data >= 65) & (w.data <= 90)).astype(np.uint64)
     place = (np.arange(len(w.data), dtype=np.uint64) - np.repeat(w.start, np.diff(np.append(w.start, len(w.data)))).astype(np.uint64)) if w.start[0] == 0 else None
     if place is None:

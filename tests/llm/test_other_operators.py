@@ -224,6 +224,23 @@ def test_quality_counts_and_fertility_match_brute_force(odd_docs, no_docs):
     assert Q.quality_rules(no_docs).count() == 0
 
 
+def test_repeats_in_other_capitals_are_no_repeats(spark):
+    rng = random.Random(9)
+    phrase = " ".join(f"word{rng.randint(0, 99)}" for _ in range(8))
+    texts = [f"{phrase} and then {phrase.title()}", f"{phrase} and then {phrase}", f" {phrase.upper()} x {phrase.title()} y {phrase.upper()}", "", " A b", "É un deux trois quatre é un deux trois quatre É un deux trois quatre"]
+    got = Q.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        times, hit = Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4)), set()
+        for k in range(len(ws) - 4):
+            if times[tuple(ws[k : k + 5])] > 1:
+                hit |= set(range(k, k + 5))
+        want[i] = len(hit)
+    assert {r.doc_id: r.n_repeat_words for r in got} == want
+    assert want[0] == 0 and want[1] == 16 and not [r for r in got if r.doc_id == 0][0].base_failed
+
+
 def test_quality_with_the_byte_level_vocabulary(odd_docs):
     got = Q.quality_rules(odd_docs, vocabulary="/opt/tokenizers/byte_bpe_multi_50k.tiktoken").collect()
     assert len(got) == odd_docs.count() and any(r.byte_share for r in got)
