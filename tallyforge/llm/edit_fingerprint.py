@@ -231,10 +231,11 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def fingerprint_pairs(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: str = "fingerprint", bands: int = 16, width: int = 3, least: float = 0.75) -> DataFrame:
     """Near-duplicate links among fingerprints: bit-sampled bands, then verification by likeness.
 
-    Equal fingerprints form one class (smallest id); classes that share a band key
-    are linked to the smallest class of that key if their likeness is ``least`` or
-    more. Returns (id_a, id_b, likeness): members to their class and class to class.
-    Groups are only ever reduced to a minimum, never paired with themselves.
+    Equal fingerprints form one class (smallest id); every two classes that share a
+    band key are verified once and linked if their likeness is ``least`` or more.
+    Returns (id_a, id_b, likeness): members to their class and class to class.
+    Equal fingerprints are never paired with one another; different ones of a key
+    all are, so the work grows with the square of the classes that share a key.
     """
     own = prints.select(prints[id_col].alias("id"), prints[fingerprint_col].alias("fp")).filter("id is not null and fp is not null")
     classes = own.groupBy("fp").agg(F.min("id").alias("rep"))
@@ -245,9 +246,9 @@ def fingerprint_pairs(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_
         for b, positions in enumerate(_band_positions(bands, width)):
             keys.append(F.concat_ws("/", level, F.lit(str(b)), *(F.substring("fp", 3 + 2 * (shift * SAMPLES + p), 2) for p in positions)))
     banded = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    first = banded.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = banded.join(first, "key").filter("rep <> first").select("first", "rep", "fp").distinct()
-    both = pairs.join(classes.select(F.col("rep").alias("first"), F.col("fp").alias("first_fp")), "first")
+    one = banded.select("key", F.col("rep").alias("id_a"), F.col("fp").alias("fp_a"))
+    two = banded.select("key", F.col("rep").alias("id_b"), F.col("fp").alias("fp_b"))
+    both = one.join(two, "key").filter("id_a < id_b").drop("key").distinct()
 
     @F.pandas_udf("double")
     def score(a, b):
@@ -255,7 +256,7 @@ def fingerprint_pairs(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_
 
         return pd.Series([likeness(bytes.fromhex(x), bytes.fromhex(y)) for x, y in zip(a, b)])
 
-    linked = both.select(F.col("first").alias("id_a"), F.col("rep").alias("id_b"), score("first_fp", "fp").alias("likeness")).filter(F.col("likeness") >= least)
+    linked = both.select("id_a", "id_b", score("fp_a", "fp_b").alias("likeness")).filter(F.col("likeness") >= least)
     return copies.unionByName(linked)
 
 

@@ -305,6 +305,24 @@ def test_banding_finds_near_copies(spark):
     assert all(b in (a + 100, a + 200) for a, b in links)
 
 
+def test_banding_on_keys_crowded_with_unrelated_prints(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    near = rng.integers(1, 100, 2 * E.SAMPLES, dtype=np.uint8)
+    other = near.copy()
+    other[[0, E.SAMPLES]] += 100
+    prints = []
+    # One unrelated print of a smaller id has each band key of the near ones.
+    for ps in E._band_positions(16, 3):
+        own = rng.integers(100, 250, 2 * E.SAMPLES, dtype=np.uint8)
+        for shift in (0, 1):
+            own[[shift * E.SAMPLES + p for p in ps]] = near[[shift * E.SAMPLES + p for p in ps]]
+        prints.append(own)
+    prints += [near, other]
+    rows = [(i, (bytes([9]) + p.tobytes()).hex()) for i, p in enumerate(prints)]
+    links = E.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert {(r.id_a, r.id_b) for r in links} == {(16, 17)}
+
+
 # Toxicity
 
 
