@@ -1,15 +1,25 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of the cells (source, language, topic) are raked in turn to target
-marginals of sources, languages and topics. A cell's calibration factor is its
-raked weight over its tokens; a document is kept with probability
-min(1, rate * factor), decided by a hash of its id, so a re-run keeps the same
-documents. Every step is a DataFrame expression: documents are summed into cells
-before anything is shuffled, and the rounds run on the cells alone.
+marginals of sources, languages and topics. A document is kept with the
+probability of its cell, its raked weight over its tokens, decided by a hash of
+its id, so a re-run keeps the same documents. No probability passes 1: after every
+round a cell's weight is cut to its tokens, and the next round moves what was cut
+to the other cells, until the marginals hold. They can only hold for a total that
+every category has the tokens for; without a given ``rate`` the total is the
+largest of these, less a slack of 10 % that lets the rounds converge. Where the
+marginals together still ask for tokens that are not there, the total is lowered
+until they hold to MOST_ERROR.
+
+Every step is a DataFrame expression: documents are summed into cells before
+anything is shuffled. Up to MOST_CELLS cells stand in one partition, where the
+windows of the rounds need no shuffle; beyond, they shuffle.
 
 Defined results: null sources, languages and topics are categories of their own;
-a null text has 0 tokens; a cell without tokens keeps factor 1; repeated rows are
-kept or dropped together; all input columns return unchanged.
+a null text has 0 tokens; a cell without tokens has probability 1; repeated rows
+are kept or dropped together, rows with a null id share one draw; very long texts
+count whole; an empty table gives an empty one; all input columns return
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +36,16 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a marginal is the tokens' own, flattened by this exponent.
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
+#: Share of the largest feasible total that is drawn.
+SLACK = 0.9
+#: Greatest relative error of a marginal at which the rounds end.
+TOLERANCE = 1e-9
+#: Relative error of a marginal at which the total is lowered, and by what factor.
+MOST_ERROR, LOWER = 0.01, 0.8
+#: Cells kept in one partition and broadcast to the documents at most.
+MOST_CELLS = 100_000
+#: Copies of the cells' probabilities, beyond MOST_CELLS, over which a hot cell's documents are dealt out.
+SALTS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -49,36 +69,65 @@ def topic(text: Column) -> Column:
     return F.when(text.isNull(), "none").when(pipes * 20 > size, "table").when(marks * 20 > size, "markup").when(size < 300, "note").otherwise("prose")
 
 
-def calibrated_cells(cells: DataFrame, *, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with ``weight`` raked to the targets, ``factor`` = weight / tokens."""
+def _share(dimension: str, own: Column, targets: Mapping[str, Mapping[str, float]] | None) -> Column:
+    """A category's target before it is scaled to a total."""
+    if not targets or dimension not in targets:
+        return F.pow(own, F.lit(FLATTEN[dimension]))
+    share = F.lit(0.0)
+    for name, value in targets[dimension].items():
+        share = F.when(F.col(dimension) == name, float(value)).otherwise(share)
+    return share
+
+
+def calibrated_cells(cells: DataFrame, *, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with ``weight`` raked to the targets and ``probability`` = weight / tokens, at most 1.
+
+    The weights sum to ``rate`` of all tokens; None takes SLACK of the largest rate
+    at which no category needs more tokens than it has. A few numbers per dimension
+    reach the driver.
+    """
     scratch = Scratch(cells.sparkSession)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for d in DIMENSIONS:
-        own = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
-        if targets and d in targets:
-            share = F.lit(0.0)
-            for name, value in targets[d].items():
-                share = F.when(F.col(d) == name, float(value)).otherwise(share)
-        else:
-            share = F.pow(own, F.lit(FLATTEN[d]))
-        out = out.withColumn(f"_s_{d}", share).withColumn(f"_n_{d}", F.count(F.lit(1)).over(Window.partitionBy(d)))
-    # A category's share counts once: spread over its cells before the shares are summed.
-    out = out.withColumn("_total", total.cast("double"))
+    start = scratch.keep(cells.select(*DIMENSIONS, "tokens"), "start")
+    few = start.count() <= MOST_CELLS
+    one = lambda df: df.coalesce(1) if few else df
+    scale, limit, total = {}, None, 0.0
     for d in DIMENSIONS:
-        out = out.withColumn(f"_t_{d}", F.col("_total") * F.col(f"_s_{d}") / F.sum(F.col(f"_s_{d}") / F.col(f"_n_{d}")).over(Window.partitionBy(F.lit(0))))
-    out = scratch.keep(out.drop(*[f"_{k}_{d}" for k in "sn" for d in DIMENSIONS]), "start")
-    name = "start"
-    for k in range(rounds):
+        own = F.col("own").cast("double")
+        shares = start.groupBy(d).agg(F.sum("tokens").alias("own")).withColumn("share", _share(d, own, targets))
+        row = shares.agg(F.sum("share").alias("s"), F.min(F.when(F.col("share") > 0, own / F.col("share"))).alias("least"), F.sum("own").alias("total")).first()
+        scale[d], total = float(row["s"] or 0.0), float(row["total"] or 0.0)
+        if row["least"] is not None and total:
+            most = row["least"] * scale[d] / total
+            limit = most if limit is None else min(limit, most)
+    drawn = total * (rate if rate is not None else SLACK * min(limit or 0.0, 1.0))
+    margin = lambda d: F.sum("weight").over(Window.partitionBy(d))
+    error = 1.0
+    while error > MOST_ERROR:
+        out = one(start).withColumn("weight", F.col("tokens").cast("double"))
         for d in DIMENSIONS:
-            margin = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(margin > 0, F.col("weight") * F.col(f"_t_{d}") / margin).otherwise(F.col("weight")))
-        if k % 4 == 3 or k == rounds - 1:
-            out = scratch.keep(out, f"round{k}")
-            scratch.drop(name)
-            name = f"round{k}"
-    factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    return out.select(*DIMENSIONS, "tokens", "weight", factor.alias("factor"))
+            own = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
+            out = out.withColumn(f"_t_{d}", F.lit(drawn) * _share(d, own, targets) / F.lit(scale[d] or 1.0))
+        kept = None
+        for k in range(rounds):
+            for d in DIMENSIONS:
+                out = out.withColumn("weight", F.when(margin(d) > 0, F.col("weight") * F.col(f"_t_{d}") / margin(d)).otherwise(F.col("weight")))
+            out = out.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
+            if k % 6 == 5 or k == rounds - 1:
+                name = f"round{k}-{drawn}"
+                out = one(scratch.keep(out, name))
+                if kept:
+                    scratch.drop(kept)
+                kept = name
+                off = [F.coalesce(F.abs(F.try_divide(margin(d), f"_t_{d}") - 1), F.lit(0.0)) for d in DIMENSIONS]
+                error = out.select(F.greatest(*off).alias("e")).agg(F.max("e").alias("e")).first()["e"] or 0.0
+                if error <= TOLERANCE:
+                    break
+        drawn *= LOWER
+        if rate is not None:
+            break
+    scratch.drop("start")
+    probability = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+    return out.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability"))
 
 
 def mix(
@@ -90,12 +139,12 @@ def mix(
     lang_col: str = "lang",
     topic_expr: Column | None = None,
     targets: Mapping[str, Mapping[str, float]] | None = None,
-    rate: float = 1.0,
+    rate: float | None = None,
     rounds: int = ROUNDS,
     seed: str = "mix",
     details: bool = False,
 ) -> DataFrame:
-    """The sampled documents; with ``details`` every document's id, tokens, cell, factor, probability and decision instead."""
+    """The sampled documents; with ``details`` every document's id, tokens, cell, probability and decision instead."""
     spark = docs.sparkSession
     own = docs if topic_expr is None else docs.withColumn("_topic_given", topic_expr)
     work, (key, text, source, lang) = numbered(own, id_col, text_col, source_col, lang_col)
@@ -105,16 +154,21 @@ def mix(
     summed = marked.withColumn("_tokens", tokens(F.col(text).cast("string"))).groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
     scratch = Scratch(spark)
     cells = scratch.keep(summed.withColumnsRenamed(names), "cells")
-    factors = calibrated_cells(cells, targets=targets, rounds=rounds).select(*[F.struct(F.col(n).alias("v")).alias(f"_k{o}") for o, n in names.items()], F.col("factor").alias("_factor"))
+    factors = calibrated_cells(cells, targets=targets, rate=rate, rounds=rounds).select(*[F.struct(F.col(n).alias("v")).alias(f"_k{o}") for o, n in names.items()], F.col("probability").alias("_chance"))
     keyed = marked.withColumns({f"_j{o}": F.struct(F.col(o).alias("v")) for o in names})
     condition = [F.col(f"_j{o}") == F.col(f"_k{o}") for o in names]
-    joined = keyed.join(factors, condition, "left")
-    chance = F.least(F.lit(1.0), F.lit(float(rate)) * F.col("_factor"))
+    if cells.count() <= MOST_CELLS:
+        joined = keyed.join(F.broadcast(factors), condition, "left")
+    else:
+        dealt = factors.withColumn("_ksalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(F.col(key), F.length(F.col(text).cast("string"))), F.lit(SALTS)).cast("int")
+        joined = keyed.withColumn("_jsalt", salt).join(dealt, [*condition, F.col("_jsalt") == F.col("_ksalt")], "left")
+    chance = F.col("_chance")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
     if details:
         return joined.select(
             F.col(key).alias(id_col), tokens(F.col(text).cast("string")).alias("n_tokens"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
-            F.round("_factor", 6).alias("factor"), F.round(chance, 6).alias("probability"), (draw < chance).alias("kept"),
+            F.round(chance, 6).alias("probability"), (draw < chance).alias("kept"),
         )
     return joined.filter(draw < chance).select(*work.columns[: len(docs.columns)]).toDF(*docs.columns)
 
@@ -132,15 +186,19 @@ with marked as (
     case when coalesce(length({trimmed}), 0) = 0 then 0 else len(string_split_regex({trimmed}, '[\x20\x09-\x0D]+')) end as n_tokens
   from {source}),
 cells as (select source, lang, topic, sum(n_tokens)::bigint as tokens from marked group by all),
-shares as (select *, sum(tokens) over ()::double as total, {', '.join(f"pow(sum(tokens) over (partition by {d})::double, {FLATTEN[d]}) as s_{d}, count(*) over (partition by {d}) as n_{d}" for d in DIMENSIONS)} from cells),
-c0 as (select source, lang, topic, tokens, tokens::double as weight, {', '.join(f"total * s_{d} / sum(s_{d} / n_{d}) over () as t_{d}" for d in DIMENSIONS)} from shares)"""
+shares as (select *, sum(tokens) over ()::double as total, {', '.join(f"sum(tokens) over (partition by {d})::double as o_{d}, pow(sum(tokens) over (partition by {d})::double, {FLATTEN[d]}) as s_{d}, count(*) over (partition by {d}) as n_{d}" for d in DIMENSIONS)} from cells),
+scaled as (select *, {', '.join(f"sum(s_{d} / n_{d}) over () as z_{d}, min(case when s_{d} > 0 then o_{d} / s_{d} end) over () as l_{d}" for d in DIMENSIONS)} from shares),
+drawn as (select *, total * {SLACK} * least(1.0, {', '.join(f"l_{d} * z_{d} / total" for d in DIMENSIONS)}) as goal from scaled),
+c0 as (select source, lang, topic, tokens, tokens::double as weight, {', '.join(f"goal * s_{d} / z_{d} as t_{d}" for d in DIMENSIONS)} from drawn)"""
     k = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            sql += f",\nc{k + 1} as (select * exclude (weight, m), case when m > 0 then weight * t_{d} / m else weight end as weight from (select *, sum(weight) over (partition by {d}) as m from c{k}))"
+            cut = "least(tokens::double, {})" if d == DIMENSIONS[-1] else "{}"
+            raked = cut.format(f"case when m > 0 then weight * t_{d} / m else weight end")
+            sql += f",\nc{k + 1} as (select * exclude (weight, m), {raked} as weight from (select *, sum(weight) over (partition by {d}) as m from c{k}))"
             k += 1
     return sql + f""",
-f as (select source, lang, topic, case when tokens > 0 then weight / tokens else 1.0 end as factor from c{k})
-select doc_id, n_tokens::bigint as n_tokens, m.source, m.lang, m.topic, round(factor, 6) as factor, round(least(1.0, factor), 6) as probability,
-  ('0x' || substr(md5('{seed}/' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double / {16**12}.0 < least(1.0, factor) as kept
+f as (select source, lang, topic, case when tokens > 0 then weight / tokens else 1.0 end as chance from c{k})
+select doc_id, n_tokens::bigint as n_tokens, m.source, m.lang, m.topic, round(chance, 6) as probability,
+  ('0x' || substr(md5('{seed}/' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double / {16**12}.0 < chance as kept
 from marked m left join f on m.source is not distinct from f.source and m.lang is not distinct from f.lang and m.topic is not distinct from f.topic"""

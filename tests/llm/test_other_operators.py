@@ -99,21 +99,26 @@ def test_license_scan_of_an_empty_table(no_docs):
 
 
 def raked(cells, rounds):
+    """Plain loops: rake, cut to the tokens, again; targets scaled to 90 % of what every category has."""
     total = sum(c[3] for c in cells)
     weight = {c[:3]: float(c[3]) for c in cells}
-    target = []
+    have = {c[:3]: float(c[3]) for c in cells}
+    shares, limit = [], 1.0
     for d, name in enumerate(M.DIMENSIONS):
         own = Counter()
         for c in cells:
             own[c[d]] += c[3]
         flat = {k: v ** M.FLATTEN[name] for k, v in own.items()}
-        target.append({k: total * v / sum(flat.values()) for k, v in flat.items()})
+        shares.append({k: v / sum(flat.values()) for k, v in flat.items()})
+        limit = min(limit, min(own[k] / (total * v) for k, v in shares[d].items()))
+    target = [{k: 0.9 * limit * total * v for k, v in s.items()} for s in shares]
     for _ in range(rounds):
         for d in range(3):
             margin = Counter()
             for k, w in weight.items():
                 margin[k[d]] += w
             weight = {k: w * target[d][k[d]] / margin[k[d]] if margin[k[d]] else w for k, w in weight.items()}
+        weight = {k: min(w, have[k]) for k, w in weight.items()}
     return weight
 
 
@@ -122,14 +127,34 @@ def test_raking_matches_brute_force(spark):
     cells = [(s, lang, t, rng.randint(1, 900)) for s in ("a", "b", "c") for lang in ("en", "fr") for t in ("p", "q")]
     got = M.calibrated_cells(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")).collect()
     want = raked(cells, M.ROUNDS)
-    assert all(r.weight == pytest.approx(want[r.source, r.lang, r.topic]) for r in got)
-
-
-def test_raking_to_given_targets(spark):
-    cells = [("a", "en", "p", 90), ("b", "en", "p", 10), ("a", "fr", "p", 30), ("b", "fr", "p", 30)]
-    df = M.calibrated_cells(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets={"source": {"a": 1, "b": 1}, "lang": {"en": 3, "fr": 1}}, rounds=40)
-    share = {r.source: r.w for r in df.groupBy("source").agg(F.sum("weight").alias("w")).collect()}
-    assert share["a"] == pytest.approx(80, rel=1e-6) and share["b"] == pytest.approx(80, rel=1e-6)
+    assert all(r.weight == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-6) for r in got)
+
+
+@pytest.mark.parametrize("most_cells", [M.MOST_CELLS, 1])
+def test_raking_to_given_targets(spark, monkeypatch, most_cells):
+    monkeypatch.setattr(M, "MOST_CELLS", most_cells)
+    cells = [("a", "en", "p", 90), ("b", "en", "p", 30), ("a", "fr", "p", 30), ("b", "fr", "p", 60)]
+    df = M.calibrated_cells(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets={"source": {"a": 1, "b": 1}, "lang": {"en": 3, "fr": 1}, "topic": {"p": 1}})
+    rows = df.collect()
+    drawn = sum(r.weight for r in rows)
+    share = lambda d: {r[d]: sum(x.weight for x in rows if x[d] == r[d]) / drawn for r in rows}
+    # At 0.9 * 160 tokens, which each category has, b could not fill its half: less is drawn.
+    assert 80 < drawn < 144
+    assert share("source") == pytest.approx({"a": 0.5, "b": 0.5}, rel=0.02) and share("lang") == pytest.approx({"en": 0.75, "fr": 0.25}, rel=0.02)
+    assert all(r.probability <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("most_cells", [M.MOST_CELLS, 1])
+def test_the_sample_meets_the_targets(spark, monkeypatch, most_cells):
+    monkeypatch.setattr(M, "MOST_CELLS", most_cells)
+    rng = random.Random(12)
+    rows = [(i, "w " * 40, "big" if i % 10 else "small", "en" if rng.random() < 0.8 else "fr") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"big": 1, "small": 1}, "lang": {"en": 2, "fr": 1}}
+    kept = M.mix(docs, targets=targets).collect()
+    assert 850 < len(kept) < 1300
+    assert sum(r.source == "big" for r in kept) / len(kept) == pytest.approx(1 / 2, abs=0.04)
+    assert sum(r.lang == "en" for r in kept) / len(kept) == pytest.approx(2 / 3, abs=0.04)
 
 
 def test_mixing_odd_rows(odd_docs, no_docs):
