@@ -1,4 +1,4 @@
-"""Connected components of links, by minimum labels and pointer jumping."""
+"""Connected components of links, by minimum labels and pointer jumping, and the pairs of shared keys that lie across components."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
+#: Members of one key that one task takes at most; a larger key is dealt out.
+KEY_SHARE = 4096
+#: Rows of a side table broadcast at most.
+MOST_BROADCAST = 1_000_000
+
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); a component is named by its smallest node.
@@ -31,3 +36,32 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
         if not moved:
             scratch.drop(f"{name}-edges")
             return labels
+
+
+def dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (id, mark, key) of keys that have several, each with a salt that deals a key of over KEY_SHARE members out."""
+    sizes = scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "key-sizes")
+    held = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    salts = F.ceil(F.col("members") / KEY_SHARE)
+    return members.join(held, "key").select("key", F.pmod(F.xxhash64("mark", "id"), salts).cast("int").alias("salt"), "id", "mark")
+
+
+def crossing(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every pair (p, q) of members (key, id, mark) of one key whose ids lie in different components (node, component).
+
+    Members outside a key's largest component meet all others. Both sides are cut
+    into blocks of KEY_SHARE, and a task takes a pair of blocks.
+    """
+    owned = members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1")
+    split = scratch.keep(split.select("key", "largest", F.ceil(F.col("members") / KEY_SHARE).cast("int").alias("blocks")), "split")
+    member = F.struct(*[c for c in owned.columns if c != "key"])
+    block = F.pmod(F.xxhash64("mark", "id", F.lit(1)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    open_keys = owned.join(F.broadcast(split) if split.count() <= MOST_BROADCAST else split, "key")
+    small = open_keys.filter("component <> largest").select("key", block.alias("i"), member.alias("p"), "blocks").select("key", "i", every.alias("j"), "p")
+    rest = open_keys.select("key", "largest", block.alias("j"), member.alias("q"), "blocks").select("key", "largest", every.alias("i"), "j", "q")
+    # Two members outside the largest component meet twice; one of the two is enough.
+    once = (F.col("q.component") == F.col("largest")) | (F.col("p.component") < F.col("q.component"))
+    return small.join(rest, ["key", "i", "j"]).filter(once & (F.col("p.component") != F.col("q.component"))).select("p", "q")

@@ -2,18 +2,23 @@
 
 A shared random walk reads a text: at step j it emits the current character and
 moves on by r(j, character), a random bit. Texts at a small edit distance then
-emit sequences at a small Hamming distance. A fingerprint keeps the emitted
-characters (as one byte each) at fixed random steps, so likeness is the share of
-agreeing steps. Texts over BLOCK code points walk in blocks of that length.
-Steps are sampled for the text's own size class (a power of two) and for the
-next one, so texts whose lengths fall in neighbouring classes still compare.
+emit sequences at a small Hamming distance. One walk over a whole text loses step
+at the first long insertion and may not find it again, so a text is read by WALKS
+walks with random starts that texts share: walk w begins at the run of GRAM
+characters of least hash among those whose hash falls to w. The run stands where
+it stood whatever was inserted before it, so an edit disturbs the walks near it and
+no others, in texts of any length. What a walk emits at sampled steps is folded
+into two bytes; likeness is the share of equal bytes.
 
-Banding takes a few sampled steps as one key per band; pairs that share a key
-are verified by likeness.
+Near copies are found by bit-sampled bands: each band takes the bytes of four
+walks as a key. Sharing a key proposes a pair, likeness verifies it.
 
 Defined results: null counts as the empty text; equal texts have equal
-fingerprints and likeness 1, two empty ones included; repeated ids are ordered
-by text; other columns are ignored, whatever their names.
+fingerprints and likeness 1, two empty ones included; repeated ids are ordered by
+the SHA-256 of their texts and count as one node of the links; rows with a null id
+get fingerprints and the component of an equal one, else null; very long texts are
+read whole; an empty table gives an empty one; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,41 +27,47 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..scratch import Scratch
-
-BLOCK = 4096
-SAMPLES = 64
-#: Code points walked through at once: bounds a worker's memory.
-CHUNK_CHARS = 4 << 20
+from .components import connected_components, crossing, dealt
+from .words import mix
+
+WALKS = 64
+GRAM = 8
+#: Steps at which a walk's characters are folded into its first and its second byte.
+SAMPLED = ((16, 21, 26), (31, 36, 41))
+BANDS = 16
+#: Likeness from which two fingerprints are near copies.
+LEAST = 0.75
+#: Rows of small tables broadcast at most.
+MOST_BROADCAST = 1_000_000
+#: Code points read at once: bounds a worker's memory.
+CHUNK_CHARS = 1 << 20
 _SEED = 20240601
-_PAD = 0
-
-
-def _walk_bits() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(_SEED)).integers(0, 2, size=(2 * BLOCK, 256), dtype=np.uint8)
+_WIDTH = 2 * WALKS
+_GAP = np.zeros(GRAM, dtype=np.uint8).tobytes()
 
+_tables: list[np.ndarray] = []
 
-_bits: np.ndarray | None = None
-_samples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def walk_bits() -> np.ndarray:
+    """The shared random bits by (step, walk, character); no walk moves on from the 0 after a text."""
+    if not _tables:
+        bits = np.random.Generator(np.random.PCG64(_SEED)).integers(0, 2, size=(SAMPLED[1][-1] + 1, WALKS, 256), dtype=np.uint8)
+        bits[:, :, 0] = 0
+        _tables.append(bits)
+    return _tables[0]
 
-def level_of(n: int) -> int:
-    """The size class: 2 ** level is the least power of two not under n."""
-    return max(0, n - 1).bit_length()
 
-
-def sampled(level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(block, step) of each sample of a size class, the same in every task."""
-    if level not in _samples:
-        rng = np.random.Generator(np.random.PCG64([_SEED, level]))
-        size = 1 << level
-        _samples[level] = rng.integers(0, max(1, size // BLOCK), SAMPLES), rng.integers(0, 2 * min(size, BLOCK), SAMPLES)
-    return _samples[level]
+def band_walks() -> np.ndarray:
+    """The walks of each band, every walk in one."""
+    return np.random.Generator(np.random.PCG64([_SEED, BANDS])).permutation(WALKS).reshape(BANDS, -1)
 
 
 def characters(text: str) -> np.ndarray:
@@ -65,82 +76,66 @@ def characters(text: str) -> np.ndarray:
     return ((points * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
 
 
-def _walk(codes: np.ndarray, start: np.ndarray, size: np.ndarray, steps: int) -> np.ndarray:
-    """Emitted characters, steps x walks; after its last character a walk emits the pad."""
-    global _bits
-    if _bits is None:
-        _bits = _walk_bits()
-    padded = np.append(codes, np.uint8(_PAD))
-    out = np.zeros((steps, len(start)), dtype=np.uint8)
-    at, stop = start.copy(), start + size
-    for j in range(steps):
-        c = padded.take(at)
-        c *= at < stop
-        out[j] = c
-        at += _bits[j].take(c) * (c != _PAD)
-    return out
-
-
-def fingerprints(texts: list[str]) -> list[bytes]:
-    """A byte for the size class, then SAMPLES bytes for it and SAMPLES for the next one."""
-    out: list[bytes] = []
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """A row of 2 * WALKS bytes for each text; that of an empty text is all zeros."""
+    out = np.zeros((len(texts), _WIDTH), dtype=np.uint8)
     begin = 0
     while begin < len(texts):
         end, chars = begin, 0
         while end < len(texts) and (end == begin or chars + len(texts[end]) <= CHUNK_CHARS):
             chars += len(texts[end])
             end += 1
-        out += _fingerprints(texts[begin:end])
+        out[begin:end] = _fingerprints(texts[begin:end])
         begin = end
     return out
 
 
-def _fingerprints(texts: list[str]) -> list[bytes]:
+def _starts(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each walk of each text begins, -1 in an empty one; a walk that no run falls to begins where the next one does that has a run."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+    runs = np.ndarray((len(data) - GRAM + 1,), dtype="<u8", buffer=data, strides=(1,))[place]
+    hashes = mix(runs)
+    slot = owner * WALKS + (hashes >> np.uint64(58)).astype(np.int64)
+    least = np.full(n * WALKS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, slot, hashes)
+    first = np.flatnonzero(hashes == least[slot])[::-1]
+    start = np.full(n * WALKS, -1, dtype=np.int64)
+    start[slot[first]] = place[first]
+    start = start.reshape(n, WALKS)
+    twice = np.concatenate([start, start], axis=1)
+    there = np.where(twice >= 0, np.arange(2 * WALKS), 2 * WALKS)
+    following = np.minimum.accumulate(there[:, ::-1], axis=1)[:, ::-1][:, :WALKS]
+    return np.where(following < 2 * WALKS, np.take_along_axis(twice, np.minimum(following, 2 * WALKS - 1), axis=1), -1)
+
+
+def _fingerprints(texts: list[str]) -> np.ndarray:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = characters("".join(texts))
-    n_blocks = np.maximum(1, -(-sizes // BLOCK))
-    first = np.cumsum(n_blocks) - n_blocks
-    owner = np.repeat(np.arange(len(texts)), n_blocks)
-    within = np.arange(len(owner)) - first[owner]
-    start = (np.cumsum(sizes) - sizes)[owner] + within * BLOCK
-    size = np.minimum(BLOCK, sizes[owner] - within * BLOCK)
-    levels = [level_of(int(n)) for n in sizes]
-    values = [np.zeros(2 * SAMPLES, dtype=np.uint8) for _ in texts]
-    classes = np.array([level_of(int(n)) for n in size])
-    wanted: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for i, level in enumerate(levels):
-        for k, lv in enumerate((level, level + 1)):
-            block, step = sampled(lv)
-            there = np.flatnonzero(block < n_blocks[i])
-            for b in np.unique(block[there]):
-                own = there[block[there] == b]
-                wanted.setdefault(int(first[i] + b), []).append((i, own + k * SAMPLES, step[own], own))
-    for c in np.unique(classes):
-        rows = np.flatnonzero(classes == c)
-        # A walk of n characters ends after about 2 n steps; samples lie below that.
-        emitted = _walk(codes, start[rows], size[rows], 2 * min(1 << int(c), BLOCK))
-        for column, row in enumerate(rows.tolist()):
-            for i, slot, step, _ in wanted.get(row, ()):
-                ok = step < len(emitted)
-                values[i][slot[ok]] = emitted[step[ok], column]
-    return [bytes([level]) + v.tobytes() for level, v in zip(levels, values)]
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Share of agreeing sampled steps among those at which either text still emits; 0 if the lengths are over a size class apart."""
-    if a == b:
-        return 1.0
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    if x[0] == y[0]:
-        p, q = x[1:], y[1:]
-    elif int(x[0]) + 1 == int(y[0]):
-        p, q = x[1 + SAMPLES :], y[1 : 1 + SAMPLES]
-    elif int(y[0]) + 1 == int(x[0]):
-        p, q = x[1 : 1 + SAMPLES], y[1 + SAMPLES :]
-    else:
-        return 0.0
-    live = (p != _PAD) | (q != _PAD)
-    return float((p == q)[live].mean()) if live.any() else 0.0
+    # A gap of zeros after each text: no run of characters and no walk passes into the next.
+    data = np.frombuffer(_GAP.join([characters(t).tobytes() for t in texts]) + _GAP, dtype=np.uint8)
+    begin = np.cumsum(sizes + GRAM) - (sizes + GRAM)
+    at = _starts(data, begin, sizes)
+    some = at >= 0
+    at = np.where(some, at, len(data) - 1)
+    column = np.arange(WALKS) * 256
+    out = np.zeros((len(texts), WALKS, 2), dtype=np.uint8)
+    folded = np.zeros(at.shape, dtype=np.uint32)
+    for j, bits in enumerate(walk_bits().reshape(-1, WALKS * 256)):
+        c = data.take(at)
+        for k, steps in enumerate(SAMPLED):
+            if j in steps:
+                folded = (folded ^ c) * np.uint32(0x01000193)
+                if j == steps[-1]:
+                    out[:, :, k] = np.where(some, (folded ^ folded >> np.uint32(15)) % np.uint32(255) + np.uint32(1), 0)
+                    folded = np.zeros(at.shape, dtype=np.uint32)
+        at = at + bits.take(c + column)
+    return out.reshape(len(texts), _WIDTH)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal bytes of fingerprints, row by row."""
+    return (a == b).mean(axis=-1)
 
 
 def edited(text: str, following: str) -> str:
@@ -152,114 +147,151 @@ def edited(text: str, following: str) -> str:
 FINAL = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def _compared(rows: list[tuple]) -> list[tuple]:
-    """Result rows of (id, text, fingerprint or None, next text, next fingerprint or None)."""
-    own = [r[2] for r in rows]
-    changed = [edited(r[1], r[3]) for r in rows]
+class _Row:
+    """A text with its fingerprint; texts travel compressed."""
+
+    def __init__(self, key, size: int, packed: bytes, print_: bytes):
+        self.key, self.packed, self.size, self.print = key, packed, size, print_
+
+    @property
+    def text(self) -> str:
+        return pa.decompress(self.packed, decompressed_size=self.size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if self.size else ""
+
+
+def _compared(rows: list[tuple[_Row, _Row]]) -> list[tuple]:
+    """Result rows of texts and those that follow them."""
+    own = [a.text for a, _ in rows]
+    changed = [edited(t, b.text) for t, (_, b) in zip(own, rows)]
     other = fingerprints(changed)
+    mine, following = (np.frombuffer(b"".join(r[k].print for r in rows), dtype=np.uint8).reshape(-1, _WIDTH) for k in (0, 1))
     return [
-        (r[0], len(r[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f.hex(), o.hex(), likeness(f, o), likeness(f, r[4]))
-        for r, e, f, o in zip(rows, changed, own, other)
+        (a.key, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a.print.hex(), o.tobytes().hex(), float(x), float(y))
+        for (a, _), t, e, o, x, y in zip(rows, own, changed, other, likeness(mine, other), likeness(mine, following))
     ]
 
 
+def packed_prints(texts: DataFrame) -> DataFrame:
+    """(id, digest, size, packed, print) of (id, text): SHA-256, bytes, compressed bytes and fingerprint; a map."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = part.column(1).to_pylist()
+                raw = [t.encode("utf-8", "surrogatepass") for t in own]
+                columns = [
+                    pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64()),
+                    pa.array([pa.compress(r, codec="zstd", asbytes=True) if r else b"" for r in raw], pa.binary()), pa.array([f.tobytes() for f in fingerprints(own)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "digest", "size", "packed", "print"])
+
+    return texts.mapInArrow(pack, f"id {texts.schema['id'].dataType.simpleString()}, digest binary, size long, packed binary, print binary")
+
+
 def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_partition: int = 5000) -> DataFrame:
     """Fingerprint every text and its edited form (its second half replaced by the start of the next text by id).
 
-    One range shuffle by id puts neighbours side by side; each partition streams
-    through its sorted rows. Only a partition's last row needs the first row of
-    the next partition: these few rows meet in a join by partition number.
+    Texts are fingerprinted where they are read. One range shuffle by id, of
+    compressed texts, puts neighbours side by side; each partition streams through
+    its sorted rows. Only a partition's last row needs the first row of the next
+    partition: these few rows meet in a join by partition number.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    id_type = picked.schema["id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_type = picked.schema["id"].dataType
     parts = max(1, -(-picked.count() // rows_per_partition))
-    schema = f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, head_id {id_type}, head string, tail string"
-    arrow = pa.schema(
-        [("id", id_arrow), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("head_id", id_arrow), ("head", pa.string()), ("tail", pa.string())]
-    )
+    head = f"id {id_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    tail = "part int, first_size long, first_packed binary, first_print binary, last_size long, last_packed binary, last_print binary"
+    final = pa.schema([("id", to_arrow_type(id_type)), ("n_chars", pa.int64()), *((c, pa.string()) for c in FINAL[1:4]), *((c, pa.float64()) for c in FINAL[4:])])
+    ends = pa.schema([("part", pa.int32()), *((f"{end}_{c}", t) for end in ("first", "last") for c, t in (("size", pa.int64()), ("packed", pa.binary()), ("print", pa.binary())))])
+    whole = pa.schema([*final, *ends])
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+    def table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        head, last = None, None
+        first = last = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            begin = 0
-            while begin < len(ids):
-                end, chars = begin, 0
-                while end < len(ids) and (end == begin or chars < CHUNK_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                rows = list(zip(ids[begin:end], texts[begin:end], fingerprints(texts[begin:end])))
-                begin = end
-                head = head or rows[0]
-                rows = ([last] if last else []) + rows
-                last = rows[-1]
-                if len(rows) > 1:
-                    pairs = [(*a, b[1], b[2]) for a, b in zip(rows, rows[1:])]
-                    yield table([(*r, None, None, None, None) for r in _compared(pairs)])
+            waiting: list[tuple[_Row, _Row]] = []
+            size = 0
+            for row in map(_Row, *(batch.column(k).to_pylist() for k in range(4))):
+                first = first or row
+                if last:
+                    waiting.append((last, row))
+                    size += last.size
+                last = row
+                if size > CHUNK_CHARS:
+                    yield table([(*r, *[None] * len(ends)) for r in _compared(waiting)], whole)
+                    waiting, size = [], 0
+            if waiting:
+                yield table([(*r, *[None] * len(ends)) for r in _compared(waiting)], whole)
         if last:
-            yield table([(last[0], None, None, None, None, None, None, part, head[0], head[1], last[1])])
+            yield table([(last.key, *[None] * len(FINAL), part, first.size, first.packed, first.print, last.size, last.packed, last.print)], whole)
 
-    scratch = Scratch(spark)
-    ordered = picked.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    found = scratch.keep(ordered.mapInArrow(neighbours, schema), "neighbours")
+    ordered = packed_prints(picked).repartitionByRange(parts, "id").sortWithinPartitions("id", "digest").select("id", "size", "packed", "print")
+    found = scratch.keep(ordered.mapInArrow(neighbours, f"{head}, {tail}"), "neighbours")
     edges = found.filter("part is not null")
     # One narrow row per partition: each one's next, and the first after the last.
     numbers = edges.select("part")
     after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"))
-    meet = edges.select("part", "id", "tail").join(after, "part").join(edges.select(F.col("part").alias("next_part"), "head"), "next_part")
+    firsts = edges.select(F.col("part").alias("next_part"), "first_size", "first_packed", "first_print")
+    meet = edges.select("part", "id", "last_size", "last_packed", "last_print").join(after, "part").join(firsts, "next_part")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = pa.schema(list(arrow)[:7])
         for batch in batches:
             for i in range(batch.num_rows):
-                key, tail, head = (batch.column(k)[i].as_py() for k in range(3))
-                own, following = fingerprints([tail, head])
-                rows = _compared([(key, tail, own, head, following)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), small.types)], schema=small)
+                key, *rest = (batch.column(k)[i].as_py() for k in range(7))
+                yield table(_compared([(_Row(key, *rest[:3]), _Row(None, *rest[3:]))]), final)
 
-    joined = meet.select("id", "tail", "head").mapInArrow(across, schema.split(", part")[0])
+    joined = meet.select("id", "last_size", "last_packed", "last_print", "first_size", "first_packed", "first_print").mapInArrow(across, head)
     inner = found.filter("part is null").select("id", *FINAL)
     return inner.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def fingerprint_pairs(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: str = "fingerprint", bands: int = 16, width: int = 3, least: float = 0.75) -> DataFrame:
-    """Near-duplicate links among fingerprints: bit-sampled bands, then verification by likeness.
+def band_keys() -> list:
+    """One key per band over the column ``print``."""
+    return [F.xxhash64(F.lit(b), *(F.substring("print", 2 * int(w) + 1, 2) for w in own)) for b, own in enumerate(band_walks())]
 
-    Equal fingerprints form one class (smallest id); every two classes that share a
-    band key are verified once and linked if their likeness is ``least`` or more.
-    Returns (id_a, id_b, likeness): members to their class and class to class.
-    Equal fingerprints are never paired with one another; different ones of a key
-    all are, so the work grows with the square of the classes that share a key.
-    """
-    own = prints.select(prints[id_col].alias("id"), prints[fingerprint_col].alias("fp")).filter("id is not null and fp is not null")
-    classes = own.groupBy("fp").agg(F.min("id").alias("rep"))
-    copies = own.join(classes, "fp").filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("likeness"))
-    keys = []
-    for shift in (0, 1):  # the bands of the own size class, and of the next one
-        level = (F.conv(F.substring("fp", 1, 2), 16, 10).cast("int") + shift).cast("string")
-        for b, positions in enumerate(_band_positions(bands, width)):
-            keys.append(F.concat_ws("/", level, F.lit(str(b)), *(F.substring("fp", 3 + 2 * (shift * SAMPLES + p), 2) for p in positions)))
-    banded = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    one = banded.select("key", F.col("rep").alias("id_a"), F.col("fp").alias("fp_a"))
-    two = banded.select("key", F.col("rep").alias("id_b"), F.col("fp").alias("fp_b"))
-    both = one.join(two, "key").filter("id_a < id_b").drop("key").distinct()
+
+def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, ha, b, hb) with the likeness of their classes (id, mark, print), if it is ``least`` or more."""
 
     @F.pandas_udf("double")
-    def score(a, b):
-        import pandas as pd
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, _WIDTH) for s in (x, y))
+        return pd.Series(likeness(a, b))
 
-        return pd.Series([likeness(bytes.fromhex(x), bytes.fromhex(y)) for x, y in zip(a, b)])
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("mark").alias(f"h{c}"), F.col("print").alias(f"p{c}"))
+    both = pairs.join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"])
+    return both.select("a", "b", alike("pa", "pb").alias("likeness")).filter(F.col("likeness") >= least)
 
-    linked = both.select("id_a", "id_b", score("fp_a", "fp_b").alias("likeness")).filter(F.col("likeness") >= least)
-    return copies.unionByName(linked)
 
+def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: str = "fingerprint", least: float = LEAST) -> DataFrame:
+    """Per row: id, class_id (smallest id with an equal fingerprint) and component_id (smallest id reachable by links).
 
-def _band_positions(bands: int, width: int) -> list[list[int]]:
-    rng = np.random.Generator(np.random.PCG64([_SEED, bands, width]))
-    return [[int(i) for i in rng.choice(SAMPLES, width, replace=False)] for _ in range(bands)]
+    Equal fingerprints are one class. In each band a class is first verified against
+    the one that leads its key and the one before it, which joins most near copies;
+    then all pairs of a key that lie in different components are, in blocks. So a
+    group of near copies is never paired with itself, and no link between components
+    that any band shows is lost.
+    """
+    scratch = Scratch(prints.sparkSession)
+    own = prints.select(prints[id_col].alias("id"), F.unhex(prints[fingerprint_col]).alias("print"))
+    classes = scratch.keep(own.groupBy("print").agg(F.min("id").alias("id")).withColumn("mark", F.xxhash64("print")), "classes")
+    named = classes.filter("id is not null")
+    members = scratch.keep(dealt(named.select("id", "mark", F.explode(F.array(*band_keys())).alias("key")), scratch), "members")
+    order = Window.partitionBy("key", "salt").orderBy("id", "mark")
+    member = F.struct("id", "mark")
+    beside = members.select(F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(member).over(order).alias("o"), member.alias("q"))
+    near = beside.filter("o is not null").select(F.explode(F.array_distinct(F.array("p", "o"))).alias("p"), "q").filter("p.id <> q.id")
+    pair = lambda df: df.select(F.col("p.id").alias("a"), F.col("p.mark").alias("ha"), F.col("q.id").alias("b"), F.col("q.mark").alias("hb")).distinct()
+    one = scratch.keep(verified(pair(near), named, least).select("a", "b"), "one")
+    known = connected_components(one, scratch, "cc1")
+    two = scratch.keep(verified(pair(crossing(members, known, scratch)), named, least).select("a", "b"), "two")
+    final = connected_components(one.unionByName(two), scratch, "cc2")
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    joined = classes.select("print", F.col("id").alias("class_id")).join(small(final), F.col("class_id") == F.col("node"), "left")
+    of_class = joined.select("print", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    scratch.drop("members", "one", "two")
+    return own.join(of_class, "print").select(F.col("id").alias(id_col), "class_id", "component_id")

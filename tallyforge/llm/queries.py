@@ -52,7 +52,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
+    prints = Scratch(spark).keep(edit_fingerprint.edit_fingerprints(table(spark, sf_dir, "documents")), "prints")
+    found = edit_fingerprint.near_copies(prints).dropDuplicates(["doc_id"])
+    return prints.join(found, "doc_id", "left")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

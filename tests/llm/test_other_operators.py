@@ -274,78 +274,123 @@ def test_quality_with_the_byte_level_vocabulary(odd_docs):
 # Fingerprints
 
 
+def plain_print(text):
+    """One fingerprint by plain loops."""
+    codes = [int(c) for c in E.characters(text)]
+    at = {}
+    for i in range(len(codes)):
+        run = sum((codes[i + k] if i + k < len(codes) else 0) << 8 * k for k in range(E.GRAM))
+        h = int(E.mix(np.array([run], dtype=np.uint64))[0])
+        at[h >> 58] = min(at.get(h >> 58, (h, i)), (h, i))
+    out = []
+    for w in range(E.WALKS):
+        if not at:
+            out += [0, 0]
+            continue
+        i = next(at[(w + k) % E.WALKS][1] for k in range(E.WALKS) if (w + k) % E.WALKS in at)
+        emitted = []
+        for bits in E.walk_bits():
+            c = codes[i] if i < len(codes) else 0
+            emitted.append(c)
+            i += int(bits[w, c])
+        for steps in E.SAMPLED:
+            folded = 0
+            for j in steps:
+                folded = (folded ^ emitted[j]) * 0x01000193 & 0xFFFFFFFF
+            out.append((folded ^ folded >> 15) % 255 + 1)
+    return bytes(out)
+
+
 def test_fingerprints_match_a_plain_walk():
     rng = random.Random(2)
-    texts = ["", "a", "ab" * 10, words(rng, 300), words(rng, 300) + "é", words(rng, 6000), "é😀" * 3000]
-    prints = E.fingerprints(texts)
-    bits = E._walk_bits()
-    for text, own in zip(texts, prints):
-        codes, level = E.characters(text), E.level_of(len(text))
-        assert own[0] == level
-        for k, lv in enumerate((level, level + 1)):
-            for slot, (b, s) in enumerate(zip(*E.sampled(lv))):
-                block = codes[b * E.BLOCK : (b + 1) * E.BLOCK]
-                at, out = 0, 0
-                for j in range(s + 1):
-                    out = int(block[at]) if at < len(block) else 0
-                    at += int(bits[j][out]) if out else 0
-                if s < 2 * min(1 << E.level_of(len(block)), E.BLOCK):
-                    assert own[1 + k * E.SAMPLES + slot] == out
-
-
-def test_likeness_falls_with_edits():
+    texts = ["", "a", "ab" * 10, words(rng, 300), words(rng, 300) + "é", "", words(rng, 6000), "é😀" * 3000, "abcdefg"]
+    assert [f.tobytes() for f in E.fingerprints(texts)] == [plain_print(t) for t in texts]
+    assert [f.tobytes() for t in texts for f in E.fingerprints([t])] == [plain_print(t) for t in texts]
+
+
+def with_edits(rng, text, share):
+    out = list(text)
+    for _ in range(max(1, int(share * len(out)))):
+        i = rng.randrange(len(out))
+        out[i] = rng.choice(["", "z", out[i] + "q"])
+    return "".join(out)
+
+
+def test_likeness_falls_with_edits_and_not_with_moves_of_the_rest():
     rng = random.Random(3)
-    base = words(rng, 500)
-    few = list(base)
-    for _ in range(10):
-        few[rng.randrange(len(few))] = "z"
-    a, b, c = E.fingerprints([base, "".join(few), words(rng, 500)])
-    assert E.likeness(a, a) == 1.0 and E.likeness(a, b) > 0.7 > E.likeness(a, c)
+    base = [words(rng, 400) for _ in range(40)]
+    own = E.fingerprints(base)
+    like = lambda texts: np.sort(E.likeness(own, E.fingerprints(texts)))
+    assert (like(base) == 1).all()
+    assert like([with_edits(rng, t, 0.002) for t in base])[4] >= 0.75
+    assert like([words(rng, 8) + " " + t for t in base])[4] >= 0.75
+    assert like([E.edited(t, u) for t, u in zip(base, base[1:] + base[:1])]).max() < 0.6
+    assert like(base[1:] + base[:1]).max() < 0.2
 
 
 @pytest.mark.parametrize("per_partition", [5, 10_000])
 def test_edit_fingerprints_match_brute_force(odd_docs, per_partition):
-    rows = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    order = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).digest())
+    rows = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=order)
     want = Counter()
     for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
         changed = E.edited(t, following)
         f, g, h = E.fingerprints([t, changed, following])
-        want[i, len(t), hashlib.sha256(changed.encode()).hexdigest(), f.hex(), g.hex(), E.likeness(f, g), E.likeness(f, h)] += 1
+        want[i, len(t), hashlib.sha256(changed.encode()).hexdigest(), f.tobytes().hex(), g.tobytes().hex(), float(E.likeness(f, g)), float(E.likeness(f, h))] += 1
     got = E.edit_fingerprints(odd_docs, rows_per_partition=per_partition).collect()
     assert Counter(tuple(r) for r in got) == want
 
 
 def test_edit_fingerprints_of_an_empty_table(no_docs):
-    assert E.edit_fingerprints(no_docs).count() == 0
+    prints = E.edit_fingerprints(no_docs)
+    assert prints.count() == 0 and E.near_copies(prints).count() == 0
+
+
+def components(pairs, nodes):
+    of = {n: n for n in nodes}
+    while True:
+        before = dict(of)
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+        if of == before:
+            return of
+
+
+def print_rows(texts):
+    return [(i, f.tobytes().hex()) for i, f in enumerate(E.fingerprints(texts))]
+
 
+@pytest.mark.parametrize("share", [4096, 3])
+def test_near_copies_match_brute_force(spark, monkeypatch, share):
+    from tallyforge.llm import components as C
 
-def test_banding_finds_near_copies(spark):
+    monkeypatch.setattr(C, "KEY_SHARE", share)
     rng = random.Random(4)
-    base = [words(rng, 200) for _ in range(30)]
-    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t[:40] + "X" + t[41:]) for i, t in enumerate(base)] + [(200, base[0])]
-    prints = spark.createDataFrame([(i, f.hex()) for (i, _), f in zip(rows, E.fingerprints([t for _, t in rows]))], "doc_id long, fingerprint string")
-    links = {(r.id_a, r.id_b) for r in E.fingerprint_pairs(prints, least=0.6).collect()}
-    assert (0, 200) in links
-    assert sum((i, 100 + i) in links for i in range(30)) >= 27
-    assert all(b in (a + 100, a + 200) for a, b in links)
-
-
-def test_banding_on_keys_crowded_with_unrelated_prints(spark):
-    rng = np.random.Generator(np.random.PCG64(8))
-    near = rng.integers(1, 100, 2 * E.SAMPLES, dtype=np.uint8)
-    other = near.copy()
-    other[[0, E.SAMPLES]] += 100
-    prints = []
-    # One unrelated print of a smaller id has each band key of the near ones.
-    for ps in E._band_positions(16, 3):
-        own = rng.integers(100, 250, 2 * E.SAMPLES, dtype=np.uint8)
-        for shift in (0, 1):
-            own[[shift * E.SAMPLES + p for p in ps]] = near[[shift * E.SAMPLES + p for p in ps]]
-        prints.append(own)
-    prints += [near, other]
-    rows = [(i, (bytes([9]) + p.tobytes()).hex()) for i, p in enumerate(prints)]
-    links = E.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
-    assert {(r.id_a, r.id_b) for r in links} == {(16, 17)}
+    base = [words(rng, 150) for _ in range(40)]
+    texts = base + [with_edits(rng, t, 0.004) for t in base] + [with_edits(rng, base[0], 0.006) for _ in range(30)] + [base[1], base[1], "", ""]
+    rows = print_rows(texts)
+    prints = {i: np.frombuffer(bytes.fromhex(f), dtype=np.uint8) for i, f in rows}
+    pairs = [(a, b) for a in prints for b in prints if a < b and E.likeness(prints[a], prints[b]) >= E.LEAST]
+    got = {r.doc_id: r for r in E.near_copies(spark.createDataFrame([*rows, (None, rows[1][1]), rows[5]], "doc_id long, fingerprint string")).collect()}
+    want = components(pairs, prints)
+    missed = [i for i in prints if got[i].component_id != want[i]]
+    assert len(missed) <= 0.02 * len(rows)
+    assert got[None].component_id == got[1].component_id and got[112].class_id == got[113].class_id == 112 and got[110].class_id == 1
+
+
+def test_recall_of_planted_edits(spark):
+    rng = random.Random(14)
+    base = [words(rng, rng.choice([40, 120, 400, 3000])) for _ in range(120)]
+    # Word substitutions that leave at least 0.75 of the five-word shingles.
+    copies = []
+    for t in base:
+        ws = t.split(" ")
+        for i in rng.sample(range(len(ws)), max(1, len(ws) // 40)):
+            ws[i] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+        copies.append(" ".join(ws))
+    got = {r.doc_id: r.component_id for r in E.near_copies(spark.createDataFrame(print_rows(base + copies), "doc_id long, fingerprint string")).collect()}
+    assert sum(got[i] == got[120 + i] for i in range(120)) >= 0.9 * 120
+    assert len(set(got.values())) >= 120
 
 
 # Toxicity
