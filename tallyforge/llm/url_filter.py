@@ -5,13 +5,18 @@ public suffix. Beta-binomial priors shrink them downwards: the suffix towards th
 corpus mean, the domain towards its suffix, the host towards its domain. The
 strength of the prior at each level is estimated from the spread of the level's
 rates (method of moments). A host is blocked when the lower posterior bound
-(mean - z * standard deviation) of its bad rate passes a limit.
+(mean - z * standard deviation) of its bad rate passes a limit: the given one, or
+the bad rate of all outcomes, so that a host goes that is worse than the corpus as
+far as its outcomes can tell.
 
 Only sums per host, domain and suffix are shuffled, summed before the shuffle, so
 a hot host costs one row per task. Defined results: a null URL or one without
 ``://`` has an empty host and path, which the rules and the method judge as any
-other host; null labels are no outcome; repeated pages give repeated results, and
-each counts as an outcome; other columns are ignored, whatever their names.
+other host; null labels and outcomes of a null page id are no outcome; a page with a
+null id is judged and has no outcome; without outcomes nothing is blocked but by
+rule; repeated pages give repeated results, and each counts as an outcome; very long
+URLs are read whole; an empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 Z = 1.645
-MOST_BAD = 0.3
+#: Hosts broadcast at most; beyond, pages are dealt out over this many salts of their host.
+MOST_BROADCAST, SALTS = 1_000_000, 64
 STRENGTH = (1.0, 1000.0)
 
 
@@ -70,7 +76,7 @@ def _strength(level: DataFrame) -> Column:
     return F.when((k < 2) | (n <= 0) | (low <= 0), F.lit(STRENGTH[1])).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), top / low)))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most_bad: float = MOST_BAD) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most_bad: float | None = None) -> DataFrame:
     """Posterior of every host of ``hosts`` from ``outcomes`` (host, bad 0/1): n, bad, rate, bound, blocked.
 
     The three strengths and the mean are four numbers, taken to the driver as one row.
@@ -93,7 +99,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most
     a, total = bad + prior * float(k_host), n + F.lit(float(k_host))
     rate = a / total
     bound = rate - z * F.sqrt(rate * (1 - rate) / (total + 1))
-    return joined.select("host", n.alias("host_n"), bad.alias("host_bad"), rate.alias("rate"), bound.alias("bound"), (bound > most_bad).alias("blocked"))
+    return joined.select("host", n.alias("host_n"), bad.alias("host_bad"), rate.alias("rate"), bound.alias("bound"), (bound > F.lit(float(mean if most_bad is None else most_bad))).alias("blocked"))
 
 
 def url_filter(
@@ -106,7 +112,7 @@ def url_filter(
     bad_col: str = "bad",
     rules: Sequence[tuple[str, str, str]] = RULES,
     z: float = Z,
-    most_bad: float = MOST_BAD,
+    most_bad: float | None = None,
 ) -> DataFrame:
     """Host, path, rule and verdict of every page; hosts without a rule are judged by their reputation.
 
@@ -117,9 +123,14 @@ def url_filter(
     judged = narrow.select("id", host.alias("host"), path.alias("path"))
     known = outcomes.select(outcomes[outcome_id_col].alias("oid"), outcomes[bad_col].cast("int").alias("bad")).filter("oid is not null and bad is not null")
     seen = judged.join(known, F.col("id") == F.col("oid")).select("host", "bad")
-    reputation = host_reputation(seen, judged, z=z, most_bad=most_bad)
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    return judged.withColumn("r", rule).join(reputation, "host").select(
+    reputation = Scratch(pages.sparkSession).keep(host_reputation(seen, judged, z=z, most_bad=most_bad), "reputation")
+    ruled = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    if reputation.count() <= MOST_BROADCAST:
+        joined = ruled.join(F.broadcast(reputation), "host")
+    else:
+        salted = reputation.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = ruled.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+    return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
         "host_n", "host_bad", F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"),
@@ -156,6 +167,6 @@ post as (select x.host, coalesce(b.n, 0) as n, coalesce(b.bad, 0) as bad, (coale
   from (select distinct host, suffix, domain from named) x left join by_host b using (host) left join pd on pd.domain = x.domain left join ps on ps.suffix = x.suffix, kh, mean),
 judged as (select *, case{cases} end as rv from named),
 bounded as (select *, rate - {Z} * sqrt(rate * (1 - rate) / (total + 1)) as bound from post)
-select page_id, j.host, path, string_split(rv, ':')[1] as rule, coalesce(string_split(rv, ':')[2], case when bound > {MOST_BAD} then 'block' else 'allow' end) as verdict,
+select page_id, j.host, path, string_split(rv, ':')[1] as rule, coalesce(string_split(rv, ':')[2], case when bound > mean.v then 'block' else 'allow' end) as verdict,
   n::bigint as host_n, bad::bigint as host_bad, round(rate, 6) as rate, round(bound, 6) as bound
-from judged j join bounded b on j.host = b.host"""
+from judged j join bounded b on j.host = b.host, mean"""
