@@ -27,8 +27,9 @@ itself, and no link between components is lost.
 Defined results: a text of one to four words has its whole sequence as its only
 shingle; texts without words, or null, have an empty set and link with nothing;
 rows that share an id count as one node with the links of each row; a row with a
-null id gets the component of an equal set, else null; other columns are ignored,
-whatever their names.
+null id gets the component of an equal set, else null; very long texts are read
+whole; an empty table gives an empty one; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import numbered
-from .components import connected_components
+from .components import connected_components, crossing
 from ..scratch import Scratch
 from .words import blocks, distinct_sorted, mix, shingles, words
 
@@ -246,26 +247,19 @@ def telling_lists(lists: DataFrame) -> DataFrame:
     The shingles of a shared passage all have the same list. The first shingle that a
     pair shares is the first of its kind, so no pair loses the list that shows it.
     A member is a set of an id (an id may have several) and stands once in a list.
-    Beside the XOR of their hashes the lists have a sum, in which equal members do
-    not cancel; it takes the upper halves, which cannot overflow.
+    Lists are told apart by their length and two sums of hashes of their members,
+    which cannot cancel; a sum of 32-bit halves cannot overflow.
     """
-    mark = [F.xxhash64("id", "s1", F.lit(k)) for k in (0, 1)]
-    marks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(mark[0]).alias("x0"), F.sum(F.shiftright(mark[1], 32)).alias("x1"), F.sum("pos").alias("place"))
+    mark = F.xxhash64("id", "s1")
+    marks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(mark, 32)).alias("x0"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("x1"), F.sum("pos").alias("place"))
     first = marks.groupBy("members", "x0", "x1").agg(F.min(F.struct("place", "key")).alias("m")).select(F.col("m.key").alias("key"))
     return lists.join(first, "key", "left_semi")
 
 
-def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame) -> DataFrame:
+def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame, scratch: Scratch) -> DataFrame:
     """Step two: every pair of one list that lies in different components and may link."""
-    owned = telling_lists(lists.select("key", "id", "n", "s1", "pos")).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1").drop("parts")
-    open_lists = owned.join(split, "key").join(parities, ["id", "n", "s1"])
-    small = open_lists.filter("component <> largest").select("key", F.struct("id", "n", "pos", "component", "parity").alias("p"))
-    rest = open_lists.select("key", F.struct("id", "n", "pos", "component", "parity").alias("q"), "largest")
-    # Two members outside the largest component meet twice; one of the two is enough.
-    once = (F.col("q.component") == F.col("largest")) | (F.col("p.component") < F.col("q.component"))
-    met = small.join(rest, "key").filter(once & (F.col("p.component") != F.col("q.component"))).filter(_may_link("p", "q")).filter(_parity_allows("p", "q"))
+    members = telling_lists(lists.select("key", "id", "n", "s1", "pos")).withColumnRenamed("s1", "mark")
+    met = crossing(members, known, scratch, details=parities.withColumnRenamed("s1", "mark"), on=("id", "n", "mark")).filter(_may_link("p", "q")).filter(_parity_allows("p", "q"))
     return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
@@ -304,7 +298,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     links = verified(near_candidates(lists), picked, scratch, "near").unionByName(ties)
     known = connected_components(links, scratch, "cc1")
-    more = verified(cross_candidates(lists, known, single.select("id", F.col("n").cast("int").alias("n"), "s1", "parity")), picked, scratch, "cross")
+    more = verified(cross_candidates(lists, known, single.select("id", F.col("n").cast("int").alias("n"), "s1", "parity"), scratch), picked, scratch, "cross")
     final = connected_components(links.unionByName(more), scratch, "cc2")
     scratch.drop("lists", "lead", "ties", "near-links", "cross-links")
 
