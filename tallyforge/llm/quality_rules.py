@@ -1,62 +1,57 @@
 """Quality rules: counts over whole texts, then tokeniser fertility bands.
 
 Base counts come from the words of each text (see ``words``). The method's
-verdict measures how a public vocabulary copes with the text: code points per
-token, share of byte-fallback tokens and entropy of the token distribution,
-held against bands per language (or, where a language has none, per script).
+verdict measures how public vocabularies (pieces and bytes) cope with the text:
+code points per token, share of byte-fallback tokens and entropy of the token
+distribution, held against rejection bands per language or, where a language has
+too few texts, per script. The bands are fences around the quartiles of all texts
+of the group that pass the base rules: REACH interquartile ranges to either side.
 Tokens are those of each word by itself, so that a distinct word of a block is
 tokenised once; this equals running text for vocabularies whose pieces do not
 cross white space.
 
 Defined results: a null text counts as empty; a text without tokens has null
-ratios and fails the base rules; repeated rows give repeated results; input
-columns beyond the named ones are ignored, whatever their names.
+ratios and fails the base rules; a null language is judged by script, a group with
+too few texts by the widest band; texts under LEAST_TOKENS tokens are too short to
+judge and are kept if the base rules pass; very long texts count whole; repeated
+rows give repeated results, null ids included; an empty table gives an empty one;
+input columns beyond the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .words import SHINGLE, blocks, shingles, words
 
 TOKENIZER_DIR = "/opt/tokenizers"
-VOCABULARY = "piece_bpe_32k.model"
-
-
-class Band(NamedTuple):
-    """Limits within which a text is kept. Texts under ``least_tokens`` have too few tokens to judge by entropy."""
-
-    chars_per_token: tuple[float, float] = (1.2, 8.0)
-    byte_share: float = 0.2
-    entropy: float = 3.0
-    least_tokens: int = 50
-
-
-#: Rejection bands by language, then by script; "*" holds for the rest.
-BANDS = {
-    "en": Band((1.3, 8.0), 0.1, 3.5),
-    "fr": Band((1.3, 8.0), 0.1, 3.5),
-    "de": Band((1.3, 8.0), 0.1, 3.5),
-    "es": Band((1.3, 8.0), 0.1, 3.5),
-    "Latin": Band((1.2, 8.0), 0.15, 3.5),
-    "Cyrillic": Band((1.0, 6.0), 0.3, 3.5),
-    "Han": Band((0.3, 3.0), 0.8, 3.5),
-    "*": Band((0.25, 8.0), 0.9, 3.0),
-}
-#: First and last code point of the scripts told apart; the script of a text is that of most of its letters.
-SCRIPTS = {"Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)], "Cyrillic": [(0x400, 0x52F)], "Han": [(0x3400, 0x9FFF)]}
-
-SCHEMA = (
-    "{id} {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, band string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
-)
-
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+
+#: Texts with fewer tokens are not judged by the bands.
+LEAST_TOKENS = 50
+#: Texts that a language or script needs for bands of its own.
+LEAST_TEXTS = 100
+#: Interquartile ranges from a quartile to its fence, and the least such range as a share of the upper quartile.
+REACH, LEAST_RANGE = 3.0, 0.02
+#: Byte-fallback share that no band rejects.
+FREE_BYTE_SHARE = 0.1
+#: The widest band (code points per token from, to; byte share; entropy), for groups too small to have one.
+WIDEST = (0.25, 12.0, 0.9, 2.0)
+#: Rows of bands broadcast at most.
+MOST_BROADCAST = 100_000
+
+#: First and last lead byte (UTF-8) of the scripts told apart; the script of a text is that of most of its letters.
+SCRIPTS = {"Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)], "Cyrillic": [(0xD0, 0xD3)], "Han": [(0xE3, 0xE9)]}
+
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -170,11 +165,53 @@ def _cased(w) -> np.ndarray:
     return w.code + np.add.reduceat(marks ^ (marks >> np.uint64(29)), w.start)
 
 
-def script_of(text: str) -> str:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    counts = {name: sum(int(((points >= a) & (points <= b)).sum()) for a, b in ranges) for name, ranges in SCRIPTS.items()}
-    best = max(counts, key=counts.get)
-    return best if counts[best] else "*"
+def scripts_of(w) -> list[str]:
+    """The script of each text of a block; "*" without a letter of any."""
+    n = len(w.first) - 1
+    counts = []
+    for ranges in SCRIPTS.values():
+        inside = np.zeros(256, dtype=bool)
+        for a, b in ranges:
+            inside[a : b + 1] = True
+        counts.append(_per_text(inside[w.data], w.offsets) if len(w.data) else np.zeros(n, dtype=np.int64))
+    most = np.argmax(counts, axis=0)
+    return [name if some else "*" for name, some in zip(np.array(list(SCRIPTS))[most].tolist(), np.max(counts, axis=0).tolist())]
+
+
+def measures(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, vocabularies: Sequence[str], least_words: int, most_repeat_percent: int) -> DataFrame:
+    """Counts and fertility of every text, per vocabulary k in columns that end in k; a map over partitions."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                base, w = base_counts(block.column(1))
+                failed = (base["n_words"] < least_words) | (100 * base["n_repeat_words"] > most_repeat_percent * base["n_words"])
+                columns = [block.column(0), block.column(2), pa.array(scripts_of(w), pa.string()), *(pa.array(base[k], pa.int64()) for k in _BASE), pa.array(failed)]
+                for vocabulary in vocabularies:
+                    tokens, fallback, entropy = fertility(w, vocabulary)
+                    none = tokens == 0
+                    columns += [pa.array(tokens, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (base["word_chars"] / np.maximum(tokens, 1), fallback / np.maximum(tokens, 1), entropy))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    per = [f"{c}_{k}" for k in range(len(vocabularies)) for c in ("n_tokens", *MEASURES)]
+    names = ["id", "lang", "script", *_BASE, "base_failed", *per]
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    types = [picked.schema["id"].dataType.simpleString(), "string", "string", *["long"] * len(_BASE), "boolean", *(t for _ in vocabularies for t in ("long", "double", "double", "double"))]
+    return picked.mapInArrow(measure, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+
+
+def bands(measured: DataFrame, group: str, n_vocabularies: int, least_texts: int) -> DataFrame:
+    """(group, band): per vocabulary low and high code points per token, most byte share and least entropy, of groups with enough texts."""
+    judged = measured.filter(~F.col("base_failed") & (F.col("n_tokens_0") >= LEAST_TOKENS) & F.col(group).isNotNull())
+    quartiles = [F.percentile_approx(f"{m}_{k}", [0.25, 0.75], 10_000).alias(f"q_{m}_{k}") for k in range(n_vocabularies) for m in MEASURES]
+    found = judged.groupBy(group).agg(F.count(F.lit(1)).alias("texts"), *quartiles).filter(F.col("texts") >= least_texts)
+    at = lambda m, k, i: F.get(f"q_{m}_{k}", i)
+    reach = lambda m, k: REACH * F.greatest(at(m, k, 1) - at(m, k, 0), LEAST_RANGE * at(m, k, 1))
+    band = lambda k: F.struct(
+        (at(MEASURES[0], k, 0) - reach(MEASURES[0], k)).alias("low"), (at(MEASURES[0], k, 1) + reach(MEASURES[0], k)).alias("high"),
+        F.greatest(at(MEASURES[1], k, 1) + reach(MEASURES[1], k), F.lit(FREE_BYTE_SHARE)).alias("bytes"), (at(MEASURES[2], k, 0) - reach(MEASURES[2], k)).alias("entropy"),
+    )
+    return found.select(group, F.array(*[band(k) for k in range(n_vocabularies)]).alias(f"{group}_band"))
 
 
 def quality_rules(
@@ -183,49 +220,31 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}",
-    bands: dict[str, Band] = BANDS,
+    vocabularies: Sequence[str] = tuple(f"{TOKENIZER_DIR}/{v}" for v in VOCABULARIES),
     least_words: int = 10,
     most_repeat_percent: int = 20,
+    least_texts: int = LEAST_TEXTS,
 ) -> DataFrame:
     """One row per document: base counts, fertility measures, verdicts.
 
     ``base_failed``: n_words < least_words, or 100 * n_repeat_words > most_repeat_percent * n_words.
-    ``kept``: not base_failed and within the band of the language, else of the script.
-    A map over partitions: no shuffle, and a worker holds a block of texts at a time.
+    ``kept``: not base_failed and within the band of the language, else of the script, for every vocabulary.
+    Texts are read once; the narrow measures are written, and the bands come from sums of quantile sketches over them.
     """
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch, "text"):
-                base, w = base_counts(block.column(1))
-                tokens, fallback, entropy = fertility(w, vocabulary)
-                failed = (base["n_words"] < least_words) | (100 * base["n_repeat_words"] > most_repeat_percent * base["n_words"])
-                some = tokens > 0
-                per = np.where(some, base["word_chars"] / np.maximum(tokens, 1), 0.0)
-                share = np.where(some, fallback / np.maximum(tokens, 1), 0.0)
-                langs = block.column(2).to_pylist()
-                names = [x if x in bands else script_of(block.column(1)[i].as_py() or "") for i, x in enumerate(langs)]
-                names = [x if x in bands else "*" for x in names]
-                own = [bands[x] for x in names]
-                low = np.array([b.chars_per_token[0] for b in own])
-                high = np.array([b.chars_per_token[1] for b in own])
-                good = (per >= low) & (per <= high) & (share <= np.array([b.byte_share for b in own]))
-                good &= (entropy >= np.array([b.entropy for b in own])) | (tokens < np.array([b.least_tokens for b in own]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.column(0),
-                        *(pa.array(base[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-                        pa.array(failed),
-                        pa.array(~failed & some & good),
-                        pa.array(names, pa.string()),
-                        pa.array(tokens, pa.int64()),
-                        pa.array(per, pa.float64(), mask=~some),
-                        pa.array(share, pa.float64(), mask=~some),
-                        pa.array(entropy, pa.float64(), mask=~some),
-                    ],
-                    names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "n_tokens", "chars_per_token", "byte_share", "token_entropy"],
-                )
-
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    return picked.mapInArrow(judge, SCHEMA.format(id=f"`{id_col}`", id_type=picked.schema["id"].dataType.simpleString()))
+    n = len(vocabularies)
+    found = measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, vocabularies=vocabularies, least_words=least_words, most_repeat_percent=most_repeat_percent)
+    scratch = Scratch(docs.sparkSession)
+    measured = scratch.keep(found, "measures")
+    for group in ("lang", "script"):
+        own = scratch.keep(bands(measured, group, n, least_texts), f"bands-{group}")
+        found = (found if group == "script" else measured).join(F.broadcast(own) if own.count() <= MOST_BROADCAST else own, group, "left")
+    widest = F.struct(*[F.lit(x).alias(c) for x, c in zip(WIDEST, ("low", "high", "bytes", "entropy"))])
+    band = F.coalesce("lang_band", "script_band", F.array(*[widest] * n))
+    good = F.lit(True)
+    for k in range(n):
+        own = F.get(band, k)
+        within = F.col(f"chars_per_token_{k}").between(own["low"], own["high"]) & (F.col(f"byte_share_{k}") <= own["bytes"]) & (F.col(f"token_entropy_{k}") >= own["entropy"])
+        good = good & ((F.col(f"n_tokens_{k}") < LEAST_TOKENS) | F.coalesce(within, F.lit(False)))
+    name = F.when(F.col("lang_band").isNotNull(), F.col("lang")).when(F.col("script_band").isNotNull(), F.col("script")).otherwise("*")
+    per = [f"{c}_{k}" for k in range(n) for c in ("n_tokens", *MEASURES)]
+    return found.select(F.col("id").alias(id_col), *_BASE, "base_failed", (~F.col("base_failed") & good).alias("kept"), name.alias("band"), *per)
