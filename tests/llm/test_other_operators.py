@@ -195,6 +195,20 @@ def test_bad_hosts_are_blocked_and_priors_flow_down(spark):
     assert got["new.spam.org"].bound < got["bad.spam.org"].bound
 
 
+@pytest.mark.parametrize("most_broadcast", [U.MOST_BROADCAST, 0])
+def test_the_query_blocks_a_host_by_its_outcomes(spark, tmp_path, monkeypatch, most_broadcast):
+    from tallyforge.llm.queries import QUERIES
+
+    monkeypatch.setattr(U, "MOST_BROADCAST", most_broadcast)
+    rows = [(i, f"http://h{i % 20}.example.org/p") for i in range(2000)] + [(2000 + i, "http://bad.spam.org/p") for i in range(100)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i, int(i // 20 % 10 > 0) if i < 2000 else 0, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = QUERIES["op5_url_filter"](spark, folder).collect()
+    assert len(got) == len(rows) and {r.host for r in got if r.verdict == "block"} == {"bad.spam.org"}
+    assert all(r.rule is None for r in got)
+
+
 # Lines
 
 
@@ -218,8 +232,7 @@ def test_line_dedup_matches_brute_force(odd_docs, no_docs):
 def brute_quality(text):
     text = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)
-    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws]
-    grams = [tuple(low[i : i + 5]) for i in range(len(low) - 4)]
+    grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
     times, hit = Counter(grams), set()
     for i, g in enumerate(grams):
         if times[g] > 1:
@@ -228,27 +241,67 @@ def brute_quality(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
 
 
-def test_quality_counts_and_fertility_match_brute_force(odd_docs, no_docs):
+def plain_encoders():
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encode, partial = Q.load_vocabulary("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+    return [(model.encode, [model.is_byte(i) for i in range(model.get_piece_size())]), (lambda w: encode([w])[0], partial)]
+
+
+def plain_measures(text, encode, is_byte):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for w in ws for i in encode(w)]
+    if not ids:
+        return 0, None, None, None
+    share = np.array(list(Counter(ids).values())) / len(ids)
+    return len(ids), sum(map(len, ws)) / len(ids), sum(bool(is_byte[i]) for i in ids) / len(ids), float(-(share * np.log2(share)).sum())
+
+
+def test_quality_counts_and_fertility_match_brute_force(odd_docs, no_docs):
     got = Q.quality_rules(odd_docs).collect()
     by_text = Counter((r.doc_id, brute_quality(r.text)) for r in odd_docs.collect())
     assert Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == by_text
     texts = {r.doc_id: r.text for r in odd_docs.collect() if r.doc_id not in (None, 7)}
     for r in got:
-        ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", texts.get(r.doc_id) or "") for i in model.encode(w)]
-        if r.doc_id not in texts or not ids:
-            continue
-        share = np.array(list(Counter(ids).values())) / len(ids)
-        assert r.n_tokens == len(ids)
-        assert r.chars_per_token == pytest.approx(r.word_chars / len(ids))
-        assert r.byte_share == pytest.approx(sum(model.is_byte(i) for i in ids) / len(ids))
-        assert r.token_entropy == pytest.approx(float(-(share * np.log2(share)).sum()))
+        if r.doc_id in texts:
+            for k, (encode, is_byte) in enumerate(plain_encoders()):
+                want = plain_measures(texts[r.doc_id], encode, is_byte)
+                assert [r[f"n_tokens_{k}"], *(r[f"{m}_{k}"] for m in Q.MEASURES)] == pytest.approx(list(want))
     assert all(not r.kept for r in got if r.base_failed)
     assert Q.quality_rules(no_docs).count() == 0
 
 
+def test_quality_bands_match_brute_force_and_reject_junk(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):
+        lang = "en" if i < 120 else "xx" if i % 2 else None
+        text = words(rng, rng.randint(60, 150))
+        if i % 30 == 0:
+            text = " ".join("$$$ ### %%%".split()[rng.randrange(3)] + w[:1] for w in text.split())
+        rows.append((i, text, lang))
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least_texts=100).collect()}
+    found = {i: [plain_measures(t, *e) for e in plain_encoders()] for i, t, _ in rows}
+    judged = [i for i, _, _ in rows if not got[i].base_failed and found[i][0][0] >= Q.LEAST_TOKENS]
+
+    def fences(ids, k, m):
+        values = sorted(found[i][k][1 + m] for i in ids)
+        low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
+        reach = Q.REACH * max(high - low, Q.LEAST_RANGE * high)
+        return low - reach, high + reach
+
+    for i, _, lang in rows:
+        ids = [j for j in judged if lang != "en" or j < 120]
+        good = not got[i].base_failed
+        for k in range(2):
+            n, per, share, entropy = found[i][k]
+            (low, high), (_, most), (least, _) = (fences(ids, k, m) for m in range(3))
+            good = good and (n < Q.LEAST_TOKENS or (low <= per <= high and share <= max(most, Q.FREE_BYTE_SHARE) and entropy >= least))
+        assert got[i].kept == good and got[i].band == ("en" if lang == "en" else "Latin")
+    assert not any(got[i].kept for i in range(0, 150, 30)) and sum(r.kept for r in got.values()) >= 142
+
+
 def test_repeats_in_other_capitals_are_no_repeats(spark):
     rng = random.Random(9)
     phrase = " ".join(f"word{rng.randint(0, 99)}" for _ in range(8))
@@ -266,11 +319,6 @@ def test_repeats_in_other_capitals_are_no_repeats(spark):
     assert want[0] == 0 and want[1] == 16 and not [r for r in got if r.doc_id == 0][0].base_failed
 
 
-def test_quality_with_the_byte_level_vocabulary(odd_docs):
-    got = Q.quality_rules(odd_docs, vocabulary="/opt/tokenizers/byte_bpe_multi_50k.tiktoken").collect()
-    assert len(got) == odd_docs.count() and any(r.byte_share for r in got)
-
-
 # Fingerprints
 
 
@@ -487,10 +535,38 @@ def test_vector_and_plain_search_agree():
         assert own.loss[k] == pytest.approx(found[0][0] - found[1][0]) if len(found) > 1 else own.loss[k] == float("inf")
 
 
+def test_piece_scores_match_brute_force_and_give_encodings_like_the_library(spark, odd_docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(17)
+    texts = [words(rng, 300) for _ in range(40)]
+    scores = S.piece_scores(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
+    seen = Counter(i for t in texts for w in t.split(" ") for i in model.encode(w))
+    counts = np.array([seen[i] + 0.5 for i in range(model.get_piece_size())])
+    assert scores == pytest.approx(np.log(counts / counts.sum()), abs=1e-6)
+    own = S.Lattice(MODEL, 4, scores)
+    pieces = sum(len(ids) for _, ids, _ in own.encode(texts))
+    assert 0.95 <= pieces / sum(len(model.encode(t)) for t in texts) <= 1.05
+    every = all_paths(own, S.MARK + "shonthe" + S.MARK + "ana")[:4]
+    assert [s for s, _ in own.encode(["shonthe ana"])[0][0]] == pytest.approx([s for s, _ in every])
+
+
+def test_ties_do_not_depend_on_the_block():
+    own = [S.Lattice(MODEL, 4, np.full(32000, -1.0)) for _ in range(2)]
+    rng = random.Random(18)
+    segments = sorted({S.MARK + "".join(rng.choice("the") for _ in range(7)) for _ in range(60)})
+    own[0].learn(segments)
+    for s in segments:
+        own[1].learn([s])
+    ids = lambda o, s: list(o.ids[o.begin[o.number[s]] :][: o.count[o.number[s]]])
+    assert [ids(own[0], s) for s in segments] == [ids(own[1], s) for s in segments]
+
+
 def test_nbest_odd_rows(odd_docs, no_docs):
     got = S.nbest_encode(odd_docs).collect()
     texts = Counter((r.doc_id, r.text or "") for r in odd_docs.collect())
-    own = S.lattice(MODEL, 4)
+    own = S.lattice(MODEL, 1)
     assert Counter((r.doc_id, own.decode(r.ids)) for r in got if r.round_trip) == Counter({k: n for k, n in texts.items() if S.MARK not in k[1]})
     assert all(r.scores == sorted(r.scores, reverse=True) and r.best_score == r.scores[0] for r in got)
     assert all(r.n_pieces == 0 and r.scores == [0.0] for r in got if r.doc_id in (0, 1))
