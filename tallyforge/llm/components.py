@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: Members of one key that one task takes at most; a larger key is dealt out.
+#: Members of one key that are ordered together at most; a larger key is dealt out by salt.
+SALT_SHARE = 256
+#: Members on either side of a block of pairs.
 KEY_SHARE = 4096
 #: Rows of a side table broadcast at most.
 MOST_BROADCAST = 1_000_000
@@ -39,11 +41,11 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
 
 
 def dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (id, mark, key) of keys that have several, each with a salt that deals a key of over KEY_SHARE members out."""
+    """Members (id, mark, key) of keys that have several, each with a salt that deals a key of over SALT_SHARE members out."""
     sizes = scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "key-sizes")
     held = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
-    salts = F.ceil(F.col("members") / KEY_SHARE)
-    return members.join(held, "key").select("key", F.pmod(F.xxhash64("mark", "id"), salts).cast("int").alias("salt"), "id", "mark")
+    salts = F.ceil(F.col("members") / SALT_SHARE)
+    return members.join(held, "key").select("key", F.pmod(F.xxhash64("mark", "id", "key"), salts).cast("int").alias("salt"), "id", "mark")
 
 
 def crossing(members: DataFrame, known: DataFrame, scratch: Scratch, *, details: DataFrame | None = None, on: tuple[str, ...] = ("id", "mark")) -> DataFrame:

@@ -10,8 +10,9 @@ it stood whatever was inserted before it, so an edit disturbs the walks near it
 no others, in texts of any length. What a walk emits at sampled steps is folded
 into two bytes; likeness is the share of equal bytes.
 
-Near copies are found by bit-sampled bands: each band takes the bytes of four
-walks as a key. Sharing a key proposes a pair, likeness verifies it.
+Near copies are found by bit-sampled bands: each band takes the bytes of eight
+walks as a key, which texts that share a passage of half their length have in common
+once in hundreds of bands. Sharing a key proposes a pair, likeness verifies it.
 
 Defined results: null counts as the empty text; equal texts have equal
 fingerprints and likeness 1, two empty ones included; repeated ids are ordered by
@@ -42,9 +43,12 @@ WALKS = 64
 GRAM = 8
 #: Steps at which a walk's characters are folded into its first and its second byte.
 SAMPLED = ((16, 21, 26), (31, 36, 41))
-BANDS = 16
+#: Bands, and walks in each.
+BANDS, BAND_WALKS = 32, 8
 #: Likeness from which two fingerprints are near copies.
 LEAST = 0.75
+#: Classes before it in a key that a class is tried against at first.
+TRIED = 3
 #: Rows of small tables broadcast at most.
 MOST_BROADCAST = 1_000_000
 #: Code points read at once: bounds a worker's memory.
@@ -66,8 +70,9 @@ def walk_bits() -> np.ndarray:
 
 
 def band_walks() -> np.ndarray:
-    """The walks of each band, every walk in one."""
-    return np.random.Generator(np.random.PCG64([_SEED, BANDS])).permutation(WALKS).reshape(BANDS, -1)
+    """The walks of each band; every walk is in as many."""
+    rng = np.random.Generator(np.random.PCG64([_SEED, BANDS]))
+    return np.concatenate([rng.permutation(WALKS).reshape(-1, BAND_WALKS) for _ in range(BANDS * BAND_WALKS // WALKS)])
 
 
 def characters(text: str) -> np.ndarray:
@@ -271,8 +276,8 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     """Per row: id, class_id (smallest id with an equal fingerprint) and component_id (smallest id reachable by links).
 
     Equal fingerprints are one class. In each band a class is first verified against
-    the one that leads its key and the one before it, which joins most near copies;
-    then all pairs of a key that lie in different components are, in blocks. So a
+    the one that leads its key and the TRIED before it, in an order that differs from
+    key to key, which joins most near copies; then all pairs of a key that lie in different components are, in blocks. So a
     group of near copies is never paired with itself, and no link between components
     that any band shows is lost.
     """
@@ -281,11 +286,13 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     classes = scratch.keep(own.groupBy("print").agg(F.min("id").alias("id")).withColumn("mark", F.xxhash64("print")), "classes")
     named = classes.filter("id is not null")
     members = scratch.keep(dealt(named.select("id", "mark", F.explode(F.array(*band_keys())).alias("key")), scratch), "members")
-    order = Window.partitionBy("key", "salt").orderBy("id", "mark")
+    order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("mark", "id", "key"), "id", "mark")
     member = F.struct("id", "mark")
-    beside = members.select(F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(member).over(order).alias("o"), member.alias("q"))
-    near = beside.filter("o is not null").select(F.explode(F.array_distinct(F.array("p", "o"))).alias("p"), "q").filter("p.id <> q.id")
-    pair = lambda df: df.select(F.col("p.id").alias("a"), F.col("p.mark").alias("ha"), F.col("q.id").alias("b"), F.col("q.mark").alias("hb")).distinct()
+    before = [F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag(member, k).over(order) for k in range(1, TRIED + 1))]
+    near = members.select(F.array_distinct(F.array_compact(F.array(*before))).alias("ps"), member.alias("q")).select(F.explode("ps").alias("p"), "q").filter("p.id <> q.id")
+    sides = (F.struct("p.id", "p.mark"), F.struct("q.id", "q.mark"))
+    one_way = lambda df: df.select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y"))
+    pair = lambda df: one_way(df).select(F.col("x.id").alias("a"), F.col("x.mark").alias("ha"), F.col("y.id").alias("b"), F.col("y.mark").alias("hb")).distinct()
     one = scratch.keep(verified(pair(near), named, least).select("a", "b"), "one")
     known = connected_components(one, scratch, "cc1")
     two = scratch.keep(verified(pair(crossing(members, known, scratch)), named, least).select("a", "b"), "two")

@@ -413,6 +413,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch, share):
     from tallyforge.llm import components as C
 
     monkeypatch.setattr(C, "KEY_SHARE", share)
+    monkeypatch.setattr(C, "SALT_SHARE", share)
     rng = random.Random(4)
     base = [words(rng, 150) for _ in range(40)]
     texts = base + [with_edits(rng, t, 0.004) for t in base] + [with_edits(rng, base[0], 0.006) for _ in range(30)] + [base[1], base[1], "", ""]
