@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType
 
 from ..scratch import Scratch
 from .components import connected_components, crossing, dealt
@@ -259,17 +260,27 @@ def band_keys() -> list:
     return [F.xxhash64(F.lit(b), *(F.substring("print", 2 * int(w) + 1, 2) for w in own)) for b, own in enumerate(band_walks())]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, ha, b, hb) with the likeness of their classes (id, mark, print), if it is ``least`` or more."""
+@F.pandas_udf(ArrayType(LongType()))
+def as_longs(prints: pd.Series) -> pd.Series:
+    """The bytes of fingerprints, eight to a number."""
+    return pd.Series(list(np.frombuffer(b"".join(prints), dtype="<i8").reshape(-1, _WIDTH // 8)))
+
 
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, _WIDTH) for s in (x, y))
-        return pd.Series(likeness(a, b))
+def alike(a: str, b: str):
+    """``likeness`` of two columns of longs: a byte that differs leaves a one at its lowest place."""
+    out = F.lit(0)
+    for k in range(_WIDTH // 8):
+        x = F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return 1 - out / _WIDTH
 
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("mark").alias(f"h{c}"), F.col("print").alias(f"p{c}"))
-    both = pairs.join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"])
-    return both.select("a", "b", alike("pa", "pb").alias("likeness")).filter(F.col("likeness") >= least)
+
+def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, ha, b, hb) whose classes (id, mark, longs) have a likeness of ``least`` or more."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("mark").alias(f"h{c}"), F.col("longs").alias(f"p{c}"))
+    return pairs.join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"]).filter(alike("pa", "pb") >= least).select("a", "b").distinct()
 
 
 def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: str = "fingerprint", least: float = LEAST) -> DataFrame:
@@ -283,7 +294,7 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     """
     scratch = Scratch(prints.sparkSession)
     own = prints.select(prints[id_col].alias("id"), F.unhex(prints[fingerprint_col]).alias("print"))
-    classes = scratch.keep(own.groupBy("print").agg(F.min("id").alias("id")).withColumn("mark", F.xxhash64("print")), "classes")
+    classes = scratch.keep(own.groupBy("print").agg(F.min("id").alias("id")).withColumns({"mark": F.xxhash64("print"), "longs": as_longs("print")}), "classes")
     named = classes.filter("id is not null")
     members = scratch.keep(dealt(named.select("id", "mark", F.explode(F.array(*band_keys())).alias("key")), scratch), "members")
     order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("mark", "id", "key"), "id", "mark")
@@ -293,9 +304,11 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     sides = (F.struct("p.id", "p.mark"), F.struct("q.id", "q.mark"))
     one_way = lambda df: df.select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y"))
     pair = lambda df: one_way(df).select(F.col("x.id").alias("a"), F.col("x.mark").alias("ha"), F.col("y.id").alias("b"), F.col("y.mark").alias("hb")).distinct()
-    one = scratch.keep(verified(pair(near), named, least).select("a", "b"), "one")
+    one = scratch.keep(verified(pair(near), named, least), "one")
     known = connected_components(one, scratch, "cc1")
-    two = scratch.keep(verified(pair(crossing(members, known, scratch)), named, least).select("a", "b"), "two")
+    # Verified where they meet: only links leave the join.
+    met = crossing(members, known, scratch, details=named.select("id", "mark", "longs")).filter(alike("p.longs", "q.longs") >= least)
+    two = scratch.keep(met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "two")
     final = connected_components(one.unionByName(two), scratch, "cc2")
     small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
     joined = classes.select("print", F.col("id").alias("class_id")).join(small(final), F.col("class_id") == F.col("node"), "left")
