@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,44 +17,49 @@ from .windows import distributed_rank
 MOST_QUERIES = 10_000
 
 
-def _tokens(text: str) -> int:
-    return max(1, len(text) // 4) if text else 0
+def _tokens(size: int) -> int:
+    """Estimated tokens of so many characters."""
+    return max(1, size // 4) if size else 0
 
 
-def _pieces(paragraph: str, target: int) -> list[str]:
-    """A paragraph over the target as runs of sentences or lines, then hard cuts."""
-    if _tokens(paragraph) <= target:
+def _fill(ends: np.ndarray, begin: int, room: int) -> int:
+    """The place after the last of the items that fit into ``room`` from ``begin`` on, one at least; ``ends`` are cumulative sizes from 0."""
+    return max(begin + 1, int(np.searchsorted(ends, ends[begin] + room, "right")) - 1)
+
+
+_SENTENCE = re.compile(r"(?:(?<=[.!?])\s+|\n)")
+
+
+def _units(paragraph: str, target: int) -> list[str]:
+    """A paragraph as it is, or, where it is over the target, its sentences and lines in runs that fit; a sentence that does not fit alone is cut by length."""
+    if _tokens(len(paragraph)) <= target:
         return [paragraph]
-    runs, held = [], ""
-    for s in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n", paragraph))):
-        joined = f"{held} {s}" if held else s
-        if held and _tokens(joined) > target:
-            runs.append(held)
-            held = s
-        else:
-            held = joined
-    if held:
-        runs.append(held)
-    step = max(200, target * 4)
-    return [x for r in runs for x in ([r] if _tokens(r) <= target else [r[i : i + step] for i in range(0, len(r), step)])]
+    sentences = [s for s in map(str.strip, _SENTENCE.split(paragraph)) if s]
+    # A run of sentences, one space between, has as many characters as its ends are apart, less one.
+    ends = np.cumsum([0, *(len(s) + 1 for s in sentences)])
+    units, at = [], 0
+    while at < len(sentences):
+        to = _fill(ends, at, 4 * (target + 1))
+        run = " ".join(sentences[at:to])
+        width = len(run) if _tokens(len(run)) <= target else max(200, 4 * target)
+        units += [run[i : i + width] for i in range(0, len(run), width)]
+        at = to
+    return units
 
 
 def chunk_text(text: str | None, target: int = 500, overlap: int = 50) -> list[str]:
     """Whole paragraphs packed up to about ``target`` tokens (characters / 4); a chunk begins with the tail of the one before."""
-    if not text or not text.strip():
-        return []
-    parts = [x for p in text.replace("\r\n", "\n").split("\n\n") if p.strip() for x in _pieces(p.strip(), target)]
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for p in parts:
-        if held and size + _tokens(p) > target:
-            out.append("\n\n".join(held))
-            tail = out[-1][-overlap * 4 :].lstrip() if overlap else ""
-            held, size = ([tail], _tokens(tail)) if tail else ([], 0)
-        held.append(p)
-        size += _tokens(p)
-    return out + (["\n\n".join(held)] if held else [])
+    paragraphs = map(str.strip, (text or "").replace("\r\n", "\n").split("\n\n"))
+    units = [u for p in paragraphs if p for u in _units(p, target)]
+    ends = np.cumsum([0, *(_tokens(len(u)) for u in units)])
+    chunks: list[str] = []
+    at = 0
+    while at < len(units):
+        tail = chunks[-1][max(0, len(chunks[-1]) - 4 * overlap) :].lstrip() if chunks else ""
+        to = _fill(ends, at, target - _tokens(len(tail)))
+        chunks.append("\n\n".join(([tail] if tail else []) + units[at:to]))
+        at = to
+    return chunks
 
 
 def chunk_documents(texts: DataFrame, *, target: int = 500, overlap: int = 50) -> DataFrame:
@@ -61,7 +67,7 @@ def chunk_documents(texts: DataFrame, *, target: int = 500, overlap: int = 50) -
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, c, _tokens(c)) for d, t in zip(frame["document_id"], frame["text"]) for i, c in enumerate(chunk_text(t, target, overlap))]
+            rows = [(d, i, c, _tokens(len(c))) for d, t in zip(frame["document_id"], frame["text"]) for i, c in enumerate(chunk_text(t, target, overlap))]
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "text", "token_count"])
 
     key = texts.schema["document_id"].dataType.simpleString()
