@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import civic_numbers, normalize_job, normalize_name, phrase_in, prefix_candidates, street_signature
+from ..functions.text import civic_numbers, normalize_job, normalize_name, prefix_candidates, street_signature
 
 
 def docs_with_text(documents: DataFrame, texts: DataFrame) -> DataFrame:
@@ -63,16 +63,44 @@ def containing(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFr
     return left.join(right, "_g").filter(F.contains(F.col(name), F.col(key))).drop("_g")
 
 
-def token_phrases(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:
-    """Pairs whose normalised text holds the other's as a whole-token phrase, by equality on a shared token.
+def _runs(df: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
+    """Rows with ``phrase``: every distinct run of so many tokens of a normalised text."""
+    tokens = F.split(text, " ")
+    starts = lambda n: F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+    runs = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+    of_size = [runs(n) for n in sizes]
+    return df.filter(F.col(text) != "").withColumn("phrase", F.explode(F.array_distinct(F.concat(*of_size))))
 
-    Any phrase match shares the phrase's first token, so pairs meet on that token alone.
+
+def _sizes(df: DataFrame, text: str) -> list[int]:
+    """The numbers of tokens that occur: one short row each reaches the driver."""
+    return sorted(r["n"] for r in df.filter(F.col(text) != "").select(F.size(F.split(text, " ")).alias("n")).distinct().collect())
+
+
+def phrase_targets(keys: DataFrame, text: str, names: DataFrame, name: str, *, either_way: bool = True) -> DataFrame:
+    """(key, target) where a key's normalised text holds a name as a whole-token phrase, or the other way round.
+
+    Runs of tokens meet whole phrases by equality. Of each phrase only the smallest
+    target goes on, so a phrase that all names share costs one row per key.
     """
-    first = lambda df, text: df.withColumn("_t", F.get(F.split(text, " "), 0)).filter("_t <> ''")
-    every = lambda df, text: df.withColumn("_t", F.explode(F.array_distinct(F.split(text, " "))))
-    one = first(left, left_text).join(every(right, right_text), "_t").filter(phrase_in(F.col(left_text), F.col(right_text)))
-    two = every(left, left_text).join(first(right, right_text), "_t").filter(phrase_in(F.col(right_text), F.col(left_text)))
-    return one.unionByName(two).drop("_t")
+    held = names.filter(F.col(name) != "").groupBy(F.col(name).alias("phrase")).agg(F.min("target").alias("target"))
+    name_sizes = _sizes(names, name)
+    out = (_runs(keys, text, name_sizes).join(held, "phrase") if name_sizes else keys.join(held, F.lit(False))).select("key", "target")
+    text_sizes = _sizes(keys, text) if either_way else []
+    if text_sizes:
+        inside = _runs(names, name, text_sizes).groupBy("phrase").agg(F.min("target").alias("target"))
+        out = out.unionByName(keys.withColumn("phrase", F.col(text)).join(inside, "phrase").select("key", "target"))
+    return out
+
+
+def _prefixes(text: Column) -> Column:
+    """All prefixes of three characters or more."""
+    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(3), F.length(text)), lambda n: F.substring(text, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
+def _ends(df: DataFrame, by: str) -> DataFrame:
+    """Smallest and greatest target per value: they differ if it has several, which is all that a unique match asks."""
+    return df.groupBy(by).agg(F.array(F.min("target"), F.max("target")).alias("targets"))
 
 
 def job_to_project(jobs: DataFrame, projects: DataFrame) -> DataFrame:
@@ -81,12 +109,15 @@ def job_to_project(jobs: DataFrame, projects: DataFrame) -> DataFrame:
     norm = keys.withColumn("job", normalize_job(F.col("key"))).filter("job <> ''")
     dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"), normalize_job(F.col("code")).alias("pcode"), street_signature(F.col("name")).alias("street"))
     exact = norm.join(dim, F.col("job") == F.col("pname")).select("key", "target").unionByName(norm.join(dim, F.col("job") == F.col("pcode")).select("key", "target"))
-    by_name = token_phrases(norm, "job", dim, "pname").select("key", "target")
-    by_code = token_phrases(norm, "job", dim, "pcode").select("key", "target")
+    by_name = phrase_targets(norm, "job", dim, "pname")
+    by_code = phrase_targets(norm, "job", dim, "pcode")
     prefix = keys.select("key", F.explode(prefix_candidates(F.col("key"))).alias("c"))
-    # A signature that starts with a candidate is met by equality on the candidate's own length.
-    starts = dim.filter("length(street) >= 3").select("target", F.explode(F.transform(F.sequence(F.lit(3), F.length("street")), lambda n: F.substring("street", F.lit(1), n))).alias("c"))
-    street = prefix.join(starts, "c").select("key", "target").distinct()
+    # A signature starts with a candidate, or a candidate with a signature: one's prefixes meet the other whole.
+    signed = dim.filter("length(street) >= 3").select("target", "street")
+    starts = _ends(signed.select("target", F.explode(_prefixes(F.col("street"))).alias("c")), "c")
+    whole = _ends(signed.select("target", F.col("street").alias("c")), "c")
+    met = prefix.join(starts, "c").unionByName(prefix.select("key", F.explode(_prefixes(F.col("c"))).alias("c")).join(whole, "c"))
+    street = met.select("key", F.explode("targets").alias("target")).distinct()
     return precedence_join(keys, [Strategy(exact, "job_name", 1.0), Strategy(by_name, "job_phrase", 0.8), Strategy(by_code, "job_code", 0.85), Strategy(street, "street_prefix", 0.7, True)])
 
 
@@ -98,7 +129,7 @@ def resolve_project_ref(refs: DataFrame, projects: DataFrame) -> DataFrame:
     by_code = keys.join(projects, low == F.lower("code")).select("key", F.col("id").alias("target"))
     norm = keys.withColumn("ref", normalize_job(F.col("key")))
     dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    by_name = token_phrases(norm, "ref", dim, "pname").select("key", "target")
+    by_name = phrase_targets(norm, "ref", dim, "pname")
     return precedence_join(keys, [Strategy(by_id, "id", 1.0), Strategy(by_code, "code", 1.0), Strategy(by_name, "name", 0.8)])
 
 
@@ -198,9 +229,9 @@ def sender_attribution(messages: DataFrame, projects: DataFrame, defaults: DataF
     keys = messages.select(F.col("id").alias("key"))
     norm = messages.select(F.col("id").alias("key"), "sender", normalize_job(F.col("text")).alias("words"))
     dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    name = token_phrases(norm.select("key", "words"), "words", dim, "pname").filter(phrase_in(F.col("pname"), F.col("words"))).select("key", "target")
+    name = phrase_targets(norm.select("key", "words"), "words", dim, "pname", either_way=False)
     each = norm.select("key", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
-    words = dim.select("target", F.explode(F.filter(F.array_distinct(F.split("pname", " ")), lambda t: F.length(t) >= 4)).alias("w"))
+    words = dim.select("target", F.explode(F.filter(F.array_distinct(F.split("pname", " ")), lambda t: F.length(t) >= 4)).alias("w")).groupBy("w").agg(F.min("target").alias("target"))
     word = each.join(words, "w").select("key", "target").distinct()
     default = norm.join(defaults.select("sender", F.col("project_id").alias("target")), "sender").select("key", "target")
     vote = norm.join(votes.select("sender", F.col("project_id").alias("target")), "sender").select("key", "target")
@@ -256,7 +287,7 @@ def site_resolution(sites: DataFrame, projects: DataFrame, hints: DataFrame) ->
     keys = sites.select("key").distinct()
     norm = keys.withColumn("s", normalize_job(F.col("key")))
     dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    hit = token_phrases(norm, "s", dim, "pname").select("key", "target")
+    hit = phrase_targets(norm, "s", dim, "pname")
     hint = keys.join(hints.select("key", F.col("project_id").alias("target")), "key")
     return precedence_join(keys, [Strategy(hit, "site_name", 0.9), Strategy(hint, "hint", 0.5)])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -99,15 +100,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 12, min_similarity: float = 0.0, pool: int = 0) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 12, min_similarity: float = 0.0) -> DataFrame:
     """Per query the chunks of best fused rank 1 / (60 + cosine rank) + 1 / (60 + keyword rank).
 
-    ``queries``: query_id, embedding, query_text; ``chunks``: id, embedding, text. The
-    queries (a counted, bounded set) are broadcast. Ranks count every chunk by
-    ``distributed_rank``, so no task holds all chunks of a query.
+    ``queries``: query_id, embedding, query_text; ``chunks``: id, embedding, text. Every
+    chunk is scored for every query; the queries are broadcast in blocks of about
+    MOST_QUERIES. Ranks count every chunk by ``distributed_rank``, so no task holds
+    all chunks of a query.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: pass them in blocks")
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        parts = [_search_block(queries.filter(block == b), chunks, top_k, min_similarity) for b in range(2 * blocks)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    return _search_block(queries, chunks, top_k, min_similarity)
+
+
+def _search_block(queries: DataFrame, chunks: DataFrame, top_k: int, min_similarity: float) -> DataFrame:
     asked = queries.select("query_id", F.col("embedding").alias("qv"), keyword_tokens(F.col("query_text")).alias("qt"))
     scored = chunks.withColumn("tokens", keyword_tokens(F.col("text"))).join(F.broadcast(asked)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("similarity"), F.round(keyword_score(F.col("qt"), F.col("tokens")), 6).alias("keyword"))
     ranked = distributed_rank(scored, [F.desc("similarity"), F.asc("id")], by=("query_id",), name="sem_rank")

@@ -191,9 +191,9 @@ def active_projects(v):
     return S.active_projects(v("project"))
 
 
-@query("task", "project", sql="select t.project_id, t.id, t.title, p.name as project_name from task t left join project p on p.id = t.project_id where t.status <> 'TODO' and t.status <> 'DONE' and t.id <= 3 order by 1, 2 limit 200")
+@query("task", "project", sql="select t.project_id, t.id, t.title, p.name as project_name from task t left join project p on p.id = t.project_id where t.status <> 'TODO' and t.status <> 'DONE' order by 1, 2 limit 200")
 def tasks_without_dates(v):
-    tasks = v("task").filter("id <= 3").withColumn("start_date", F.when(F.col("status").isin("TODO", "DONE"), F.col("start_date"))).withColumns({"end_date": F.lit(None).cast("date"), "due_date": F.lit(None).cast("date")})
+    tasks = v("task").withColumn("start_date", F.when(F.col("status").isin("TODO", "DONE"), F.col("start_date"))).withColumns({"end_date": F.lit(None).cast("date"), "due_date": F.lit(None).cast("date")})
     return S.tasks_without_dates(tasks, v("project")).select("project_id", "id", "title", "project_name")
 
 

@@ -41,7 +41,7 @@ t0 as (select key, target from n join d on job <> '' and (job = pname or job = p
 tok as (select key, list_transform(list_filter(string_split(job, ' '), lambda x: x <> '' and x not in ('rue', 'av', 'ave', 'avenue', 'chemin', 'ch', 'blvd', 'boul', 'boulevard') and not regexp_matches(x, '[0-9]')), lambda x: case when x = 'saint' then 'st' else x end) as ts from n),
 cand as (select key, unnest(list_distinct(list_filter([ts[1], ts[1] || ts[2]], lambda x: x is not null and length(x) >= 3))) as c from tok),
 st as (select target, array_to_string(list_transform(list_filter(string_split(pname, ' '), lambda x: x <> '' and not regexp_matches(x, '[0-9]') and x not in ('rue', 'av', 'ave', 'avenue', 'chemin', 'ch', 'blvd', 'boul', 'boulevard')), lambda x: case when x = 'saint' then 'st' else x end), '') as s from d),
-t3 as (select distinct key, target from cand join st on length(s) >= 3 and starts_with(s, c))
+t3 as (select distinct key, target from cand join st on length(s) >= 3 and (starts_with(s, c) or starts_with(c, s)))
 """ + _first([("t0", "job_name", 1.0, False), ("t1", "job_phrase", 0.8, False), ("t2", "job_code", 0.85, False), ("t3", "street_prefix", 0.7, True)]))
 def job_to_project(v):
     return J.job_to_project(v("receipt").filter("job_name is not null").select(F.col("job_name").alias("key")), v("project"))
@@ -111,18 +111,18 @@ def duplicate_totals(v):
     return J.duplicate_totals(v("document").select("project_id", F.col("id").alias("document_id"), F.col("stated_total").alias("total"), (F.col("id") % 6 == 0).alias("is_rollup")))
 
 
-_MSG = """, m as (select id, sender, case id % 4 when 0 then concat('at Customer#', lpad(project_hint::varchar, 9, '0'), ' today') when 1 then 'customer visit' else 'rain again' end as text from message), p as (select * from project where id < 20), keys as (select id as key from m),
+_MSG = """, m as (select id, sender, case id % 4 when 0 then concat('at Customer#', lpad(project_hint::varchar, 9, '0'), ' today') when 1 then 'customer visit' else 'rain again' end as text from message), p as (select * from project), keys as (select id as key from m),
 """
 
 
 @query("message", "project", sql=_MSG + f"""w as (select id as key, sender, {_NJ.format('text')} as words from m), d as (select id as target, {_NJ.format('name')} as pname from p), t0 as (select key, target from w join d on {_PHRASE.format('pname', 'words')}),
-t1 as (select distinct key, target from (select key, unnest(string_split(words, ' ')) as x from w) join (select target, unnest(string_split(pname, ' ')) as x from d) using (x) where length(x) >= 4), t2 as (select key, sender % 20 as target from w where sender % 3 = 0), t3 as (select key, sender % 7 as target from w where sender % 3 = 1)
+t1 as (select distinct key, target from (select key, unnest(string_split(words, ' ')) as x from w) join (select min(target) as target, x from (select target, unnest(string_split(pname, ' ')) as x from d) group by x) using (x) where length(x) >= 4), t2 as (select key, sender % 20 as target from w where sender % 3 = 0), t3 as (select key, sender % 7 as target from w where sender % 3 = 1)
 """ + _first([("t0", "text_match", 0.9, False), ("t1", "text_match_word", 0.75, False), ("t2", "worker_default", 0.6, False), ("t3", "sender_recency", 0.5, False)]))
 def sender_attribution(v):
     text = F.when(F.col("id") % 4 == 0, F.concat(F.lit("at Customer#"), F.lpad(F.col("project_hint").cast("string"), 9, "0"), F.lit(" today"))).when(F.col("id") % 4 == 1, "customer visit").otherwise("rain again")
     message = v("message").withColumn("text", text)
     sender = message.select("sender").distinct()
-    return J.sender_attribution(message, v("project").filter("id < 20"), sender.filter("sender % 3 = 0").withColumn("project_id", F.col("sender") % 20), sender.filter("sender % 3 = 1").withColumn("project_id", F.col("sender") % 7))
+    return J.sender_attribution(message, v("project"), sender.filter("sender % 3 = 0").withColumn("project_id", F.col("sender") % 20), sender.filter("sender % 3 = 1").withColumn("project_id", F.col("sender") % 7))
 
 
 @query("task", sql=", t as (select *, case when id > 1 then id // 2 end as parent_id from task) select t.project_id, t.id, t.title, p.title as parent_title, p.status as parent_status, p.start_date as parent_start from t left join task p on p.project_id = t.project_id and p.id = t.parent_id")

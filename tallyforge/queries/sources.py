@@ -107,11 +107,11 @@ def document_catalog(v):
     return found.groupBy("bucket", "category").agg(F.countDistinct("folder").alias("folders"))
 
 
-@query(sql="select doc_id as id, case when doc_id % 7 = 0 then 'skipped-trashed' when doc_id % 3 = 0 then 'skipped-mime' when strlen(text) > 20000 then 'skipped-size' when doc_id % 5 = 0 then 'csv' else 'plain' end as method, case when not (doc_id % 7 = 0 or doc_id % 3 = 0 or strlen(text) > 20000) then md5(text) end as digest from documents")
+@query(sql="select doc_id as id, case when doc_id % 7 = 0 then 'skipped-trashed' when doc_id % 3 = 0 then 'skipped-mime' when doc_id % 5 = 0 then 'csv' else 'plain' end as method, case when not (doc_id % 7 = 0 or doc_id % 3 = 0) then md5(text) end as digest from documents")
 def extract_corpus_text(v):
     mime = F.when(F.col("doc_id") % 3 == 0, "image/png").when(F.col("doc_id") % 5 == 0, "text/csv").otherwise("text/plain")
     files = v("documents").select(F.col("doc_id").alias("id"), mime.alias("mime_type"), (F.col("doc_id") % 7 == 0).alias("is_trashed"), F.octet_length("text").alias("bytes"), F.encode("text", "UTF-8").alias("content"))
-    return R.extract_corpus_text(files, most_bytes=20_000).select("id", "method", F.md5("text").alias("digest"))
+    return R.extract_corpus_text(files).select("id", "method", F.md5("text").alias("digest"))
 
 
 @query("document", sql="select project_id as document_id, id as parse_id, id % 3 as page from document where id % 4 <> 0 qualify row_number() over (partition by project_id order by modified desc, id desc) = 1")
@@ -180,10 +180,10 @@ def register_matcher(v):
     return P.match("same_name", v("project").filter("id % 2 = 0").withColumn("name", F.upper("name")), v("project"))
 
 
-@query(sql="select doc_id as id, case when doc_id % 2 = 0 then 'shout' else 'plain' end as method, md5(case when doc_id % 2 = 0 then upper(regexp_replace(lang, 'x', '')) else lang end) as digest from documents")
+@query(sql="select doc_id as id, case when doc_id % 2 = 0 then 'shout' else 'plain' end as method, md5(case when doc_id % 2 = 0 then replace(text, 'e', 'E') else text end) as digest from documents")
 def register_extractor(v):
-    R.register_extractor("text/shout", lambda b: (b.decode().upper(), "shout"))
-    files = v("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "text/shout").otherwise("text/plain").alias("mime_type"), F.lit(False).alias("is_trashed"), F.length("lang").alias("bytes"), F.encode("lang", "UTF-8").alias("content"))
+    R.register_extractor("text/shout", lambda b: (b.decode().replace("e", "E"), "shout"))
+    files = v("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "text/shout").otherwise("text/plain").alias("mime_type"), F.lit(False).alias("is_trashed"), F.octet_length("text").alias("bytes"), F.encode("text", "UTF-8").alias("content"))
     return R.extract_corpus_text(files).select("id", "method", F.md5("text").alias("digest"))
 
 

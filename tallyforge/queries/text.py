@@ -17,9 +17,9 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) >= 2 and t not in (" + _STOP + ")))"
 
 
-@query("text", sql=f"select document_id, substr(trim(regexp_replace(regexp_replace(lower(regexp_replace(translate(text, '{X.ACCENTED}', '{X.FOLDED}'), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 80) as name from text")
+@query("text", sql=f"select document_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(translate(text, '{X.ACCENTED}', '{X.FOLDED}'), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) as name from text")
 def normalize_name(v):
-    return v("text").select("document_id", F.substring(X.normalize_name(F.col("text")), 1, 80).alias("name"))
+    return v("text").select("document_id", F.md5(X.normalize_name(F.col("text"))).alias("name"))
 
 
 @query("receipt", sql="select id, trim(regexp_replace(lower(coalesce(job_name, '')), '[^a-z0-9]+', ' ', 'g')) as job from receipt")
@@ -27,9 +27,9 @@ def normalize_job(v):
     return v("receipt").select("id", X.normalize_job(F.col("job_name")).alias("job"))
 
 
-@query("text", sql="""select document_id, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('rue', 'av', 'ave', 'avenue', 'chemin', 'ch', 'blvd', 'boul', 'boulevard') and not regexp_matches(x, '[0-9]')), lambda x: case when x = 'saint' then 'st' else x end), '') as street from text""")
+@query("text", sql="""select document_id, md5(array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('rue', 'av', 'ave', 'avenue', 'chemin', 'ch', 'blvd', 'boul', 'boulevard') and not regexp_matches(x, '[0-9]')), lambda x: case when x = 'saint' then 'st' else x end), '')) as street from text""")
 def street_signature(v):
-    return v("text").select("document_id", X.street_signature(F.substring("text", 1, 60)).alias("street"))
+    return v("text").select("document_id", F.md5(X.street_signature(F.col("text"))).alias("street"))
 
 
 @query("receipt", sql="select id, case id % 4 when 0 then total when 1 then -abs(total) when 2 then total when 3 then round(total, 0) end::double as amount from receipt")
@@ -209,7 +209,7 @@ def hash_embed(v):
 
 
 @query("vector", sql=f"""
-, c as (select id, embedding, concat('label ', label, ' item ', id % 7) as text from vector), q as (select id as query_id, embedding as qv, {_TOK.format("concat('label ', label, ' item')")} as qt from vector where id % 20 = 0 and id < 200),
+, c as (select id, embedding, concat('label ', label, ' item ', id % 7) as text from vector), q as (select id as query_id, embedding as qv, {_TOK.format("concat('label ', label, ' item')")} as qt from vector where id % 20 = 0),
 s as (select query_id, id, round(list_dot_product(qv::double[], embedding::double[]) / (sqrt(list_dot_product(qv::double[], qv::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as similarity, round(len(list_intersect(qt, {_TOK.format('text')}))::double / len(qt), 6) as keyword from c, q),
 r as (select *, row_number() over (partition by query_id order by similarity desc, id) - 1 as sr, row_number() over (partition by query_id order by keyword desc, id) - 1 as kr from s),
 f as (select *, round(1.0::double / (60 + sr) + 1.0::double / (60 + kr), 9) as score from r where similarity >= 0 or keyword > 0)
@@ -217,7 +217,7 @@ select query_id, id, score, rank::int as rank from (select *, row_number() over
 def hybrid_search(v):
     vec = v("vector")
     chunks = vec.select("id", "embedding", F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" item "), (F.col("id") % 7).cast("string")).alias("text"))
-    queries = vec.filter("id % 20 = 0 and id < 200").select(F.col("id").alias("query_id"), "embedding", F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" item")).alias("query_text"))
+    queries = vec.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding", F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" item")).alias("query_text"))
     return R.hybrid_search(queries, chunks).select("query_id", "id", "score", "rank")
 
 

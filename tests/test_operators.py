@@ -136,3 +136,95 @@ def test_files_name_projects_and_vendors(spark):
         1: ("2026001", None, "QUOTE", "09", "Finishes", "pending", 7, 1, "exact"), 2: ("2026001", "001", "PO", "22", "Plumbing", "awarded", 7, 2, "contains"),
         3: ("2026001", None, "SOW", None, None, "v1", 7, None, None), 4: (None, None, None, None, None, None, None, None, None),
     }
+
+
+def plain_chunks(text, target, overlap):
+    """Packing by trial: add the next piece while the estimate stays within the target."""
+    import re
+
+    tokens = lambda t: max(1, len(t) // 4) if t else 0
+    pieces = []
+    for p in re.split("\n\n", text.replace("\r\n", "\n")):
+        p = p.strip()
+        if p and tokens(p) <= target:
+            pieces.append(p)
+        elif p:
+            rest = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n", p) if s.strip()]
+            while rest:
+                n = 1
+                while n < len(rest) and tokens(" ".join(rest[: n + 1])) <= target:
+                    n += 1
+                run, rest = " ".join(rest[:n]), rest[n:]
+                step = len(run) if tokens(run) <= target else max(200, 4 * target)
+                pieces += [run[i : i + step] for i in range(0, len(run), step)]
+    out = []
+    while pieces:
+        tail = out[-1][-4 * overlap :].lstrip() if out and overlap else ""
+        n = 1
+        while n < len(pieces) and tokens(tail) + sum(map(tokens, pieces[: n + 1])) <= target:
+            n += 1
+        out.append("\n\n".join(([tail] if tail else []) + pieces[:n]))
+        pieces = pieces[n:]
+    return out
+
+
+def test_chunks_match_packing_by_trial():
+    import random
+
+    from tallyforge.operators.retrieval import chunk_text
+
+    rng = random.Random(1)
+    bits = ["word ", "a. ", "b! ", "\n", "\n\n", "x" * 30, " ", "zz\r\n\r\n", "  \n\n ", "longword" * 20]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))
+        for target, overlap in ((20, 5), (50, 0), (500, 50)):
+            assert chunk_text(text, target, overlap) == plain_chunks(text, target, overlap)
+    assert chunk_text(None) == []
+
+
+def test_chunk_tables_and_what_changed(spark):
+    from tallyforge.operators.retrieval import chunk_documents, incremental_chunks
+
+    texts = [(i, f"Part {i}. " + "Some words here. " * (40 * i)) for i in range(6)] + [(6, None), (7, " ")]
+    chunks = chunk_documents(spark.createDataFrame(texts, "document_id long, text string"), target=60, overlap=5)
+    want = [(i, k, c) for i, t in texts for k, c in enumerate(plain_chunks(t or "", 60, 5))]
+    assert sorted((r.document_id, r.chunk_index, r.text) for r in chunks.collect()) == want
+    import hashlib
+
+    mark = lambda c: hashlib.sha256(f"{c}|hash|64".encode()).hexdigest()
+    stored = [(i, [mark(c) for c in plain_chunks(t or "", 60, 5)]) for i, t in texts[:5]]
+    stored[2] = (2, stored[2][1][:-1])
+    again = incremental_chunks(chunks, spark.createDataFrame(stored, "document_id long, hashes array<string>"))
+    assert {r.document_id for r in again.collect()} == {2, 5}
+
+
+def test_jobs_meet_projects_by_whole_phrases_and_prefixes_either_way(spark):
+    from tallyforge.operators.joins import job_to_project
+
+    projects = spark.createDataFrame([(1, "5768 St-Laurent", "J1"), (2, "12 Rue Matane", "J22"), (3, "Old Mill Yard", "J3"), (4, "Old Mill", "J4"), (5, "99 Oak", "J5")], "id long, name string, code string")
+    jobs = ["STL-GIFT", "saint laurent east", "matanetown", "the old mill yard job", "mill yard", "old", "J22 tools", "st", "", "oakland", "Old Mill"]
+    got = {r.key: (r.target, r.method) for r in job_to_project(spark.createDataFrame([(j,) for j in jobs], "key string"), projects).collect()}
+    assert got == {
+        "STL-GIFT": (1, "street_prefix"), "saint laurent east": (1, "street_prefix"), "matanetown": (2, "street_prefix"), "the old mill yard job": (3, "job_phrase"), "mill yard": (3, "job_phrase"),
+        "old": (3, "job_phrase"), "J22 tools": (2, "job_code"), "st": (1, "job_phrase"), "": (None, "unresolved"), "oakland": (5, "street_prefix"), "Old Mill": (4, "job_name"),
+    }
+
+
+def test_twins_match_a_plain_loop(spark):
+    import datetime
+    import random
+
+    from tallyforge.operators.joins import duplicate_twins
+
+    rng = random.Random(2)
+    day = datetime.date(2026, 1, 1)
+    rows = [(i, float(rng.choice([10, 20])), False, rng.choice([1, None]), rng.random() < 0.5, day + datetime.timedelta(rng.randint(0, 12)), None) for i in range(80)]
+    got = {(r.primary, r.duplicate) for r in duplicate_twins(spark.createDataFrame(rows, "id long, total double, is_refund boolean, project_id long, online boolean, sales_date date, duplicate_of long")).collect()}
+    used, want = set(), set()
+    for s in sorted((r for r in rows if not r[4]), key=lambda r: (r[5], r[0])):
+        for o in sorted((r for r in rows if r[4]), key=lambda r: (r[5], r[0])):
+            if o[0] not in used and o[1] == s[1] and o[3] == s[3] and abs((o[5] - s[5]).days) <= 2:
+                used.add(o[0])
+                want.add((s[0], o[0]))
+                break
+    assert got == want and want
