@@ -48,8 +48,8 @@ SAMPLED = ((16, 21, 26), (31, 36, 41))
 BANDS, BAND_WALKS = 32, 8
 #: Likeness from which two fingerprints are near copies.
 LEAST = 0.75
-#: Classes before it in a key that a class is tried against at first.
-TRIED = 3
+#: Classes before it in a key that a class may be tried against at first, and tries over all keys.
+BEFORE, TRIED = 3, 6
 #: Rows of small tables broadcast at most.
 MOST_BROADCAST = 1_000_000
 #: Code points read at once: bounds a worker's memory.
@@ -287,8 +287,8 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     """Per row: id, class_id (smallest id with an equal fingerprint) and component_id (smallest id reachable by links).
 
     Equal fingerprints are one class. In each band a class is first verified against
-    the one that leads its key and the TRIED before it, in an order that differs from
-    key to key, which joins most near copies; then all pairs of a key that lie in different components are, in blocks. So a
+    TRIED of those that lead its keys or stand before it, most frequent first, in an
+    order that differs from key to key, which joins most near copies; then all pairs of a key that lie in different components are, in blocks. So a
     group of near copies is never paired with itself, and no link between components
     that any band shows is lost.
     """
@@ -299,12 +299,14 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     members = scratch.keep(dealt(named.select("id", "mark", F.explode(F.array(*band_keys())).alias("key")), scratch), "members")
     order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("mark", "id", "key"), "id", "mark")
     member = F.struct("id", "mark")
-    before = [F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag(member, k).over(order) for k in range(1, TRIED + 1))]
+    before = [F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag(member, k).over(order) for k in range(1, BEFORE + 1))]
     near = members.select(F.array_distinct(F.array_compact(F.array(*before))).alias("ps"), member.alias("q")).select(F.explode("ps").alias("p"), "q").filter("p.id <> q.id")
     sides = (F.struct("p.id", "p.mark"), F.struct("q.id", "q.mark"))
-    one_way = lambda df: df.select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y"))
-    pair = lambda df: one_way(df).select(F.col("x.id").alias("a"), F.col("x.mark").alias("ha"), F.col("y.id").alias("b"), F.col("y.mark").alias("hb")).distinct()
-    one = scratch.keep(verified(pair(near), named, least), "one")
+    times = near.groupBy(F.least(*sides).alias("x"), F.greatest(*sides).alias("y")).agg(F.count(F.lit(1)).alias("times"))
+    best = Window.partitionBy("y").orderBy(F.desc("times"), F.xxhash64("x", "y"), "x")
+    tried = times.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED)
+    pairs = tried.select(F.col("x.id").alias("a"), F.col("x.mark").alias("ha"), F.col("y.id").alias("b"), F.col("y.mark").alias("hb"))
+    one = scratch.keep(verified(pairs, named, least), "one")
     known = connected_components(one, scratch, "cc1")
     # Verified where they meet: only links leave the join.
     met = crossing(members, known, scratch, details=named.select("id", "mark", "longs")).filter(alike("p.longs", "q.longs") >= least)
