@@ -268,13 +268,11 @@ def as_longs(prints: pd.Series) -> pd.Series:
 
 def alike(a: str, b: str):
     """``likeness`` of two columns of longs: a byte that differs leaves a one at its lowest place."""
-    out = F.lit(0)
-    for k in range(_WIDTH // 8):
-        x = F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        out = out + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return 1 - out / _WIDTH
+    folded = lambda x, shift: F.transform(x, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift)))
+    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    for shift in (4, 2, 1):
+        x = folded(x, shift)
+    return 1 - F.aggregate(x, F.lit(0), lambda n, v: n + F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))) / _WIDTH
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
