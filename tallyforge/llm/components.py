@@ -51,22 +51,25 @@ def dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
 def crossing(members: DataFrame, known: DataFrame, scratch: Scratch, *, details: DataFrame | None = None, on: tuple[str, ...] = ("id", "mark")) -> DataFrame:
     """Every pair (p, q) of members (key, id, mark) of one key whose ids lie in different components (node, component).
 
-    Members outside a key's largest component meet all others. Both sides are cut
-    into blocks of KEY_SHARE, and a task takes a pair of blocks. ``details`` are joined
-    to the members that are left to pair.
+    Members outside a key's largest component meet all others. Each side is cut into
+    as many blocks of KEY_SHARE as it fills, and a task takes a pair of blocks: where
+    few lie outside the largest component, the members are sent once. ``details`` are
+    joined to the members that are left to pair.
     """
     owned = members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.max_by("component", F.struct("members", "component")).alias("largest")).filter("parts > 1")
-    split = scratch.keep(split.select("key", "largest", F.ceil(F.col("members") / KEY_SHARE).cast("int").alias("blocks")), "split")
-    block = F.pmod(F.xxhash64("mark", "id", F.lit(1)), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.max(F.struct("members", "component")).alias("top")).filter("parts > 1")
+    filled = lambda members: F.ceil(members / KEY_SHARE).cast("int")
+    split = split.select("key", F.col("top.component").alias("largest"), filled(F.col("members") - F.col("top.members")).alias("outer"), filled(F.col("members")).alias("blocks"))
+    split = scratch.keep(split, "split")
+    block = lambda n: F.pmod(F.xxhash64("mark", "id", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     open_keys = owned.join(F.broadcast(split) if split.count() <= MOST_BROADCAST else split, "key")
     if details is not None:
         open_keys = open_keys.join(details, list(on))
-    member = F.struct(*[c for c in open_keys.columns if c not in ("key", "largest", "blocks")])
-    small = open_keys.filter("component <> largest").select("key", block.alias("i"), member.alias("p"), "blocks").select("key", "i", every.alias("j"), "p")
-    rest = open_keys.select("key", "largest", block.alias("j"), member.alias("q"), "blocks").select("key", "largest", every.alias("i"), "j", "q")
+    member = F.struct(*[c for c in open_keys.columns if c not in ("key", "largest", "outer", "blocks")])
+    small = open_keys.filter("component <> largest").select("key", block("outer").alias("i"), member.alias("p"), "blocks").select("key", "i", every("blocks").alias("j"), "p")
+    rest = open_keys.select("key", "largest", block("blocks").alias("j"), member.alias("q"), "outer").select("key", "largest", every("outer").alias("i"), "j", "q")
     # Two members outside the largest component meet twice; one of the two is enough.
     once = (F.col("q.component") == F.col("largest")) | (F.col("p.component") < F.col("q.component"))
     return small.join(rest, ["key", "i", "j"]).filter(once & (F.col("p.component") != F.col("q.component"))).select("p", "q")
