@@ -111,3 +111,15 @@ def dollar_amounts(text: Column) -> Column:
     """Amounts written with a dollar sign, as decimals."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\$\s?([0-9][0-9,]*(?:\.[0-9]{1,2})?)"), F.lit(1))
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(18,2)"))
+
+
+def comma_cells(line: Column) -> Column:
+    """Cells of one comma-separated line, without the quotes around them; a comma inside double quotes does not separate.
+
+    A comma separates where an even number of quotes follows it. Parts between quotes
+    are looked at once each, from the last, so the work is linear in the line; a line break, which a
+    line cannot hold, stands for the commas that separate.
+    """
+    back = F.reverse(F.split(line, '"'))
+    marked = F.reverse(F.transform(back, lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", "\n")).otherwise(p)))
+    return F.transform(F.split(F.array_join(marked, '"'), "\n"), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))

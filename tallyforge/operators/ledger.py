@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.money import classify_division, classify_extras_status, classify_sheet, division_name, doc_currency, doc_status, doc_unit, is_tax_line, parse_grid_money
-from ..functions.text import amount_in_text, document_numbers, fold_accents
+from ..functions.text import amount_in_text, comma_cells, document_numbers, fold_accents
 from ..scratch import Scratch
 
 MONEY = "decimal(18,2)"
@@ -33,8 +33,7 @@ def grid_lines(sections: DataFrame) -> DataFrame:
     count = lambda mark: F.length(head) - F.length(F.replace(head, F.lit(mark), F.lit("")))
     tab = count("\t") > count(",")
     exploded = sections.withColumn("_tab", tab).select("document_id", "position", "_tab", F.posexplode(lines).alias("line", "_l"))
-    # A comma inside double quotes does not separate.
-    cells = F.when(F.col("_tab"), F.split("_l", "\t")).otherwise(F.transform(F.split("_l", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', "")))
+    cells = F.when(F.col("_tab"), F.split("_l", "\t")).otherwise(comma_cells(F.col("_l")))
     return exploded.select("document_id", "position", "line", F.transform(cells, lambda c: F.trim(c)).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.money import map_status_labels, parse_date_multi, parse_money
+from ..functions.text import comma_cells
 
 MONEY = "decimal(14,2)"
 
@@ -28,13 +29,18 @@ def scan_delimited(spark: SparkSession, path: str, *, head: int = 20) -> DataFra
     The header is the best scored of the head's lines: filled cells that are text;
     confidence falls with its score (1.0, 0.8, 0.5, 0.3).
     """
-    # Lines are numbered per file by their place in it: files are small units here, and one task reads each.
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("ls"))
-    top = F.array_join(F.slice("ls", 1, 40), "\n")
-    count = lambda m: F.length(top) - F.length(F.replace(top, F.lit(m), F.lit("")))
-    lines = raw.withColumn("tab", count("\t") > count(",")).select("file", "tab", F.posexplode("ls").alias("line", "text")).filter("text <> ''")
-    cells = F.when(F.col("tab"), F.split("text", "\t")).otherwise(F.transform(F.split("text", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', "")))
-    parsed = lines.withColumn("cells", cells)
+    # A line's number is its place in its block of the file after the lines of the blocks before, so no task needs a whole file.
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r", "").alias("text"), F.monotonically_increasing_id().alias("place")
+    )
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "block", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("place")) - 1
+    lines = raw.withColumn("inside", inside).join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("inside")).cast("int").alias("line"), "text")
+    marks = lambda m: F.sum(F.length("text") - F.length(F.replace("text", F.lit(m), F.lit(""))))
+    kinds = lines.filter("line < 40").groupBy("file").agg((marks("\t") > marks(",")).alias("tab"))
+    parsed = lines.filter("text <> ''").join(kinds, "file").withColumn("cells", F.when(F.col("tab"), F.split("text", "\t")).otherwise(comma_cells(F.col("text"))))
     filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
     words = F.size(F.filter("cells", lambda c: c.rlike("[A-Za-z]") & ~c.rlike(r"^\s*[$(]?[0-9]")))
     share = words / F.size("cells")

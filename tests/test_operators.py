@@ -1,5 +1,6 @@
 """Operators on small hand-made rows, with results worked out by hand."""
 
+import re
 from collections import Counter
 from datetime import date
 from decimal import Decimal
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import money as M
 from tallyforge.functions import text as X
+from tallyforge.functions.text import comma_cells
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import graph as G
 from tallyforge.operators import joins as J
@@ -228,3 +230,26 @@ def test_twins_match_a_plain_loop(spark):
                 want.add((s[0], o[0]))
                 break
     assert got == want and want
+
+
+def test_commas_in_quotes_do_not_separate(spark):
+    lines = ["", "a", 'a,"b,c",d', ',"",', '"x, y", z ,', 'a"b,c', '"a,b', " , "]
+    want = [[re.sub('^"|"$', "", c.strip(" ")) for c in re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*$)', line)] for line in lines]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    assert [r.cells for r in df.select("i", comma_cells(F.col("line")).alias("cells")).orderBy("i").collect()] == want
+    long = spark.createDataFrame([(",".join(f'"{i},"' for i in range(100_000)),)], "line string")
+    assert long.select(F.size(comma_cells(F.col("line")))).first()[0] == 100_000
+
+
+def test_lines_are_numbered_across_blocks_of_a_file(spark, tmp_path):
+    from tallyforge.sources.readers import scan_delimited
+
+    for name, mark, end in (("a", ",", "\n"), ("b", "\t", "\r\n")):
+        (tmp_path / f"{name}.csv").write_bytes((end.join([f"name{mark}amount"] + ["" if i % 5 == 0 else f"x{i}{mark}{i}" for i in range(1, 1000)]) + end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {(r.file[-5], r.line, tuple(r.cells), tuple(r.header)) for r in scan_delimited(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(f, i, (f"x{i}", str(i)), ("name", "amount")) for f in "ab" for i in range(1, 1000) if i % 5}
