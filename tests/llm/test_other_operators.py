@@ -553,6 +553,15 @@ def test_piece_scores_match_brute_force_and_give_encodings_like_the_library(spar
     assert [s for s, _ in own.encode(["shonthe ana"])[0][0]] == pytest.approx([s for s, _ in every])
 
 
+def test_a_worker_holds_one_lattice_per_model_and_n():
+    before = len(S._loaded)
+    for k in range(3):
+        scores = np.full(32000, -1.0 - k)
+        own = S.lattice(MODEL, 6, scores)
+        assert own is S.lattice(MODEL, 6, scores) and own.scores[5] == -1.0 - k
+    assert len(S._loaded) == before + 1
+
+
 def test_ties_do_not_depend_on_the_block():
     own = [S.Lattice(MODEL, 4, np.full(32000, -1.0)) for _ in range(2)]
     rng = random.Random(18)
