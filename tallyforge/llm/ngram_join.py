@@ -283,10 +283,15 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     single = named.filter("n > 0").join(held, keys, "left_anti").select(*sets.columns).unionByName(lead)
     # An id with several sets is one node: it ties the classes that its sets are copies in.
     span = [f(c).alias(f"{c}{k}") for c in keys for k, f in enumerate((F.min, F.max))]
-    several_sets = named.groupBy("id").agg(*span).filter(" or ".join(f"{c}0 <> {c}1" for c in keys)).select("id")
+    several_sets = scratch.keep(named.groupBy("id").agg(*span).filter(" or ".join(f"{c}0 <> {c}1" for c in keys)).select("id"), "several-sets")
     held_by = named.select("id", *keys).join(several_sets, "id").join(held, keys).filter("id <> rep")
     ties = scratch.keep(held_by.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "ties")
 
+    # Lists tell members apart by id and s1; where an id has one set, s1 tells nothing and 0 stands for it.
+    flags = several_sets.withColumn("several", F.lit(True))
+    flags = F.broadcast(flags) if several_sets.count() <= MOST_BROADCAST else flags
+    single = single.join(flags, "id", "left").withColumn("s1", F.when(F.col("several"), F.col("s1")).otherwise(F.lit(0).cast("long"))).drop("several")
+
     boundary = choose_boundary(single)
     emitted = postings(single, boundary, table, noise)
     # A set that others are copies of has few rare shingles of its own: its shared ones stand early, so it leads its lists.
@@ -300,7 +305,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = connected_components(links, scratch, "cc1")
     more = verified(cross_candidates(lists, known, single.select("id", F.col("n").cast("int").alias("n"), "s1", "parity"), scratch), picked, scratch, "cross")
     final = connected_components(links.unionByName(more), scratch, "cc2")
-    scratch.drop("lists", "lead", "ties", "near-links", "cross-links")
+    scratch.drop("lists", "lead", "ties", "several-sets", "near-links", "cross-links")
 
     small = final.count() <= MOST_BROADCAST
     final = final.select(F.col("node").alias("rep"), "component")
