@@ -8,8 +8,13 @@ round a cell's weight is cut to its tokens, and the next round moves what was cu
 to the other cells, until the marginals hold. They can only hold for a total that
 every category has the tokens for; without a given ``rate`` the total is the
 largest of these, less a slack of 10 % that lets the rounds converge. Where the
-marginals together still ask for tokens that are not there, the total is lowered
-until they hold to MOST_ERROR.
+marginals together still ask for tokens that are not there, a lower total may hold:
+LOWERED totals, each LOWER times the one before, are raked side by side, and the
+largest is taken whose marginals hold to MOST_ERROR. Marginals that contradict one
+another (a source of one language with two different shares) hold at no total: raking
+without cuts shows the error that is left however little is drawn, and the largest
+total within MOST_ERROR of that is taken; if none is, that of the least error.
+``marginals`` reports target, weight and error per category.
 
 Every step is a DataFrame expression: documents are summed into cells before
 anything is shuffled. Up to MOST_CELLS cells stand in one partition, where the
@@ -38,10 +43,8 @@ FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
 #: Share of the largest feasible total that is drawn.
 SLACK = 0.9
-#: Greatest relative error of a marginal at which the rounds end.
-TOLERANCE = 1e-9
-#: Relative error of a marginal at which the total is lowered, and by what factor.
-MOST_ERROR, LOWER = 0.01, 0.8
+#: Relative error of a marginal at which a lower total is taken, by what factor it is lower, and how many totals are tried.
+MOST_ERROR, LOWER, LOWERED = 0.01, 0.8, 12
 #: Cells kept in one partition and broadcast to the documents at most.
 MOST_CELLS = 100_000
 #: Copies of the cells' probabilities, beyond MOST_CELLS, over which a hot cell's documents are dealt out.
@@ -80,16 +83,15 @@ def _share(dimension: str, own: Column, targets: Mapping[str, Mapping[str, float
 
 
 def calibrated_cells(cells: DataFrame, *, targets: Mapping[str, Mapping[str, float]] | None = None, rate: float | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with ``weight`` raked to the targets and ``probability`` = weight / tokens, at most 1.
+    """Cells (source, lang, topic, tokens) with ``weight`` raked to the targets (``target_source`` and so on) and ``probability`` = weight / tokens, at most 1.
 
     The weights sum to ``rate`` of all tokens; None takes SLACK of the largest rate
-    at which no category needs more tokens than it has. A few numbers per dimension
-    reach the driver.
+    at which no category needs more tokens than it has, or a lower one of LOWERED.
+    A few numbers per dimension and one error per total reach the driver.
     """
     scratch = Scratch(cells.sparkSession)
     start = scratch.keep(cells.select(*DIMENSIONS, "tokens"), "start")
     few = start.count() <= MOST_CELLS
-    one = lambda df: df.coalesce(1) if few else df
     scale, limit, total = {}, None, 0.0
     for d in DIMENSIONS:
         own = F.col("own").cast("double")
@@ -100,34 +102,40 @@ def calibrated_cells(cells: DataFrame, *, targets: Mapping[str, Mapping[str, flo
             most = row["least"] * scale[d] / total
             limit = most if limit is None else min(limit, most)
     drawn = total * (rate if rate is not None else SLACK * min(limit or 0.0, 1.0))
-    margin = lambda d: F.sum("weight").over(Window.partitionBy(d))
-    error = 1.0
-    while error > MOST_ERROR:
-        out = one(start).withColumn("weight", F.col("tokens").cast("double"))
+    # Attempt j draws LOWER ** j of the total, cut to the tokens; attempt -1 is not cut.
+    tried = [0] if rate is not None else [-1, *range(LOWERED)]
+    out = start.withColumn("attempt", F.explode(F.array(*[F.lit(j) for j in tried])))
+    out = out.repartition("attempt") if few else out
+    goal = F.lit(drawn) * F.pow(F.lit(LOWER), F.greatest(F.col("attempt"), F.lit(0)))
+    by = lambda d: Window.partitionBy("attempt", d)
+    margin = lambda d: F.sum("weight").over(by(d))
+    out = out.withColumn("weight", F.col("tokens").cast("double"))
+    for d in DIMENSIONS:
+        out = out.withColumn(f"target_{d}", goal * _share(d, F.sum("tokens").over(by(d)).cast("double"), targets) / F.lit(scale[d] or 1.0))
+    for k in range(rounds):
         for d in DIMENSIONS:
-            own = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
-            out = out.withColumn(f"_t_{d}", F.lit(drawn) * _share(d, own, targets) / F.lit(scale[d] or 1.0))
-        kept = None
-        for k in range(rounds):
-            for d in DIMENSIONS:
-                out = out.withColumn("weight", F.when(margin(d) > 0, F.col("weight") * F.col(f"_t_{d}") / margin(d)).otherwise(F.col("weight")))
-            out = out.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
-            if k % 6 == 5 or k == rounds - 1:
-                name = f"round{k}-{drawn}"
-                out = one(scratch.keep(out, name))
-                if kept:
-                    scratch.drop(kept)
-                kept = name
-                off = [F.coalesce(F.abs(F.try_divide(margin(d), f"_t_{d}") - 1), F.lit(0.0)) for d in DIMENSIONS]
-                error = out.select(F.greatest(*off).alias("e")).agg(F.max("e").alias("e")).first()["e"] or 0.0
-                if error <= TOLERANCE:
-                    break
-        drawn *= LOWER
-        if rate is not None:
-            break
-    scratch.drop("start")
+            out = out.withColumn("weight", F.when(margin(d) > 0, F.col("weight") * F.col(f"target_{d}") / margin(d)).otherwise(F.col("weight")))
+        out = out.withColumn("weight", F.when(F.col("attempt") >= 0, F.least("weight", F.col("tokens").cast("double"))).otherwise(F.col("weight")))
+        if k % 6 == 5 and k < rounds - 1:
+            out = scratch.keep(out, f"round{k}")
+            out = out.repartition("attempt") if few else out
+    off = [F.coalesce(F.abs(F.try_divide(margin(d), f"target_{d}") - 1), F.lit(0.0)) for d in DIMENSIONS]
+    out = scratch.keep(out.withColumn("error", F.greatest(*off)), "raked")
+    error = {r["attempt"]: r["e"] for r in out.groupBy("attempt").agg(F.max("error").alias("e")).collect()}
+    allowed = max(MOST_ERROR, error.get(-1, 0.0) + MOST_ERROR if error.get(-1, 0.0) > MOST_ERROR else 0.0)
+    within = [j for j in sorted(error) if j >= 0 and error[j] <= allowed]
+    best = within[0] if within else min((j for j in error if j >= 0), key=lambda j: (error[j], j), default=0)
+    scratch.drop("start", *[f"round{k}" for k in range(5, rounds - 1, 6)])
     probability = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    return out.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability"))
+    return out.filter(F.col("attempt") == best).select(*DIMENSIONS, "tokens", "weight", *[f"target_{d}" for d in DIMENSIONS], probability.alias("probability"))
+
+
+def marginals(calibrated: DataFrame) -> DataFrame:
+    """Per dimension and category of ``calibrated_cells``: tokens, target, weight and error (relative to the target; null where it is 0)."""
+    parts = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category"), F.col(f"target_{d}").alias("target")).alias("p") for d in DIMENSIONS]
+    each = calibrated.select(F.explode(F.array(*parts)).alias("p"), "tokens", "weight").select("p.*", "tokens", "weight")
+    summed = each.groupBy("dimension", "category").agg(F.sum("tokens").alias("tokens"), F.first("target").alias("target"), F.sum("weight").alias("weight"))
+    return summed.withColumn("error", F.abs(F.try_divide("weight", "target") - 1))
 
 
 def mix(
@@ -188,17 +196,21 @@ with marked as (
 cells as (select source, lang, topic, sum(n_tokens)::bigint as tokens from marked group by all),
 shares as (select *, sum(tokens) over ()::double as total, {', '.join(f"sum(tokens) over (partition by {d})::double as o_{d}, pow(sum(tokens) over (partition by {d})::double, {FLATTEN[d]}) as s_{d}, count(*) over (partition by {d}) as n_{d}" for d in DIMENSIONS)} from cells),
 scaled as (select *, {', '.join(f"sum(s_{d} / n_{d}) over () as z_{d}, min(case when s_{d} > 0 then o_{d} / s_{d} end) over () as l_{d}" for d in DIMENSIONS)} from shares),
-drawn as (select *, total * {SLACK} * least(1.0, {', '.join(f"l_{d} * z_{d} / total" for d in DIMENSIONS)}) as goal from scaled),
-c0 as (select source, lang, topic, tokens, tokens::double as weight, {', '.join(f"goal * s_{d} / z_{d} as t_{d}" for d in DIMENSIONS)} from drawn)"""
+drawn as (select *, total * {SLACK} * least(1.0, {', '.join(f"l_{d} * z_{d} / total" for d in DIMENSIONS)}) * pow({LOWER}, greatest(attempt, 0)) as goal from scaled, (select unnest(range(-1, {LOWERED}))::int as attempt)),
+c0 as (select attempt, source, lang, topic, tokens, tokens::double as weight, {', '.join(f"goal * s_{d} / z_{d} as t_{d}" for d in DIMENSIONS)} from drawn)"""
     k = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            cut = "least(tokens::double, {})" if d == DIMENSIONS[-1] else "{}"
+            cut = "case when attempt >= 0 then least(tokens::double, {0}) else {0} end" if d == DIMENSIONS[-1] else "{0}"
             raked = cut.format(f"case when m > 0 then weight * t_{d} / m else weight end")
-            sql += f",\nc{k + 1} as (select * exclude (weight, m), {raked} as weight from (select *, sum(weight) over (partition by {d}) as m from c{k}))"
+            sql += f",\nc{k + 1} as (select * exclude (weight, m), {raked} as weight from (select *, sum(weight) over (partition by attempt, {d}) as m from c{k}))"
             k += 1
+    off = ", ".join(f"coalesce(abs(sum(weight) over (partition by attempt, {d}) / nullif(t_{d}, 0) - 1), 0)" for d in DIMENSIONS)
     return sql + f""",
-f as (select source, lang, topic, case when tokens > 0 then weight / tokens else 1.0 end as chance from c{k})
+e as (select attempt, max(off) as error from (select attempt, greatest({off}) as off from c{k}) group by 1),
+a as (select case when error > {MOST_ERROR} then error + {MOST_ERROR} else {MOST_ERROR} end as allowed from e where attempt = -1),
+b as (select attempt as best from e, a where attempt >= 0 order by error > allowed, case when error > allowed then error end, attempt limit 1),
+f as (select source, lang, topic, case when tokens > 0 then weight / tokens else 1.0 end as chance from c{k} join b on attempt = best)
 select doc_id, n_tokens::bigint as n_tokens, m.source, m.lang, m.topic, round(chance, 6) as probability,
   ('0x' || substr(md5('{seed}/' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double / {16**12}.0 < chance as kept
 from marked m left join f on m.source is not distinct from f.source and m.lang is not distinct from f.lang and m.topic is not distinct from f.topic"""

@@ -157,6 +157,32 @@ def test_the_sample_meets_the_targets(spark, monkeypatch, most_cells):
     assert sum(r.lang == "en" for r in kept) / len(kept) == pytest.approx(2 / 3, abs=0.04)
 
 
+@pytest.mark.parametrize("most_cells", [M.MOST_CELLS, 1])
+def test_contradicting_marginals_end_in_the_least_error_fit(spark, monkeypatch, most_cells):
+    monkeypatch.setattr(M, "MOST_CELLS", most_cells)
+    # Each source has one language, so both cannot have the shares they ask for.
+    cells = [("s1", "en", "p", 100), ("s2", "fr", "p", 900)]
+    df = M.calibrated_cells(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets={"source": {"s1": 1, "s2": 1}, "lang": {"en": 3, "fr": 1}, "topic": {"p": 1}})
+    rows = {r.source: r for r in df.collect()}
+    # The largest total is kept: 0.9 times 100 tokens over a share of 3/4; languages are raked last.
+    assert rows["s1"].weight == pytest.approx(90) and rows["s2"].weight == pytest.approx(30)
+    error = {(r.dimension, r.category): r.error for r in M.marginals(df).collect()}
+    assert error == pytest.approx({("source", "s1"): 0.5, ("source", "s2"): 0.5, ("lang", "en"): 0.0, ("lang", "fr"): 0.0, ("topic", "p"): 0.0}, abs=1e-9)
+
+
+def test_mixing_sql_lowers_the_total_alike(spark):
+    import duckdb
+
+    # A small source has nearly all of a language, so no sample at the first total can hold both.
+    rows = [(i, "w " * (40 + i % 7), "big" if i % 10 else "small", "fr" if i % 10 == 0 or i % 97 == 0 else "en") for i in range(3000)] + [(9000, None, None, "en"), (9001, "w w", None, None), (9002, "w", "lone", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(M.mix_sql()).fetchall()
+    got = M.mix(docs, details=True).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
 def test_mixing_odd_rows(odd_docs, no_docs):
     kept = M.mix(odd_docs)
     assert kept.columns == odd_docs.columns
