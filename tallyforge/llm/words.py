@@ -30,8 +30,8 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
-_IS_WORD = _VALUES != 0
 _powers = np.ones(1, dtype=np.uint64)
+_inverses = np.ones(1, dtype=np.uint64)
 
 
 def _power_table(n: int) -> np.ndarray:
@@ -44,6 +44,15 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def _inverse_table(n: int) -> np.ndarray:
+    global _inverses
+    if len(_inverses) < n:
+        steps = np.full(len(_power_table(n)), pow(int(_MULT), -1, 1 << 64), dtype=np.uint64)
+        steps[0] = 1
+        _inverses = np.cumprod(steps, dtype=np.uint64)
+    return _inverses
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply), elementwise."""
     x = x ^ (x >> np.uint64(30))
@@ -88,11 +97,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
-    """Find and hash the words of a string column."""
+def words(column: pa.Array, values: np.ndarray = _VALUES) -> Words:
+    """Find and hash the words of a string column; ``values`` gives each byte its number, 0 where it parts words."""
     data, offsets = raw(column)
     none = np.zeros(0, dtype=np.int64)
-    inside = _IS_WORD[data]
+    inside = values[data] != 0
     if not inside.any():
         return Words(data, offsets, none, none, np.zeros(len(offsets), dtype=np.int64), none.astype(np.uint64))
     begin = inside.copy()
@@ -110,11 +119,19 @@ def words(column: pa.Array) -> Words:
     place = np.arange(start[0], len(data), dtype=np.int64)
     place -= np.repeat(start, np.diff(np.append(start, len(data))))
     place[~inside[start[0] :]] = 0
-    terms = _VALUES[data[start[0] :]] * _power_table(int(place.max()) + 1)[place]
+    terms = values[data[start[0] :]] * _power_table(int(place.max()) + 1)[place]
     code = mix(np.add.reduceat(terms, start - start[0]) + (end - start).astype(np.uint64) * _PLACE[0])
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), code)
 
 
+def span_codes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the spans that tile ``data`` and begin at ``start`` (its first entry is 0)."""
+    sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _power_table(len(data))[: len(data)], start)
+    # Sums of powers counted from the block's start, divided by the power at the span's own start.
+    size = np.diff(np.append(start, len(data)))
+    return mix(sums * _inverse_table(len(data))[start] + size.astype(np.uint64) * _PLACE[0])
+
+
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's five-word windows and their len(texts) + 1 offsets.
 
