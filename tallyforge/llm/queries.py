@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprint, license_scan, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, sentencepiece_nbest, toxicity, url_filter, warc
+from . import edit_fingerprint, license_scan, line_dedup, mixing, ngram_join, packing, phrases, prefix_trie, quality_rules, sentencepiece_nbest, toxicity, url_filter, warc
 from ..scratch import Scratch
 
 
@@ -68,6 +68,10 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.nbest_encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrase_collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_warc, op3_license_scan, op4_mixing, op5_url_filter,
         op6_line_dedup, op7_quality_rules, op8_edit_fingerprint, op9_toxicity, op10_sentencepiece_nbest,
-        op12_packing, op13_prefix_trie,
+        op11_phrase_mining, op12_packing, op13_prefix_trie,
     )
 }
 
@@ -109,6 +113,7 @@ select page_id, b as payload_bytes, sha1(p.h) as payload_digest, case when first
 from p left join g on p.h = g.h and p.b >= 1000""",
     "op4_mixing": mixing.mix_sql(),
     "op5_url_filter": url_filter.url_filter_sql(),
+    "op11_phrase_mining": phrases.phrase_collocations_sql(),
     "op13_prefix_trie": prefix_trie.prefix_trie_sql(),
     "op6_line_dedup": r"""
 with l as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
