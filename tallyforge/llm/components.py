@@ -48,15 +48,20 @@ def dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
     return members.join(held, "key").select("key", F.pmod(F.xxhash64("mark", "id", "key"), salts).cast("int").alias("salt"), "id", "mark")
 
 
+def with_components(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with the component of their id, which is the id itself where no link is known."""
+    return members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def crossing(members: DataFrame, known: DataFrame, scratch: Scratch, *, details: DataFrame | None = None, on: tuple[str, ...] = ("id", "mark")) -> DataFrame:
     """Every pair (p, q) of members (key, id, mark) of one key whose ids lie in different components (node, component).
 
     Members outside a key's largest component meet all others. Each side is cut into
     as many blocks of KEY_SHARE as it fills, and a task takes a pair of blocks: where
-    few lie outside the largest component, the members are sent once. ``details`` are
-    joined to the members that are left to pair.
+    few lie outside the largest component, the members are sent once. Members may have
+    their component already. ``details`` are joined to the members that are left to pair.
     """
-    owned = members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    owned = members if "component" in members.columns else with_components(members, known)
     sizes = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.max(F.struct("members", "component")).alias("top")).filter("parts > 1")
     filled = lambda members: F.ceil(members / KEY_SHARE).cast("int")

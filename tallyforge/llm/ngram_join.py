@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import numbered
-from .components import connected_components, crossing
+from .components import connected_components, crossing, with_components
 from ..scratch import Scratch
 from .words import blocks, distinct_sorted, mix, shingles, words
 
@@ -95,9 +95,9 @@ def frequency_classes(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
     out = np.zeros((1 << SKETCH_BITS >> CHUNK_BITS, size), dtype=np.uint8)
-    summed = texts.mapInArrow(count, "chunk int, counts binary").repartition(32, "chunk").mapInArrow(add, "chunk int, level binary")
-    for row in summed.toLocalIterator():
-        out[row["chunk"]] = np.frombuffer(row["level"], dtype=np.uint8)
+    summed = texts.mapInArrow(count, "chunk int, counts binary").repartition(32, "chunk").mapInArrow(add, "chunk int, level binary").toArrow()
+    for chunk, level in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
+        out[chunk] = np.frombuffer(level, dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -257,10 +257,25 @@ def telling_lists(lists: DataFrame) -> DataFrame:
 
 
 def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame, scratch: Scratch) -> DataFrame:
-    """Step two: every pair of one list that lies in different components and may link."""
-    members = telling_lists(lists.select("key", "id", "n", "s1", "pos")).withColumnRenamed("s1", "mark")
-    met = crossing(members, known, scratch, details=parities.withColumnRenamed("s1", "mark"), on=("id", "n", "mark")).filter(_may_link("p", "q")).filter(_parity_allows("p", "q"))
-    return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    """Step two: every pair of one list that lies in different components and may link.
+
+    Most lists lie in one component by now and go first, by the least and the greatest
+    component of each. Members are paired without their parity bits, which are joined
+    to the distinct pairs alone.
+    """
+    owned = scratch.keep(with_components(lists.select("key", "id", "n", "s1", "pos"), known), "owned")
+    ends = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    members = scratch.keep(owned.join(ends, "key", "left_semi"), "open")
+    told = telling_lists(members).withColumnRenamed("s1", "mark")
+    met = crossing(told, known, scratch).filter(_may_link("p", "q"))
+    swap = F.col("p.id") > F.col("q.id")
+    side = lambda first, second: F.when(swap, F.struct(f"{second}.id", f"{second}.n", f"{second}.mark")).otherwise(F.struct(f"{first}.id", f"{first}.n", f"{first}.mark"))
+    pairs = scratch.keep(met.select(side("p", "q").alias("x"), side("q", "p").alias("y")).distinct(), "met")
+    scratch.drop("owned", "open")
+    bits = lambda name: parities.select(F.struct("id", "n", F.col("s1").alias("mark")).alias(name), F.col("parity").alias(f"{name}_parity"))
+    both = pairs.join(bits("x"), "x").join(bits("y"), "y")
+    both = both.select(*[F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.n").alias("n"), F.col(f"{c}_parity").alias("parity")).alias(c) for c in ("x", "y")])
+    return both.filter(_parity_allows("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
