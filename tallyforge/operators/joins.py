@@ -7,15 +7,17 @@ strategy asks for it, only a unique one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import civic_numbers, normalize_job, normalize_name, prefix_candidates, street_signature
+from .textjoin import contained, contained_targets, matching_ratio, near_texts
+from .windows import distributed_rank
 
 
 def docs_with_text(documents: DataFrame, texts: DataFrame) -> DataFrame:
@@ -55,14 +57,6 @@ def precedence_join(keys: DataFrame, strategies: Sequence[Strategy]) -> DataFram
     return out.select("key", F.col("hit.target").alias("target"), F.coalesce("hit.method", F.lit("unresolved")).alias("method"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"))
 
 
-def containing(keys: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
-    """Pairs in which a name contains a key, by equality on the key's first characters (up to three), which stand somewhere in the name."""
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.array(*[F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)])))
-    left = keys.filter(F.length(key) > 0).withColumn("_g", F.substring(key, 1, 3))
-    right = names.filter(F.length(name) > 0).withColumn("_g", F.explode(F.array_distinct(grams)))
-    return left.join(right, "_g").filter(F.contains(F.col(name), F.col(key))).drop("_g")
-
-
 def _runs(df: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
     """Rows with ``phrase``: every distinct run of so many tokens of a normalised text."""
     tokens = F.split(text, " ")
@@ -122,15 +116,21 @@ def job_to_project(jobs: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def resolve_project_ref(refs: DataFrame, projects: DataFrame) -> DataFrame:
-    """References (``key``) to projects: id, then code, then name contained in the reference or the other way round, smallest id."""
-    keys = refs.select("key").distinct()
-    low = F.lower(F.trim("key"))
-    by_id = keys.join(projects, F.trim("key") == F.col("id").cast("string")).select("key", F.col("id").alias("target"))
-    by_code = keys.join(projects, low == F.lower("code")).select("key", F.col("id").alias("target"))
-    norm = keys.withColumn("ref", normalize_job(F.col("key")))
-    dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    by_name = phrase_targets(norm, "ref", dim, "pname")
-    return precedence_join(keys, [Strategy(by_id, "id", 1.0), Strategy(by_code, "code", 1.0), Strategy(by_name, "name", 0.8)])
+    """References (``key``) to projects: id, code, legacy job number, alias, then a name that holds the reference; smallest id of each tier.
+
+    ``projects`` may have ``legacy_number`` (text) and ``aliases`` (array of texts). Case
+    and blanks around a reference do not count.
+    """
+    keys = refs.select("key").filter("trim(key) <> ''").distinct().withColumn("ref", F.lower(F.trim("key")))
+    equal = lambda c, dim: keys.join(dim.select(F.col("id").alias("target"), F.lower(c).alias("ref")), "ref").select("key", "target")
+    tiers = [Strategy(equal(F.col("id").cast("string"), projects), "id", 1.0), Strategy(equal(F.col("code"), projects), "code", 1.0)]
+    if "legacy_number" in projects.columns:
+        tiers.append(Strategy(equal(F.col("legacy_number"), projects), "legacy_number", 0.95))
+    if "aliases" in projects.columns:
+        tiers.append(Strategy(equal(F.trim("alias"), projects.select("id", F.explode("aliases").alias("alias"))), "alias", 0.9))
+    dim = projects.select(F.col("id").alias("target"), F.lower("name").alias("pname"))
+    tiers.append(Strategy(contained_targets(keys, "ref", dim, "pname", name_in_text=False), "name", 0.8))
+    return precedence_join(refs.select("key").distinct(), tiers)
 
 
 def civic_match(names: DataFrame, projects: DataFrame) -> DataFrame:
@@ -156,19 +156,26 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, fields: Sequence[str], *, threshold: float = 0.85, block: int = 3) -> DataFrame:
-    """(key, target, score): best least similarity over the fields, at ``threshold`` or more.
+def fuzzy_match(left: DataFrame, right: DataFrame, fields: Sequence[str], *, threshold: float = 0.85, ratio: bool = False) -> DataFrame:
+    """(key, target, score): best least similarity over the fields, at ``threshold`` or more; ties to the smallest target.
 
-    Pairs meet on the first ``block`` characters or the last ones of the first field.
+    Similarity is 1 - edit distance / longer length, or with ``ratio`` the share of
+    matching blocks. Case and blanks around a text do not count; a null field matches
+    nothing. Every pair that reaches the threshold in the first field is found
+    (``near_texts``); equal rows of a side stand for one another, so copies cost nothing.
     """
     clean = lambda df: df.withColumns({f"_{f}": F.lower(F.trim(f)) for f in fields})
-    f0 = f"_{fields[0]}"
-    blocks = lambda df: df.withColumn("_b", F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(f0, 1, block)), F.concat(F.lit("$"), F.substring(f0, -block, block))))))
-    a, b = blocks(clean(left)).alias("a"), blocks(clean(right)).alias("b")
-    scores = [similarity(F.col(f"a._{f}"), F.col(f"b._{f}")) for f in fields]
-    score = F.least(*scores) if len(scores) > 1 else scores[0]
-    pairs = a.join(b, F.col("a._b") == F.col("b._b")).select(F.col("a.key").alias("key"), F.col("b.id").alias("target"), score.alias("score")).filter(F.col("score") >= threshold).distinct()
-    return pairs.groupBy("key").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("m")).select("key", (-F.col("m.t")).alias("target"), F.col("m.score").alias("score"))
+    names = [f"_{f}" for f in fields]
+    whole = " and ".join(f"{n} is not null" for n in names)
+    asked, stored = clean(left).filter(whole), clean(right).filter(whole)
+    a = asked.select(*names).distinct().select(F.col(names[0]).alias("a"), F.struct(*names).alias("x"))
+    b = stored.groupBy(*names).agg(F.min("id").alias("target")).select(F.col(names[0]).alias("b"), F.struct(*names).alias("y"), "target")
+    near = near_texts(a.select(F.col("a").alias("text")), b.select(F.col("b").alias("text")), threshold=threshold, ratio=ratio)
+    like = matching_ratio if ratio else similarity
+    scores = [like(F.col(f"x.{n}"), F.col(f"y.{n}")) for n in names]
+    scored = near.join(a, "a").join(b, "b").withColumn("score", F.least(*scores) if len(scores) > 1 else scores[0])
+    best = scored.filter(F.col("score") >= threshold).groupBy("x").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("m")).select("x.*", "m")
+    return asked.join(best, names).select("key", (-F.col("m.t")).alias("target"), F.col("m.score").alias("score"))
 
 
 def polymorphic_join(proposals: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -177,35 +184,66 @@ def polymorphic_join(proposals: DataFrame, tasks: DataFrame) -> DataFrame:
     return of_task.select("id", "entity_type", "entity_id", F.when(F.col("entity_type") == "project", F.col("entity_id")).otherwise(F.col("task_project")).alias("project_id"))
 
 
+def _matched_days(days: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Daily counts (block, day, online, n), sorted by block and day, to runs of pairs: the next n rows of a day with the next n online rows of another."""
+    held: list[tuple[int, bool, int]] = []
+    block = None
+
+    def runs() -> list[tuple]:
+        waiting = deque([day, n, 0] for day, online, n in held if online)
+        out = []
+        for day, online, need in held:
+            used = 0
+            while not online and need and waiting and waiting[0][0] <= day + window:
+                if waiting[0][0] < day - window:
+                    waiting.popleft()  # too old for this day and all that follow
+                    continue
+                take = min(need, waiting[0][1])
+                out.append((block, day, used, waiting[0][0], waiting[0][2], take))
+                used, need = used + take, need - take
+                waiting[0][1] -= take
+                waiting[0][2] += take
+                if not waiting[0][1]:
+                    waiting.popleft()
+        return out
+
+    names = ["block", "day", "rank", "online_day", "online_rank", "n"]
+    for frame in days:
+        out = []
+        for own, day, online, n in zip(frame["block"], frame["day"], frame["online"], frame["n"]):
+            if own != block:
+                out += runs()
+                block, held = own, []
+            held.append((day, online, n))
+        yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(runs(), columns=names)
+
+
 def duplicate_twins(receipts: DataFrame, *, day_window: int = 2) -> DataFrame:
     """(primary, duplicate, total, days): in-store and online rows of one event, one to one.
 
-    Same absolute total, refund sign and project (null equals null), dates within
-    the window. Rows are dealt out by that block and streamed in (date, id) order;
-    a block holds equal amounts of one project only.
+    Same absolute total, refund sign and project (null equals null), dates within the
+    window. In order of (date, id) each in-store row takes the first online row that is
+    left. What a row takes depends on the days alone: rows of a day are taken in order,
+    and an online day that is too old stays so. So a block of equal amounts is matched by
+    its counts per day (as many rows as it has days), as two queues that are merged, and
+    the rows find their partners by rank within their day. No block of receipts is ever
+    in one task.
     """
+    block = F.to_json(F.struct(F.abs("total").alias("amount"), "is_refund", "project_id"))
     rows = receipts.filter("duplicate_of is null and total is not null and sales_date is not null").select(
-        F.abs("total").alias("amount"), "is_refund", "project_id", "online", "sales_date", "id"
+        block.alias("block"), F.abs("total").alias("total"), F.unix_date("sales_date").alias("day"), F.col("online").cast("boolean").alias("online"), "id"
     )
-    keys = ["amount", "is_refund", "project_id"]
-
-    def pair(frame: pd.DataFrame) -> pd.DataFrame:
-        stores, onlines = frame[~frame["online"]], frame[frame["online"]]
-        used, out = set(), []
-        for d, i in zip(stores["sales_date"], stores["id"]):
-            for od, oi in zip(onlines["sales_date"], onlines["id"]):
-                if oi not in used and abs((od - d).days) <= day_window:
-                    used.add(oi)
-                    out.append((i, oi, frame["amount"].iloc[0], abs((od - d).days)))
-                    break
-        return pd.DataFrame(out, columns=["primary", "duplicate", "total", "days"])
-
-    # Only blocks with both kinds reach Python.
-    both = rows.groupBy(*keys).agg(F.max("online").alias("hi"), F.min("online").alias("lo")).filter("hi and not lo").drop("hi", "lo")
-    same = [rows[k].eqNullSafe(both[k]) for k in keys]
-    work = rows.join(both, same, "left_semi")
-    schema = StructType([StructField("primary", LongType()), StructField("duplicate", LongType()), StructField("total", rows.schema["amount"].dataType), StructField("days", LongType())])
-    return work.groupBy(*keys).applyInPandas(lambda f: pair(f.sort_values(["sales_date", "id"])), schema)
+    # Only blocks with both kinds go on.
+    both = rows.groupBy("block").agg(F.max("online").alias("hi"), F.min("online").alias("lo")).filter("hi and not lo").select("block")
+    ranked = distributed_rank(rows.join(both, "block", "left_semi"), [F.asc("id")], by=("block", "day", "online"))
+    counts = ranked.groupBy("block", "day", "online").agg(F.count(F.lit(1)).alias("n"))
+    runs = counts.repartition("block").sortWithinPartitions("block", "day").mapInPandas(lambda days: _matched_days(days, day_window), "block string, day int, rank long, online_day int, online_rank long, n long")
+    stores = ranked.filter("not online").select("block", "day", F.col("rank").alias("place"), F.col("id").alias("primary"), "total").join(runs, ["block", "day"])
+    stores = stores.filter((F.col("place") >= F.col("rank")) & (F.col("place") < F.col("rank") + F.col("n")))
+    stores = stores.select("block", "primary", "total", "day", "online_day", (F.col("online_rank") + F.col("place") - F.col("rank")).alias("online_rank"))
+    onlines = ranked.filter("online").select("block", F.col("day").alias("online_day"), F.col("rank").alias("online_rank"), F.col("id").alias("duplicate"))
+    return stores.join(onlines, ["block", "online_day", "online_rank"]).select("primary", "duplicate", "total", F.abs(F.col("day") - F.col("online_day")).cast("long").alias("days"))
 
 
 def duplicate_totals(totals: DataFrame, *, share: float = 0.005, least: float = 1.0) -> DataFrame:
@@ -224,17 +262,20 @@ def duplicate_totals(totals: DataFrame, *, share: float = 0.005, least: float =
     return pairs.select("project_id", "a", "b", F.abs(F.col("ta") - F.col("tb")).cast("decimal(18,2)").alias("gap"), F.when(F.col("ra") | F.col("rb"), "high").otherwise("medium").alias("severity"))
 
 
-def sender_attribution(messages: DataFrame, projects: DataFrame, defaults: DataFrame, votes: DataFrame) -> DataFrame:
-    """Messages (id, sender, text) to projects: name in the text, a word of it of four letters or more, the sender's default, the recency vote."""
+def sender_attribution(messages: DataFrame, projects: DataFrame, defaults: DataFrame, votes: DataFrame, *, vote_key: str = "sender") -> DataFrame:
+    """Messages (id, sender, text) to projects: name in the text, a word of it of four letters or more, the sender's default, the recency vote (by ``vote_key``: sender, or message id)."""
     keys = messages.select(F.col("id").alias("key"))
-    norm = messages.select(F.col("id").alias("key"), "sender", normalize_job(F.col("text")).alias("words"))
-    dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    name = phrase_targets(norm.select("key", "words"), "words", dim, "pname", either_way=False)
-    each = norm.select("key", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
-    words = dim.select("target", F.explode(F.filter(F.array_distinct(F.split("pname", " ")), lambda t: F.length(t) >= 4)).alias("w")).groupBy("w").agg(F.min("target").alias("target"))
-    word = each.join(words, "w").select("key", "target").distinct()
+    norm = messages.select(F.col("id").alias("key"), "sender", F.lower("text").alias("words"))
+    dim = projects.select(F.col("id").alias("target"), F.lower(F.trim("name")).alias("pname"))
+    name = contained_targets(norm.select("key", "words"), "words", dim, "pname", text_in_name=False)
+    parts = F.transform(F.split("pname", r"[\s\-/]+"), lambda t: F.regexp_replace(t, r"^[.,:()]+|[.,:()]+$", ""))
+    words = dim.select("target", F.explode(F.filter(F.array_distinct(parts), lambda t: F.length(t) >= 4)).alias("w")).groupBy("w").agg(F.min("target").alias("target"))
+    met = contained(words, "w", norm, "words").filter(F.expr(r"rlike(hay, concat('\\b\\Q', needle, '\\E\\b'))"))
+    of_text = met.join(words.withColumnRenamed("w", "needle"), "needle").groupBy(F.col("hay").alias("words")).agg(F.min("target").alias("target"))
+    word = norm.join(of_text, "words").select("key", "target")
     default = norm.join(defaults.select("sender", F.col("project_id").alias("target")), "sender").select("key", "target")
-    vote = norm.join(votes.select("sender", F.col("project_id").alias("target")), "sender").select("key", "target")
+    voted = F.col("key") if vote_key == "id" else F.col(vote_key)
+    vote = norm.join(votes.select(F.col(vote_key).alias("_by"), F.col("project_id").alias("target")), voted == F.col("_by")).select("key", "target")
     return precedence_join(keys, [Strategy(name, "text_match", 0.9), Strategy(word, "text_match_word", 0.75), Strategy(default, "worker_default", 0.6), Strategy(vote, "sender_recency", 0.5)])
 
 
@@ -283,19 +324,24 @@ def worker_resolution(names: DataFrame, workers: DataFrame, aliases: DataFrame)
 
 
 def site_resolution(sites: DataFrame, projects: DataFrame, hints: DataFrame) -> DataFrame:
-    """Site names (``key``) to projects whose name holds them as a phrase or the other way round, else by hint (key, project_id)."""
+    """Site names (``key``) to projects whose name holds them or the other way round, whatever the case, else by hint (key, project_id)."""
     keys = sites.select("key").distinct()
-    norm = keys.withColumn("s", normalize_job(F.col("key")))
-    dim = projects.select(F.col("id").alias("target"), normalize_job(F.col("name")).alias("pname"))
-    hit = phrase_targets(norm, "s", dim, "pname")
+    norm = keys.withColumn("s", F.lower(F.trim("key")))
+    dim = projects.select(F.col("id").alias("target"), F.lower("name").alias("pname"))
+    hit = contained_targets(norm, "s", dim, "pname")
     hint = keys.join(hints.select("key", F.col("project_id").alias("target")), "key")
     return precedence_join(keys, [Strategy(hit, "site_name", 0.9), Strategy(hint, "hint", 0.5)])
 
 
 def mail_routing(mails: DataFrame, projects: DataFrame, defaults: DataFrame, *, fallback: int | None = None, system: str = r"(?i)^(no-?reply|mailer-daemon|postmaster)@") -> DataFrame:
-    """Mails (id, sender, recipient) to projects by plus-tag code, the sender's default, the global default; system senders are quarantined, other unknown ones marked."""
+    """Mails (id, sender, recipient) to projects by plus-tag (a code, or a part of a name), the sender's default, the global default; system senders are quarantined, other unknown ones marked."""
     tag = F.lower(F.regexp_extract("recipient", r"\+([^@]+)@", 1))
-    tagged = mails.withColumn("tag", tag).join(projects.select(F.col("id").alias("by_tag"), F.lower("code").alias("tag")), "tag", "left")
+    own = mails.withColumn("tag", tag)
+    keys = own.select(F.col("tag").alias("key")).filter("key <> ''").distinct()
+    code = keys.join(projects.select(F.col("id").alias("target"), F.lower("code").alias("key")), "key")
+    inside = contained_targets(keys.withColumn("t", F.col("key")), "t", projects.select(F.col("id").alias("target"), F.lower("name").alias("pname")), "pname", name_in_text=False)
+    by_tag = precedence_join(keys, [Strategy(code, "code", 1.0), Strategy(inside, "name", 0.8)])
+    tagged = own.join(by_tag.select(F.col("key").alias("tag"), F.col("target").alias("by_tag")), "tag", "left")
     joined = tagged.join(defaults.select("sender", F.col("project_id").alias("by_sender")), "sender", "left")
     blocked = F.coalesce(F.col("sender").rlike(system), F.lit(False))
     target = F.coalesce("by_tag", "by_sender", F.lit(fallback).cast("bigint"))
@@ -320,10 +366,12 @@ def quote_scope_coverage(lines: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("unresolved", F.col("item_code").isNotNull() & F.col("item_id").isNull())
 
 
-def filename_resolver(files: DataFrame, projects: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Parts of ``<code>[-seq]_<TYPE>_<division>-<trade>_<vendor>_<status>.<ext>`` and the project and vendor they name.
+def filename_resolver(files: DataFrame, projects: DataFrame, vendors: DataFrame, packages: DataFrame) -> DataFrame:
+    """Parts of ``<code>[-seq]_<TYPE>_<division>-<trade>_<vendor>_<status>.<ext>`` and the project, package and vendor they name.
 
-    The vendor is an exact match of the squeezed name, else the only vendor that contains it.
+    The package is that of the division in the project (id, project_id, division_code),
+    if it is the only one; ``package_method`` tells none from several. The vendor is an
+    exact match of the squeezed name, else the only vendor that contains it.
     """
     pattern = r"^(\d{7})(?:-(\d{3}))?_([A-Za-z]+)(?:_(\d{2})-([A-Za-z]+)_([A-Za-z0-9]+))?(?:_([A-Za-z0-9]+))?\.[A-Za-z0-9]+$"
     part = lambda k: F.nullif(F.regexp_extract("name", pattern, k), F.lit(""))
@@ -332,8 +380,14 @@ def filename_resolver(files: DataFrame, projects: DataFrame, vendors: DataFrame)
     dim = vendors.select(F.col("id").alias("target"), squeeze(F.col("name")).alias("slug"))
     keys = parsed.filter("vendor_slug is not null").select(F.col("vendor_slug").alias("key")).distinct()
     exact = keys.join(dim, squeeze(F.col("key")) == F.col("slug")).select("key", "target")
-    inside = containing(keys.withColumn("_k", squeeze(F.col("key"))), "_k", dim, "slug").select("key", "target")
+    squeezed = keys.withColumn("_k", squeeze(F.col("key")))
+    inside = contained_targets(squeezed, "_k", dim, "slug", name_in_text=False)
     vendor = precedence_join(keys, [Strategy(exact, "exact", 1.0, True), Strategy(inside, "contains", 0.8, True)])
     out = parsed.join(projects.select(F.col("id").alias("project_id"), "code"), "code", "left")
+    held = packages.groupBy("project_id", F.col("division_code").alias("division")).agg(F.min("id").alias("_package"), F.count(F.lit(1)).alias("_packages"))
+    out = out.join(held, ["project_id", "division"], "left")
+    asked = F.col("project_id").isNotNull() & F.col("division").isNotNull()
+    method = F.when(F.col("_packages") == 1, "filename_division_code").when(F.col("_packages") > 1, "ambiguous").when(asked, "none").otherwise("unresolved")
+    out = out.withColumns({"package_id": F.when(F.col("_packages") == 1, F.col("_package")), "package_method": method}).drop("_package", "_packages")
     return out.join(vendor.select(F.col("key").alias("vendor_slug"), F.col("target").alias("vendor_id"), F.col("method").alias("vendor_method")), "vendor_slug", "left")
 

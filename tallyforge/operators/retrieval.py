@@ -8,14 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import amount_in_text, document_numbers, keyword_score, keyword_tokens
+from ..functions.text import amount_in_text, document_numbers, keyword_tokens
+from ..scratch import Scratch
 from .windows import distributed_rank
 
-#: Query vectors broadcast at most.
-MOST_QUERIES = 10_000
+#: Queries broadcast at a time at most; beyond, the chunks are read once for each block of so many.
+MOST_QUERIES = 2000
+#: Chunks that are scored against all queries of a block at once.
+CHUNKS_AT_ONCE = 2048
+#: Damping of ranks in a fused score.
+DAMPING = 60
+#: Parts in which a query's local leaders are brought together first.
+PARTS = 32
 
 
 def _tokens(size: int) -> int:
@@ -28,7 +37,8 @@ def _fill(ends: np.ndarray, begin: int, room: int) -> int:
     return max(begin + 1, int(np.searchsorted(ends, ends[begin] + room, "right")) - 1)
 
 
-_SENTENCE = re.compile(r"(?:(?<=[.!?])\s+|\n)")
+#: Fixed value: where a paragraph that is too long may be cut.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def _units(paragraph: str, target: int) -> list[str]:
@@ -100,30 +110,145 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 12, min_similarity: float = 0.0) -> DataFrame:
-    """Per query the chunks of best fused rank 1 / (60 + cosine rank) + 1 / (60 + keyword rank).
+class _Asked:
+    """A block of queries as matrices: unit vectors, and the queries that hold each keyword."""
+
+    def __init__(self, ids: list, vectors: list, tokens: list):
+        self.ids = ids
+        self.dims = max((len(v) for v in vectors if v is not None), default=0)
+        self.vectors = np.zeros((len(ids), self.dims))
+        for k, v in enumerate(vectors):
+            if v is not None and len(v) == self.dims and None not in v:
+                self.vectors[k] = v
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
+        self.terms: dict[str, list[int]] = {}
+        for k, own in enumerate(tokens):
+            for t in own or []:
+                self.terms.setdefault(t, []).append(k)
+        self.sizes = np.array([len(t or []) for t in tokens], dtype=np.float64)
+
+    def scores(self, vectors: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and shares of keywords, rounded to six places, one row per query and one column per chunk."""
+        n = len(vectors)
+        rows = np.zeros((n, self.dims))
+        whole = pc.fill_null(pc.equal(pc.list_value_length(vectors), self.dims), False).to_numpy(zero_copy_only=False)
+        if whole.any() and self.dims:
+            flat = pc.list_flatten(vectors.filter(pa.array(whole))).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            rows[whole] = flat.reshape(-1, self.dims)
+            rows[np.isnan(rows).any(axis=1)] = 0.0
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        scale = np.outer(self.norms, norms)
+        cosine = np.divide(self.vectors @ rows.T, scale, out=np.zeros((len(self.ids), n)), where=scale > 0)
+        held = np.zeros((len(self.ids), n))
+        postings: dict[str, list[int]] = {}
+        for at, own in enumerate(tokens.to_pylist()):
+            for t in own or []:
+                if t in self.terms:
+                    postings.setdefault(t, []).append(at)
+        for t, chunks in postings.items():
+            held[np.ix_(self.terms[t], chunks)] += 1
+        share = np.divide(held, self.sizes[:, None], out=np.zeros_like(held), where=self.sizes[:, None] > 0)
+        return np.round(cosine, 6) + 0.0, np.round(share, 6)
+
+
+def _scored(asked: _Asked, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids in ascending order, cosines and keyword shares of blocks of chunks (id, embedding, tokens)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNKS_AT_ONCE):
+            batch = whole.slice(at, CHUNKS_AT_ONCE)
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            yield batch.column(0).to_numpy(zero_copy_only=False), *asked.scores(batch.column(1), batch.column(2))
+
+
+def _ahead(values: np.ndarray, ids: np.ndarray, own: np.ndarray, own_ids: np.ndarray) -> np.ndarray:
+    """How many of (values, ids), in ascending order of ids, come before each of (own, own_ids): greater, or as great with a smaller id."""
+    order = np.argsort(values, kind="stable")
+    ascending, named = values[order], ids[order]
+    low, high = np.searchsorted(ascending, own, "left"), np.searchsorted(ascending, own, "right")
+    out = len(values) - high
+    for v in np.unique(own[high > low]):
+        same = np.flatnonzero(own == v)
+        out[same] += np.searchsorted(named[low[same[0]] : high[same[0]]], own_ids[same])
+    return out
+
 
-    ``queries``: query_id, embedding, query_text; ``chunks``: id, embedding, text. Every
-    chunk is scored for every query; the queries are broadcast in blocks of about
-    MOST_QUERIES. Ranks count every chunk by ``distributed_rank``, so no task holds
-    all chunks of a query.
+def hybrid_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 12, min_similarity: float = 0.0) -> DataFrame:
+    """Per query the chunks of best fused rank 1 / (60 + cosine rank) + 1 / (60 + keyword rank), ranks counted from 0.
+
+    ``queries``: query_id, embedding, query_text; ``chunks``: id (a whole number),
+    embedding, text. Ties go to the smaller id. A threshold bounds what can win: the
+    best ``top_k`` by either rank score 1 / (59 + top_k) at least, and a chunk behind
+    place 60 + 2 top_k in both lists scores less. So only the chunks before that place
+    in a list are candidates. One pass over the chunks finds them: a task scores its
+    chunks in blocks, as a matrix product and an inverted index of the queries'
+    keywords, and sends on its leaders alone. A second pass counts, for each
+    candidate, the chunks that rank ahead of it, so ranks are exact. Rows written per
+    query: 2 (60 + 2 top_k) a task. Chunks that share a score, however many, cost no more.
+    A vector that is null, of another length or holds a null has cosine 0.
     """
-    blocks = -(-queries.count() // MOST_QUERIES)
-    if blocks > 1:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        parts = [_search_block(queries.filter(block == b), chunks, top_k, min_similarity) for b in range(2 * blocks)]
-        return functools.reduce(DataFrame.unionByName, parts)
-    return _search_block(queries, chunks, top_k, min_similarity)
-
-
-def _search_block(queries: DataFrame, chunks: DataFrame, top_k: int, min_similarity: float) -> DataFrame:
-    asked = queries.select("query_id", F.col("embedding").alias("qv"), keyword_tokens(F.col("query_text")).alias("qt"))
-    scored = chunks.withColumn("tokens", keyword_tokens(F.col("text"))).join(F.broadcast(asked)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("similarity"), F.round(keyword_score(F.col("qt"), F.col("tokens")), 6).alias("keyword"))
-    ranked = distributed_rank(scored, [F.desc("similarity"), F.asc("id")], by=("query_id",), name="sem_rank")
-    ranked = distributed_rank(ranked, [F.desc("keyword"), F.asc("id")], by=("query_id",), name="kw_rank")
-    fused = ranked.withColumn("score", F.round(1 / (60 + F.col("sem_rank")) + 1 / (60 + F.col("kw_rank")), 9)).filter((F.col("similarity") >= min_similarity) | (F.col("keyword") > 0))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "id", "similarity", "keyword", "score", "rank")
+    spark = queries.sparkSession
+    scratch = Scratch(spark)
+    numbered = scratch.keep(queries.select("query_id", "embedding", keyword_tokens(F.col("query_text")).alias("tokens")), "queries")
+    blocks = max(1, -(-numbered.count() // MOST_QUERIES))
+    prepared = chunks.select(F.col("id").cast("long").alias("id"), "embedding", keyword_tokens(F.col("text")).alias("tokens"))
+    # Twice as many blocks as needed, so that none of them, dealt by hash, grows beyond the bound.
+    block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+    parts = [numbered.filter(block == b) for b in range(2 * blocks)] if blocks > 1 else [numbered]
+    return functools.reduce(DataFrame.unionByName, [_search_block(p.toArrow(), prepared, scratch, f"{b}", top_k, min_similarity, queries.schema["query_id"].dataType.simpleString()) for b, p in enumerate(parts)])
+
+
+def _search_block(block: pa.Table, chunks: DataFrame, scratch: Scratch, name: str, top_k: int, min_similarity: float, kind: str) -> DataFrame:
+    context, depth = chunks.sparkSession.sparkContext, DAMPING + 2 * top_k
+    asked = context.broadcast(_Asked(*(block.column(c).to_pylist() for c in ("query_id", "embedding", "tokens"))))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, ...] | None] = [None, None]
+        for ids, *scores in _scored(asked.value, batches):
+            for side in (0, 1):
+                own = (np.broadcast_to(ids, scores[0].shape), scores[side], scores[1 - side])
+                if best[side] is not None:
+                    own = tuple(np.concatenate([a, b], axis=1) for a, b in zip(best[side], own))
+                    by_id = np.argsort(own[0], axis=1, kind="stable")
+                    own = tuple(np.take_along_axis(a, by_id, axis=1) for a in own)
+                first = np.argsort(-own[1], axis=1, kind="stable")[:, :depth]
+                best[side] = tuple(np.take_along_axis(a, first, axis=1) for a in own)
+        for side in (0, 1):
+            if best[side] is not None:
+                ids, mine, other = best[side]
+                query = np.repeat(np.arange(len(ids)), ids.shape[1])
+                columns = [query, ids.ravel(), (mine, other)[side].ravel(), (other, mine)[side].ravel(), np.full(len(query), side)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "id", "similarity", "keyword", "side"])
+
+    leaders = chunks.mapInArrow(lead, "q long, id long, similarity double, keyword double, side long")
+    order = [F.desc(F.when(F.col("side") == 0, F.col("similarity")).otherwise(F.col("keyword"))), F.asc("id")]
+    for by in (["q", "side", F.pmod(F.xxhash64("id"), F.lit(PARTS))], ["q", "side"]):
+        leaders = leaders.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= depth)
+    candidates = scratch.keep(leaders.select("q", "id", "similarity", "keyword").distinct(), f"candidates-{name}")
+    # At most two times ``depth`` rows a query.
+    table = candidates.toArrow().sort_by([("q", "ascending"), ("id", "ascending")])
+    held = context.broadcast(tuple(table.column(c).to_numpy() for c in ("q", "id", "similarity", "keyword")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own_ids, similarity, keyword = held.value
+        at = np.searchsorted(q, np.arange(len(asked.value.ids) + 1))
+        ahead = np.zeros((2, len(q)), dtype=np.int64)
+        for ids, cosine, share in _scored(asked.value, batches):
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                ahead[0, a:b] += _ahead(cosine[k], ids, similarity[a:b], own_ids[a:b])
+                ahead[1, a:b] += _ahead(share[k], ids, keyword[a:b], own_ids[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own_ids), pa.array(ahead[0]), pa.array(ahead[1])], names=["q", "id", "sem", "kw"])
+
+    ranks = chunks.mapInArrow(count, "q long, id long, sem long, kw long").groupBy("q", "id").agg(F.sum("sem").alias("sem"), F.sum("kw").alias("kw"))
+    fused = candidates.join(ranks, ["q", "id"]).withColumn("score", F.round(1 / (DAMPING + F.col("sem")) + 1 / (DAMPING + F.col("kw")), 9))
+    fused = fused.filter((F.col("similarity") >= min_similarity) | (F.col("keyword") > 0))
+    best = fused.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= top_k)
+    named = chunks.sparkSession.createDataFrame(pa.table({"q": pa.array(range(block.num_rows), pa.int64()), "query_id": block.column("query_id")}))
+    # What both sides hold has the bound of a block of queries.
+    found = best.join(F.broadcast(named), "q").select(F.col("query_id").cast(kind).alias("query_id"), "id", "similarity", "keyword", "score", "rank")
+    found = scratch.keep(found, f"found-{name}")
+    asked.destroy()
+    held.destroy()
+    return found
 
 
 def amount_grounding(amounts: DataFrame, texts: DataFrame) -> DataFrame:

@@ -47,13 +47,18 @@ def job_to_project(v):
     return J.job_to_project(v("receipt").filter("job_name is not null").select(F.col("job_name").alias("key")), v("project"))
 
 
-@query("receipt", "project", sql=f""", keys as (select distinct case id % 3 when 0 then coalesce(project_id, 0)::varchar when 1 then concat('J', coalesce(project_id, 0)) else coalesce(job_name, 'none') end as key from receipt),
-t0 as (select key, id as target from keys join project on trim(key) = id::varchar), t1 as (select key, id as target from keys join project on lower(trim(key)) = lower(code)), n as (select key, {_NJ.format('key')} as ref from keys), d as (select id as target, {_NJ.format('name')} as pname from project),
-t2 as (select key, target from n join d on ({_PHRASE.format('ref', 'pname')}) or ({_PHRASE.format('pname', 'ref')}))
-""" + _first([("t0", "id", 1.0, False), ("t1", "code", 1.0, False), ("t2", "name", 0.8, False)]))
+@query("receipt", "project", sql=""", r as (select *, coalesce(project_id, 0) as p from receipt), keys as (select distinct case id % 6 when 0 then p::varchar when 1 then concat('J', p) when 2 then coalesce(job_name, 'none') when 3 then concat(' OLD-', p) when 4 then concat('the ', p) else substr(concat('CUSTOMER#', lpad(p::varchar, 9, '0')), 3) end as key from r),
+k as (select key, lower(trim(key)) as ref from keys where trim(key) <> ''), t0 as (select key, id as target from k join project on ref = id::varchar), t1 as (select key, id as target from k join project on ref = lower(code)),
+t2 as (select key, id as target from k join project on id % 2 = 0 and ref = concat('old-', id)), t3 as (select key, id as target from k join project on id % 3 <> 0 and ref = concat('the ', id)), t4 as (select key, id as target from k join project on contains(lower(name), ref))
+""" + _first([("t0", "id", 1.0, False), ("t1", "code", 1.0, False), ("t2", "legacy_number", 0.95, False), ("t3", "alias", 0.9, False), ("t4", "name", 0.8, False)]))
 def resolve_project_ref(v):
-    key = F.when(F.col("id") % 3 == 0, F.coalesce("project_id", F.lit(0)).cast("string")).when(F.col("id") % 3 == 1, F.concat(F.lit("J"), F.coalesce("project_id", F.lit(0)).cast("string"))).otherwise(F.coalesce("job_name", F.lit("none")))
-    return J.resolve_project_ref(v("receipt").select(key.alias("key")), v("project"))
+    own = F.coalesce("project_id", F.lit(0)).cast("string")
+    part = F.substring(F.concat(F.lit("CUSTOMER#"), F.lpad(own, 9, "0")), 3, 99)
+    kind = F.col("id") % 6
+    key = F.when(kind == 0, own).when(kind == 1, F.concat(F.lit("J"), own)).when(kind == 2, F.coalesce("job_name", F.lit("none"))).when(kind == 3, F.concat(F.lit(" OLD-"), own)).when(kind == 4, F.concat(F.lit("the "), own)).otherwise(part)
+    number = F.col("id").cast("string")
+    projects = v("project").withColumns({"legacy_number": F.when(F.col("id") % 2 == 0, F.concat(F.lit("old-"), number)), "aliases": F.when(F.col("id") % 3 != 0, F.array(F.lit("x"), F.concat(F.lit("The "), number)))})
+    return J.resolve_project_ref(v("receipt").select(key.alias("key")), projects)
 
 
 @query("document", "project", sql=""", p as (select id as target, concat(100 + id % 400, ' Rue Saint ', name) as name from project), keys as (select distinct case id % 3 when 0 then concat(100 + project_id % 400, '-', 100 + project_id % 400 + 1, ' Depot') when 1 then concat(100 + project_id % 400, ' rue SAINT ', 'Customer#', lpad(project_id::varchar, 9, '0')) else name end as key from document),
@@ -77,7 +82,7 @@ def exact_match(v):
 
 
 @query(sql="""with l as (select distinct concat(p_name, ' x') as n, min(p_partkey) as key from part group by 1), r as (select p_name as n, min(p_partkey) as id from part group by 1),
-s as (select key, id, 1 - levenshtein(l.n, r.n)::double / greatest(length(l.n), length(r.n)) as score from l join r on substr(l.n, 1, 3) = substr(r.n, 1, 3) or right(l.n, 3) = right(r.n, 3))
+s as (select key, id, 1 - levenshtein(l.n, r.n)::double / greatest(length(l.n), length(r.n)) as score from l, r)
 select key, id as target, score from (select *, row_number() over (partition by key order by score desc, id) as k from s where score >= 0.8) where k = 1""")
 def fuzzy_match(v):
     part = v("part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
@@ -111,18 +116,22 @@ def duplicate_totals(v):
     return J.duplicate_totals(v("document").select("project_id", F.col("id").alias("document_id"), F.col("stated_total").alias("total"), (F.col("id") % 6 == 0).alias("is_rollup")))
 
 
-_MSG = """, m as (select id, sender, case id % 4 when 0 then concat('at Customer#', lpad(project_hint::varchar, 9, '0'), ' today') when 1 then 'customer visit' else 'rain again' end as text from message), p as (select * from project), keys as (select id as key from m),
+_MSG = """, m as (select id, sender, case id % 4 when 0 then concat('at Customer#', lpad(project_hint::varchar, 9, '0'), 's today') when 1 then concat('(Harbour', project_hint % 5, ') visit') when 2 then 'at harbourside' else 'rain again' end as text from message),
+p as (select id, case when id % 3 = 0 then concat('12-14 Harbour', id % 5, ' / ', name) else name end as name from project), keys as (select id as key from m), w as (select distinct lower(text) as words from m), d as (select id as target, lower(trim(name)) as pname from p),
+n as (select words, min(target) as target from w join d on contains(words, pname) group by 1), tok as (select min(target) as target, w from (select target, regexp_replace(unnest(string_split_regex(pname, '[\\s\\-/]+')), '^[.,:()]+|[.,:()]+$', '', 'g') as w from d) where length(w) >= 4 group by w),
+x as (select words, min(target) as target from w join tok on regexp_matches(words, concat('\\b', regexp_escape(w), '\\b')) group by 1),
 """
 
 
-@query("message", "project", sql=_MSG + f"""w as (select id as key, sender, {_NJ.format('text')} as words from m), d as (select id as target, {_NJ.format('name')} as pname from p), t0 as (select key, target from w join d on {_PHRASE.format('pname', 'words')}),
-t1 as (select distinct key, target from (select key, unnest(string_split(words, ' ')) as x from w) join (select min(target) as target, x from (select target, unnest(string_split(pname, ' ')) as x from d) group by x) using (x) where length(x) >= 4), t2 as (select key, sender % 20 as target from w where sender % 3 = 0), t3 as (select key, sender % 7 as target from w where sender % 3 = 1)
+@query("message", "project", sql=_MSG + """t0 as (select id as key, target from m join n on lower(text) = words), t1 as (select id as key, target from m join x on lower(text) = words), t2 as (select id as key, sender % 20 as target from m where sender % 3 = 0), t3 as (select id as key, sender % 7 as target from m where sender % 3 = 1)
 """ + _first([("t0", "text_match", 0.9, False), ("t1", "text_match_word", 0.75, False), ("t2", "worker_default", 0.6, False), ("t3", "sender_recency", 0.5, False)]))
 def sender_attribution(v):
-    text = F.when(F.col("id") % 4 == 0, F.concat(F.lit("at Customer#"), F.lpad(F.col("project_hint").cast("string"), 9, "0"), F.lit(" today"))).when(F.col("id") % 4 == 1, "customer visit").otherwise("rain again")
+    hint = F.col("project_hint")
+    text = F.when(F.col("id") % 4 == 0, F.concat(F.lit("at Customer#"), F.lpad(hint.cast("string"), 9, "0"), F.lit("s today"))).when(F.col("id") % 4 == 1, F.concat(F.lit("(Harbour"), (hint % 5).cast("string"), F.lit(") visit"))).when(F.col("id") % 4 == 2, "at harbourside").otherwise("rain again")
     message = v("message").withColumn("text", text)
+    named = v("project").withColumn("name", F.when(F.col("id") % 3 == 0, F.concat(F.lit("12-14 Harbour"), (F.col("id") % 5).cast("string"), F.lit(" / "), F.col("name"))).otherwise(F.col("name")))
     sender = message.select("sender").distinct()
-    return J.sender_attribution(message, v("project"), sender.filter("sender % 3 = 0").withColumn("project_id", F.col("sender") % 20), sender.filter("sender % 3 = 1").withColumn("project_id", F.col("sender") % 7))
+    return J.sender_attribution(message, named, sender.filter("sender % 3 = 0").withColumn("project_id", F.col("sender") % 20), sender.filter("sender % 3 = 1").withColumn("project_id", F.col("sender") % 7))
 
 
 @query("task", sql=", t as (select *, case when id > 1 then id // 2 end as parent_id from task) select t.project_id, t.id, t.title, p.title as parent_title, p.status as parent_status, p.start_date as parent_start from t left join task p on p.project_id = t.project_id and p.id = t.parent_id")
@@ -163,24 +172,24 @@ def worker_resolution(v):
     return J.worker_resolution(v("message").select(key.alias("key")), workers, aliases)
 
 
-@query("message", "project", sql=f""", keys as (select distinct case sender % 3 when 0 then concat('customer#', lpad(sender::varchar, 9, '0')) when 1 then concat('yard ', sender) else concat('near Customer#', lpad(sender::varchar, 9, '0'), ' rear') end as key from message), n as (select key, {_NJ.format('key')} as s from keys), d as (select id as target, {_NJ.format('name')} as pname from project),
-t0 as (select key, target from n join d on ({_PHRASE.format('s', 'pname')}) or ({_PHRASE.format('pname', 's')})), t1 as (select key, length(key) as target from keys where key like 'yard %')
+@query("message", "project", sql=""", keys as (select distinct case sender % 3 when 0 then concat('tomer#', lpad(sender::varchar, 9, '0')) when 1 then concat('yard ', sender) else concat('near Customer#', lpad(sender::varchar, 9, '0'), 's rear') end as key from message), n as (select key, lower(trim(key)) as s from keys), d as (select id as target, lower(name) as pname from project),
+t0 as (select key, target from n join d on contains(pname, s) or contains(s, pname)), t1 as (select key, length(key) as target from keys where key like 'yard %')
 """ + _first([("t0", "site_name", 0.9, False), ("t1", "hint", 0.5, False)]))
 def site_resolution(v):
     padded = F.lpad(F.col("sender").cast("string"), 9, "0")
-    key = F.when(F.col("sender") % 3 == 0, F.concat(F.lit("customer#"), padded)).when(F.col("sender") % 3 == 1, F.concat(F.lit("yard "), F.col("sender").cast("string"))).otherwise(F.concat(F.lit("near Customer#"), padded, F.lit(" rear")))
+    key = F.when(F.col("sender") % 3 == 0, F.concat(F.lit("tomer#"), padded)).when(F.col("sender") % 3 == 1, F.concat(F.lit("yard "), F.col("sender").cast("string"))).otherwise(F.concat(F.lit("near Customer#"), padded, F.lit("s rear")))
     sites = v("message").select(key.alias("key"))
     hints = sites.filter("key like 'yard %'").distinct().withColumn("project_id", F.length("key").cast("long"))
     return J.site_resolution(sites, v("project"), hints)
 
 
-@query("message", "project", sql=""", m as (select id, case when id % 50 = 0 then 'noreply@x.org' else concat('u', sender, '@x.org') end as sender, case id % 3 when 0 then concat('log+j', project_hint, '@y.org') when 1 then 'log@y.org' else 'log+zzz@y.org' end as recipient from message), d as (select distinct concat('u', sender, '@x.org') as sender, sender % 20 as project_id from message where sender % 2 = 0)
+@query("message", "project", sql=""", m as (select id, case when id % 50 = 0 then 'noreply@x.org' else concat('u', sender, '@x.org') end as sender, case id % 3 when 0 then concat('log+j', project_hint, '@y.org') when 1 then 'log@y.org' else concat('log+', case when id % 2 = 0 then 'zzz' else concat('MER#', lpad(project_hint::varchar, 9, '0')) end, '@y.org') end as recipient from message), d as (select distinct concat('u', sender, '@x.org') as sender, sender % 20 as project_id from message where sender % 2 = 0)
 select m.id, case when not regexp_matches(m.sender, '(?i)^(no-?reply|mailer-daemon|postmaster)@') then coalesce(p.id, d.project_id, 7) end as project_id,
  case when regexp_matches(m.sender, '(?i)^(no-?reply|mailer-daemon|postmaster)@') then 'quarantined' when p.id is not null then 'plus_tag' when d.project_id is not null then 'sender_default' else 'global_default' end as method, d.project_id is null and not regexp_matches(m.sender, '(?i)^(no-?reply|mailer-daemon|postmaster)@') as new_sender
-from m left join project p on lower(p.code) = lower(regexp_extract(recipient, '\\+([^@]+)@', 1)) left join d on d.sender = m.sender""")
+from (select *, lower(regexp_extract(recipient, '\\+([^@]+)@', 1)) as tag from m) m left join (select tag, coalesce((select min(id) from project where lower(code) = tag), (select min(id) from project where contains(lower(name), tag))) as id from (select distinct lower(regexp_extract(recipient, '\\+([^@]+)@', 1)) as tag from m) where tag <> '') p on p.tag = m.tag left join d on d.sender = m.sender""")
 def mail_routing(v):
     name = F.concat(F.lit("u"), F.col("sender").cast("string"), F.lit("@x.org"))
-    mails = v("message").select("id", F.when(F.col("id") % 50 == 0, "noreply@x.org").otherwise(name).alias("sender"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("log+j"), F.col("project_hint").cast("string"), F.lit("@y.org"))).when(F.col("id") % 3 == 1, "log@y.org").otherwise("log+zzz@y.org").alias("recipient"))
+    mails = v("message").select("id", F.when(F.col("id") % 50 == 0, "noreply@x.org").otherwise(name).alias("sender"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("log+j"), F.col("project_hint").cast("string"), F.lit("@y.org"))).when(F.col("id") % 3 == 1, "log@y.org").otherwise(F.concat(F.lit("log+"), F.when(F.col("id") % 2 == 0, "zzz").otherwise(F.concat(F.lit("MER#"), F.lpad(F.col("project_hint").cast("string"), 9, "0"))), F.lit("@y.org"))).alias("recipient"))
     defaults = v("message").filter("sender % 2 = 0").select(name.alias("sender"), (F.col("sender") % 20).alias("project_id")).distinct()
     return J.mail_routing(mails, v("project"), defaults, fallback=7)
 
@@ -200,12 +209,15 @@ def quote_scope_coverage(v):
     return J.quote_scope_coverage(lines, items).select("project_id", "document_id", "item_code", "item_id", "unresolved")
 
 
-@query("receipt", "project", "supplier", sql="""select r.id, (1000000 + r.project_id)::varchar as code, case when r.id % 2 = 0 then '001' end as sequence, 'QUOTE' as doc_type, '09' as division, 'Finishes' as trade, concat('supplier', lpad((r.id % 20)::varchar, 9, '0')) as vendor_slug, 'pending' as status, r.project_id, s.s_suppkey as vendor_id, case when s.s_suppkey is null then 'unresolved' else 'exact' end as vendor_method
-from receipt r left join supplier s on s.s_suppkey = r.id % 20 where r.project_id is not null""")
+@query("receipt", "project", "supplier", sql="""select r.id, (1000000 + r.project_id)::varchar as code, case when r.id % 2 = 0 then '001' end as sequence, 'QUOTE' as doc_type, '09' as division, 'Finishes' as trade, concat('supplier', lpad((r.id % 20)::varchar, 9, '0')) as vendor_slug, 'pending' as status, r.project_id, s.s_suppkey as vendor_id, case when s.s_suppkey is null then 'unresolved' else 'exact' end as vendor_method,
+ case when r.project_id % 3 = 0 and p.id is not null then p.id * 10 end as package_id, case when p.id is null then 'unresolved' when p.id % 3 = 0 then 'filename_division_code' when p.id % 3 = 1 then 'ambiguous' else 'none' end as package_method
+from receipt r left join project p on p.id = r.project_id left join supplier s on s.s_suppkey = r.id % 20 where r.project_id is not null""")
 def filename_resolver(v):
     receipts = v("receipt").filter("project_id is not null")
     code = (1000000 + F.col("project_id")).cast("string")
     name = F.concat(code, F.when(F.col("id") % 2 == 0, "-001").otherwise(""), F.lit("_Quote_09-Finishes_supplier"), F.lpad((F.col("id") % 20).cast("string"), 9, "0"), F.lit("_pending.xlsx"))
     projects = v("project").withColumn("code", (1000000 + F.col("id")).cast("string"))
     vendors = v("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return J.filename_resolver(receipts.select("id", name.alias("name")), projects, vendors).drop("name")
+    each = F.when(F.col("id") % 3 == 0, F.array(F.lit(0))).when(F.col("id") % 3 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>"))
+    packages = v("project").select(F.col("id").alias("project_id"), F.explode(each).alias("k")).select((F.col("project_id") * 10 + F.col("k")).alias("id"), "project_id", F.lit("09").alias("division_code"))
+    return J.filename_resolver(receipts.select("id", name.alias("name")), projects, vendors, packages).drop("name")

@@ -50,15 +50,33 @@ def cascade_shift(v):
     return G.cascade_shift(tasks, v("edge"), first).select("project_id", "id", "new_end")
 
 
-@query("task", sql=""", r as (select project_id, id, case when id > 1 and exists (select 1 from task p where p.project_id = task.project_id and p.id = task.id // 2) then id // 2 end as parent_id from task),
-w(project_id, id, depth, path) as (select project_id, id, 0, id::varchar from r where parent_id is null union all select r.project_id, r.id, w.depth + 1, concat(w.path, '/', r.id) from w join r on r.project_id = w.project_id and r.parent_id = w.id)
-select w.*, coalesce(c.n, 0) as children from w left join (select project_id, parent_id, count(*) as n from r where parent_id is not null group by 1, 2) c on c.project_id = w.project_id and c.parent_id = w.id""")
-def task_tree(v):
+_TREE = """, r as (select project_id, id, start_date, case when id > 1 and exists (select 1 from task p where p.project_id = task.project_id and p.id = task.id // 2) then id // 2 end as parent_id from task),
+w(project_id, id, depth, path, ids, keys) as (select project_id, id, 0, id::varchar, [id], [{'s': start_date, 'i': id}] from r where parent_id is null union all select r.project_id, r.id, w.depth + 1, concat(w.path, '/', r.id), list_append(w.ids, r.id), list_append(w.keys, {'s': r.start_date, 'i': r.id}) from w join r on r.project_id = w.project_id and r.parent_id = w.id)
+"""
+
+
+def _tree_tasks(v):
     task = v("task")
     up = task.select("project_id", F.col("id").alias("parent_id"))
     half = task.withColumn("parent_id", F.floor(F.col("id") / 2).cast("int"))
     known = half.filter("id > 1").join(up, ["project_id", "parent_id"], "left_semi").select("project_id", "id", "parent_id")
-    return G.task_tree(task.select("project_id", "id").join(known, ["project_id", "id"], "left"))
+    return _dated(v).join(known, ["project_id", "id"], "left")
+
+
+@query("task", sql=_TREE + """, pl as (select *, row_number() over (partition by project_id order by keys) - 1 as place from w)
+select w.project_id, w.id, w.depth, w.path, coalesce(c.n, 0) as children, w.place, w.place + (select count(*) from w d where d.project_id = w.project_id and d.depth > w.depth and list_contains(d.ids, w.id)) as last
+from pl w left join (select project_id, parent_id, count(*) as n from r where parent_id is not null group by 1, 2) c on c.project_id = w.project_id and c.parent_id = w.id""")
+def task_tree(v):
+    return G.task_tree(_tree_tasks(v), [F.col("start_date")])
+
+
+@query("task", "edge", sql=_TREE + """, ed as (select e.project_id, p.id as p, s.id as s, p.status in ('DONE', 'CANCELLED') as done, date_diff('day', s.start_date, (p.start_date + interval 1 day * p.duration)::date)::int as days from edge e join task p on p.project_id = e.project_id and p.id = predecessor_id join task s on s.project_id = e.project_id and s.id = successor_id)
+select project_id, id, 'parent' as relation, parent_id as other_id, null::int as days from r where parent_id is not null union all select project_id, parent_id, 'child', id, null from r where parent_id is not null
+union all select a.project_id, a.id, 'sibling', b.id, null from r a join r b on a.project_id = b.project_id and a.parent_id = b.parent_id and a.id <> b.id
+union all select project_id, s, case when done then 'preceded_by' else 'blocked_by' end, p, null from ed union all select project_id, p, 'blocks', s, null from ed union all select project_id, s, 'conflict', p, days from ed where days > 0""")
+def task_neighbourhood(v):
+    tasks = _tree_tasks(v)
+    return G.task_neighbourhood(tasks, v("edge"), G.task_tree(tasks))
 
 
 @query("task", sql="select project_id, id, round((floor(duration / 2) + 4 * duration + duration * 2) / 6, 6) as expected, round((duration * 2 - floor(duration / 2)) / 6, 6) as sd, round(pow((duration * 2 - floor(duration / 2)) / 6, 2), 6) as variance, true as valid from task")
@@ -103,7 +121,7 @@ def fast_track(v):
 
 
 _LONG = """, lp(project_id, id, d, vv, path) as (select project_id, id, duration::double, (duration / 4.0)::double, [id] from task union all select e.project_id, e.successor_id, lp.d + t.duration, lp.vv + (t.duration / 4.0)::double, list_append(lp.path, e.successor_id) from lp join edge e on e.project_id = lp.project_id and e.predecessor_id = lp.id join task t on t.project_id = e.project_id and t.id = e.successor_id),
-best as (select * from lp qualify row_number() over (partition by project_id order by d desc, vv desc, path desc) = 1)
+best as (select * from lp qualify row_number() over (partition by project_id order by d desc, vv desc, list_reverse(path) desc) = 1)
 """
 
 

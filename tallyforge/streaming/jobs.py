@@ -6,21 +6,36 @@ query it started; ``available`` runs a job over all that has arrived and ends.
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.joins import sender_attribution
 from ..operators.labour import consolidate_claims
+from .tables import KeyedTable
 
+#: Jobs with state of their own layout need the state store that has column families.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def available(stream: DataFrame, folder: str, *, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
+
+def available(stream: DataFrame, folder: str, *, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> StreamingQuery:
     """Run a stream over everything that has arrived: into Parquet under ``folder``/out, or through ``each`` batch."""
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", f"{folder}/out").start()
-    query.awaitTermination()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, STATE_STORE)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode(mode)
+        query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", f"{folder}/out").start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+    return query
 
 
 def message_dedup(messages: DataFrame, *, key: str = "id", at: str = "sent_at", late: str = "2 days") -> DataFrame:
@@ -34,43 +49,69 @@ def daily_changes(events: DataFrame, *, at: str = "sent_at", kind: str = "channe
     return counted.select(F.col("window.start").cast("date").alias("day"), kind, "n")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(conf).exists(at):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def guarded(each: Callable[[dict], None], *, key: str = "id") -> Callable[[DataFrame], DataFrame]:
+    """A step over rows from one over a row: (key, error), where error is null or the exception that ``each`` raised."""
 
+    def run(rows: DataFrame) -> DataFrame:
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                errors = []
+                for row in frame.to_dict("records"):
+                    try:
+                        each(row)
+                        errors.append(None)
+                    except Exception as error:  # the ledger is the report
+                        errors.append(f"{type(error).__name__}: {error}")
+                yield pd.DataFrame({key: frame[key], "error": pd.Series(errors, dtype=object)})
 
-class Versions:
-    """A table that each batch replaces by a new version; a batch that is run again writes the same version again."""
+        return rows.mapInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, error string")
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    return run
 
-    def path(self, batch: int) -> str:
-        return f"{self.folder}/version={batch:09d}"
 
-    def before(self, batch: int) -> DataFrame:
-        return read_or_empty(self.spark, self.path(batch - 1), self.schema) if batch else self.spark.createDataFrame([], self.schema)
+def intake(seen: KeyedTable, failures: KeyedTable, process: Callable[[DataFrame], DataFrame], folder: str, *, key: str = "id", most_attempts: int = 3) -> Callable[[DataFrame, int], None]:
+    """A batch step that processes each message id once, however late it comes again, and records failures.
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(batch))
+    ``seen`` (key) has every id that is done or given up; ``failures`` (the message's
+    columns, attempts, error, status) those whose processing raised an error, which
+    every batch tries again up to ``most_attempts`` times in all. ``process`` takes the
+    rows, with the attempts made so far, and gives (key, error). Outcomes are written
+    to ``folder``/batch=n. A batch that stopped halfway is run again from the same
+    tables; one that is in ``seen`` is done.
+    """
 
-    def latest(self) -> DataFrame:
-        every = self.spark.read.option("basePath", self.folder).parquet(f"{self.folder}/version=*")
-        last = every.agg(F.max("version").alias("v")).first()["v"]
-        return self.spark.read.schema(self.schema).parquet(self.path(int(last)))
+    def step(batch: DataFrame, number: int) -> None:
+        if number in seen.versions():
+            return
+        pending = failures.before(number)
+        first = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        fresh = first.join(seen.held(first, number).select(key), key, "left_anti").join(pending.select(key), key, "left_anti")
+        columns = [c for c in pending.columns if c not in ("attempts", "error", "status")]
+        todo = fresh.select(*columns, F.lit(0).alias("attempts")).unionByName(pending.filter("status = 'failed'").select(*columns, "attempts"))
+        status = F.when(F.col("error").isNull(), "ok").when(F.col("attempts") >= most_attempts, "dead").otherwise("failed")
+        outcome = todo.withColumn("attempts", F.col("attempts") + 1).join(process(todo).select(key, "error"), key).withColumn("status", status)
+        path = f"{folder}/batch={number}"
+        outcome.write.mode("overwrite").parquet(path)
+        done = batch.sparkSession.read.schema(outcome.schema).parquet(path)
+
+        def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.join(new.select(key), key, "left_anti").unionByName(new.filter("status <> 'ok'").select(*old.columns))
+
+        failures.merge(number, done.filter("status <> 'ok' or attempts > 1"), replaced)
+        seen.append(number, done.filter("status <> 'failed'").select(key))
+
+    return step
 
 
 CATALOG = "id long, name string, folder string, is_trashed boolean, at timestamp, seq long"
 
 
-def change_feed(versions: Versions, *, root: str) -> Callable[[DataFrame, int], None]:
-    """A batch step that applies change events (id, name, folder, kind, at, seq) to the catalog.
+def change_feed(catalog: KeyedTable, *, root: str) -> Callable[[DataFrame, int], None]:
+    """A batch step that applies change events (id, name, folder, kind, at, seq) to the catalog, keyed by id.
 
     Removals delete softly; folders and what lies outside ``root`` are skipped; a
-    null never overwrites; of one key the last event of a batch decides.
+    null never overwrites; of one key the last event of a batch decides. Only the
+    buckets of the ids in the batch are written.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -80,11 +121,13 @@ def change_feed(versions: Versions, *, root: str) -> Callable[[DataFrame, int],
             F.max_by("name", F.when(F.col("name").isNotNull(), order)).alias("_name"), F.max_by("folder", F.when(F.col("folder").isNotNull(), order)).alias("_folder"),
             F.max_by(F.col("kind") == "removed", order).alias("_gone"), F.max("at").alias("_at"), F.max("seq").alias("_seq"),
         )
-        old = versions.before(number)
-        new = old.join(last, "id", "full_outer").select(
-            "id", F.coalesce("_name", "name").alias("name"), F.coalesce("_folder", "folder").alias("folder"), F.coalesce("_gone", "is_trashed").alias("is_trashed"), F.coalesce("_at", "at").alias("at"), F.coalesce("_seq", "seq").alias("seq"),
-        )
-        versions.write(new, number)
+
+        def apply(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.join(new, "id", "full_outer").select(
+                "id", F.coalesce("_name", "name").alias("name"), F.coalesce("_folder", "folder").alias("folder"), F.coalesce("_gone", "is_trashed").alias("is_trashed"), F.coalesce("_at", "at").alias("at"), F.coalesce("_seq", "seq").alias("seq"),
+            )
+
+        catalog.merge(number, last, apply)
 
     return step
 
@@ -100,52 +143,144 @@ def board_probe(reread: Callable[[DataFrame], DataFrame], folder: str) -> Callab
 
 #: Stands for "no project leads" between Python and Spark, where a null whole number cannot.
 NO_PROJECT = -1
+DAY = 86_400_000_000
 
 
-def sender_votes(messages: DataFrame, *, half_life_days: float = 7.0, dominance: float = 0.6) -> DataFrame:
-    """Per sender and batch the project that leads the recency-weighted vote, with its share; the weights are state, decayed as time passes.
+class SenderVotes(StatefulProcessor):
+    """The dated project hints of a sender within a window, and the vote they give.
 
-    State per sender: the time of its last message and a weight per project, at that time.
+    State is one list of (time in microseconds, project). An event-time timer stands
+    at the moment when the oldest hint leaves the window; a sender that stays silent is
+    voted on once more for each hint that leaves, and keeps no state after the last.
     """
 
-    def vote(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, projects, weights = state.get if state.exists else (None, [], [])
-        held = dict(zip(projects, weights))
-        rows = pd.concat(frames).sort_values(["sent_at", "id"])
-        for at, project in zip(rows["sent_at"], rows["project_hint"]):
-            if last is not None:
-                fade = 0.5 ** (max(0.0, (at.timestamp() - last) / 86400.0) / half_life_days)
-                held = {p: w * fade for p, w in held.items()}
-            last = max(last or 0.0, at.timestamp())
-            held[int(project)] = held.get(int(project), 0.0) + 1.0
-        state.update((last, list(held), list(held.values())))
-        best = min(held, key=lambda p: (-held[p], p))
-        share = held[best] / sum(held.values())
-        yield pd.DataFrame({"sender": [key[0]], "project_id": [best if share >= dominance else NO_PROJECT], "share": [round(share, 4)], "seen_at": [pd.Timestamp(round(last * 1e6), unit="us")]})
-
-    votes = messages.groupBy("sender").applyInPandasWithState(
-        vote, "sender long, project_id long, share double, seen_at timestamp", "last double, projects array<long>, weights array<double>", "update", GroupStateTimeout.NoTimeout
-    )
+    def __init__(self, half_life_days: float, window_days: int, dominance: float):
+        self.half_life, self.window, self.dominance = half_life_days * DAY, window_days * DAY, dominance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hints = handle.getListState("hints", "at long, project long")
+
+    def _vote(self, held: dict[int, list], now: int) -> tuple[int, float]:
+        # Weights are those of a fixed time: all fade alike, so shares do not depend on it.
+        total = sum(w for w, _ in held.values())
+        if not total:
+            return NO_PROJECT, 0.0
+        best = min(held, key=lambda p: (-round(held[p][0] / total, 9), p))
+        share = round(held[best][0] / total, 4)
+        return (best if share >= self.dominance else NO_PROJECT), share
+
+    def _settle(self, key: tuple, hints: list[tuple[int, int]], now: int) -> dict:
+        """Keep the hints of the window before ``now`` as state, set the timer, and give the sender's vote."""
+        hints = [h for h in hints if h[0] >= now - self.window]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if hints:
+            self.hints.put(hints)
+            # A timer fires when the watermark has reached it: a millisecond after the hint has left.
+            self.handle.registerTimer((hints[0][0] + self.window) // 1000 + 1)
+        else:
+            self.hints.clear()
+        held: dict[int, list] = {}
+        for at, project in hints:
+            own = held.setdefault(project, [0.0, 0])
+            own[0] += 2.0 ** ((at - now) / self.half_life)
+            own[1] += 1
+        project, share = self._vote(held, now)
+        return {"kind": "vote", "id": None, "sender": key[0], "text": None, "project_id": project, "share": share, "seen_at": pd.Timestamp(now, unit="us")}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows).sort_values(["sent_at", "id"])
+        hints = sorted(tuple(h) for h in self.hints.get())
+        # Each message gets the vote of the hints before it: a window that slides over old and new ones.
+        start = frame["sent_at"].iloc[0].value // 1000
+        held: dict[int, list] = {}
+        inside: deque[tuple[int, int]] = deque()
+
+        def add(at: int, project: int) -> None:
+            inside.append((at, project))
+            own = held.setdefault(project, [0.0, 0])
+            own[0] += 2.0 ** ((at - start) / self.half_life)
+            own[1] += 1
+
+        waiting = deque(hints)
+        out = []
+        for i, at, hint, text in zip(frame["id"], frame["sent_at"], frame["project_hint"], frame["text"]):
+            now = at.value // 1000
+            while waiting and waiting[0][0] <= now:
+                add(*waiting.popleft())
+            while inside and inside[0][0] < now - self.window:
+                gone, project = inside.popleft()
+                own = held[project]
+                own[0] -= 2.0 ** ((gone - start) / self.half_life)
+                own[1] -= 1
+                if not own[1]:
+                    del held[project]
+            project, share = self._vote(held, now)
+            out.append({"kind": "message", "id": int(i), "sender": key[0], "text": text, "project_id": project, "share": share, "seen_at": at})
+            if not pd.isna(hint):
+                insort(hints, (now, int(hint)))
+                add(now, int(hint))
+        latest = max(frame["sent_at"].iloc[-1].value // 1000, hints[-1][0] if hints else 0, timerValues.getCurrentWatermarkInMs() * 1000)
+        out.append(self._settle(key, hints, latest))
+        yield pd.DataFrame(out).astype({"id": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        row = self._settle(key, sorted(tuple(h) for h in self.hints.get()), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame([row]).astype({"id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def sender_votes(messages: DataFrame, *, half_life_days: float = 7.0, window_days: int = 14, dominance: float = 0.6, late: str = "1 hour") -> DataFrame:
+    """Votes over dated hints (id, sender, sent_at, project_hint, text), kept as state for ``window_days``.
+
+    Per message (kind ``message``) the project that leads the vote of its sender's
+    hints before it, and per sender (kind ``vote``) the vote whenever it changes: after a
+    batch with messages of the sender, and when time takes a hint out of the window. A
+    vote is that of ``recency_vote`` at ``seen_at``, the later of the sender's last message
+    and the watermark. A null hint votes for nothing. A project needs ``dominance`` of
+    the weight to lead; its share is given in any case.
+    """
+    votes = messages.select("id", "sender", "sent_at", "project_hint", "text").withWatermark("sent_at", late).groupBy("sender").transformWithStateInPandas(
+        statefulProcessor=SenderVotes(half_life_days, window_days, dominance), outputStructType="kind string, id long, sender long, text string, project_id long, share double, seen_at timestamp", outputMode="Update", timeMode="EventTime",
+    )
     return votes.withColumn("project_id", F.nullif("project_id", F.lit(NO_PROJECT)))
 
 
+def attribution(projects: DataFrame, defaults: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """A batch step over ``sender_votes``: each message to a project by name, word, sender's default or vote, into ``folder``/attributed; the votes into ``folder``/votes."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/answers/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        answers = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        messages = answers.filter("kind = 'message'")
+        found = sender_attribution(messages.select("id", "sender", "text"), projects, defaults, messages.select("id", "project_id"), vote_key="id")
+        found.withColumnRenamed("key", "id").write.mode("overwrite").parquet(f"{folder}/attributed/batch={number}")
+        answers.filter("kind = 'vote'").select("sender", "project_id", "share", "seen_at").write.mode("overwrite").parquet(f"{folder}/votes/batch={number}")
+
+    return step
+
+
 CLAIM_CLUSTERS = "project_id long, cluster_key string, worker_key string, work_date date, members long, channels long, status string, confidence double, chosen_id long, hours decimal(7,2)"
 
 
-def consolidation(claims: Versions, clusters: Versions) -> Callable[[DataFrame, int], None]:
-    """A batch step that adds claims and re-clusters only the (worker, day) groups they touch."""
+#: What tells the (worker, day) group of a claim.
+CLAIM_GROUP = ["worker_id", "employee_name_raw", "work_date"]
+
+
+def consolidation(claims: KeyedTable, clusters: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """A batch step that adds claims (keyed by CLAIM_GROUP) and clusters anew only the groups they touch (keyed by project_id, cluster_key)."""
 
     def step(batch: DataFrame, number: int) -> None:
-        everything = claims.before(number).unionByName(batch.select(*claims.before(number).columns))
-        claims.write(everything, number)
-        stored = claims.spark.read.schema(claims.schema).parquet(claims.path(number))
-        touched = batch.select("worker_id", "employee_name_raw", "work_date").distinct()
-        same = (stored["worker_id"].eqNullSafe(touched["worker_id"])) & (stored["employee_name_raw"].eqNullSafe(touched["employee_name_raw"])) & (stored["work_date"].eqNullSafe(touched["work_date"]))
-        again = consolidate_claims(stored.join(touched, same, "left_semi")).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in CLAIM_CLUSTERS.split(", ")])
-        key = ["project_id", "cluster_key"]
-        old = clusters.before(number)
-        kept = old.join(again.select(*key), [old[k].eqNullSafe(again[k]) for k in key], "left_anti")
-        clusters.write(kept.unionByName(again), number)
+        columns = batch.sparkSession.createDataFrame([], claims.schema).columns
+        claims.append(number, batch.select(*columns))
+        stored = claims.near(batch, number)
+        touched = batch.select(*CLAIM_GROUP).distinct()
+        again = consolidate_claims(stored.join(touched, [stored[k].eqNullSafe(touched[k]) for k in CLAIM_GROUP], "left_semi"))
+        clusters.upsert(number, again.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in CLAIM_CLUSTERS.split(", ")]))
 
     return step
 

@@ -123,20 +123,15 @@ def test_ranks_within_groups_without_one_big_window(spark):
         assert [got[g, i] for i in order] == list(range(100))
 
 
-def test_names_that_contain_a_key(spark):
-    keys = spark.createDataFrame([("abc",), ("ab",), ("z",), ("",)], "k string")
-    names = spark.createDataFrame([("xxabcx",), ("ab",), ("zz",), ("",)], "n string")
-    assert {(r.k, r.n) for r in J.containing(keys, "k", names, "n").collect()} == {("abc", "xxabcx"), ("ab", "xxabcx"), ("ab", "ab"), ("z", "zz")}
-
-
 def test_files_name_projects_and_vendors(spark):
     files = spark.createDataFrame([(1, "2026001_QUOTE_09-Finishes_ABCTile_pending.xlsx"), (2, "2026001-001_PO_22-Plumbing_PlombertInc_awarded.xlsx"), (3, "2026001_SOW_v1.xlsx"), (4, "notes.txt")], "id int, name string")
     projects = spark.createDataFrame([(7, "2026001")], "id int, code string")
     vendors = spark.createDataFrame([(1, "ABC Tile"), (2, "Groupe Plombert Inc."), (3, "Other")], "id int, name string")
-    got = {r.id: (r.code, r.sequence, r.doc_type, r.division, r.trade, r.status, r.project_id, r.vendor_id, r.vendor_method) for r in J.filename_resolver(files, projects, vendors).collect()}
+    packages = spark.createDataFrame([(70, 7, "09"), (71, 7, "22"), (72, 7, "22"), (80, 8, "09")], "id int, project_id int, division_code string")
+    got = {r.id: (r.code, r.sequence, r.doc_type, r.division, r.trade, r.status, r.project_id, r.vendor_id, r.vendor_method, r.package_id, r.package_method) for r in J.filename_resolver(files, projects, vendors, packages).collect()}
     assert got == {
-        1: ("2026001", None, "QUOTE", "09", "Finishes", "pending", 7, 1, "exact"), 2: ("2026001", "001", "PO", "22", "Plumbing", "awarded", 7, 2, "contains"),
-        3: ("2026001", None, "SOW", None, None, "v1", 7, None, None), 4: (None, None, None, None, None, None, None, None, None),
+        1: ("2026001", None, "QUOTE", "09", "Finishes", "pending", 7, 1, "exact", 70, "filename_division_code"), 2: ("2026001", "001", "PO", "22", "Plumbing", "awarded", 7, 2, "contains", None, "ambiguous"),
+        3: ("2026001", None, "SOW", None, None, "v1", 7, None, None, None, "unresolved"), 4: (None, None, None, None, None, None, None, None, None, None, "unresolved"),
     }
 
 
