@@ -4,10 +4,16 @@ Labelled outcomes of pages (1: bad) are summed per host, registered domain and
 public suffix. Beta-binomial priors shrink them downwards: the suffix towards the
 corpus mean, the domain towards its suffix, the host towards its domain. The
 strength of the prior at each level is estimated from the spread of the level's
-rates (method of moments). A host is blocked when the lower posterior bound
-(mean - z * standard deviation) of its bad rate passes a limit: the given one, or
-the bad rate of all outcomes, so that a host goes that is worse than the corpus as
-far as its outcomes can tell.
+rates (method of moments), but a prior never counts for more outcomes than its own
+level rests on, and its uncertainty is added to the host's: what others did says little
+of a host when few have been seen. A host is blocked when the lower posterior bound
+(mean - z * standard deviation) of its bad rate passes a limit, the given one or
+TOLERANCE times the bad rate of all outcomes, and a bad outcome of the host or its
+domain has been seen. At z = 1.645 about one in twenty hosts that lie just at the limit
+is blocked; hosts at the corpus rate are blocked more rarely.
+
+The suffix and domain are those of the host without user and port; an address of
+numbers is its own suffix and domain.
 
 Only sums per host, domain and suffix are shuffled, summed before the shuffle, so
 a hot host costs one row per task. Defined results: a null URL or one without
@@ -30,10 +36,14 @@ from ..scratch import Scratch
 
 #: Two-label public suffixes told apart; else the last label is the suffix. A parameter for longer lists.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
+#: Hosts that are addresses.
+ADDRESS = r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\[.*\]$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 Z = 1.645
+#: Times the corpus rate that a host's rate must pass, as far as its outcomes can tell.
+TOLERANCE = 1.5
 #: Hosts broadcast at most; beyond, pages are dealt out over this many salts of their host.
 MOST_BROADCAST, SALTS = 1_000_000, 64
 STRENGTH = (1.0, 1000.0)
@@ -47,10 +57,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def suffix_and_domain(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    """Public suffix and registered domain (the suffix and one label more)."""
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(list(two_label)), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(list(two_label)), F.substring_index(host, ".", -3)).otherwise(two)
+    """Public suffix and registered domain (the suffix and one label more) of a host, which may have user, port or numbers for a name."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    number = name.rlike(ADDRESS)
+    suffix = F.when(number, name).when(two.isin(list(two_label)), two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(number, name).when(two.isin(list(two_label)), F.substring_index(name, ".", -3)).otherwise(two)
     return suffix, domain
 
 
@@ -76,30 +88,35 @@ def _strength(level: DataFrame) -> Column:
     return F.when((k < 2) | (n <= 0) | (low <= 0), F.lit(STRENGTH[1])).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), top / low)))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most_bad: float | None = None) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = Z, most_bad: float | None = None, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Posterior of every host of ``hosts`` from ``outcomes`` (host, bad 0/1): n, bad, rate, bound, blocked.
 
     The three strengths and the mean are four numbers, taken to the driver as one row.
     """
     scratch = Scratch(hosts.sparkSession)
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), two_label)
     by_host = scratch.keep(outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumns({"suffix": suffix, "domain": domain}), "by_host")
     by_domain = by_host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     k_host, k_domain, k_suffix = (x.agg(_strength(x).alias("k")).first()["k"] for x in (by_host, by_domain, by_suffix))
     size = by_suffix.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    mean = float(size["bad"]) / float(size["n"]) if size["n"] else 0.0
-    shrunk = lambda prior, k: (F.coalesce(F.col("bad"), F.lit(0)) + prior * F.lit(float(k))) / (F.coalesce(F.col("n"), F.lit(0)) + F.lit(float(k)))
-    suffixes = by_suffix.select("suffix", shrunk(F.lit(mean), k_suffix).alias("p_suffix"))
-    domains = by_domain.join(suffixes, "suffix").select("domain", shrunk(F.col("p_suffix"), k_domain).alias("p_domain"))
+    outcomes_n = float(size["n"] or 0)
+    mean = float(size["bad"]) / outcomes_n if outcomes_n else 0.0
+    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
+    # Each level has a rate and the count of outcomes that it rests on; a prior counts for at most what the level above rests on.
+    level = lambda df, prior, rests, k: df.withColumn("_k", F.least(F.lit(float(k)), rests)).withColumns({"_rate": (bad + prior * F.col("_k")) / (n + F.col("_k")), "_rests": n + F.col("_k")})
+    whole = F.lit(max(outcomes_n, 1.0))
+    suffixes = level(by_suffix, F.lit(mean), whole, k_suffix).select("suffix", F.col("_rate").alias("p_suffix"), F.col("_rests").alias("e_suffix"))
+    domains = level(by_domain.join(suffixes, "suffix"), F.col("p_suffix"), F.col("e_suffix"), k_domain).select("domain", F.col("_rate").alias("p_domain"), F.col("_rests").alias("e_domain"), F.col("bad").alias("domain_bad"))
     every = hosts.select("host").distinct().withColumns({"suffix": suffix, "domain": domain})
-    prior = F.coalesce("p_domain", "p_suffix", F.lit(mean))
     joined = every.join(by_host.select("host", "n", "bad"), "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    a, total = bad + prior * float(k_host), n + F.lit(float(k_host))
-    rate = a / total
-    bound = rate - z * F.sqrt(rate * (1 - rate) / (total + 1))
-    return joined.select("host", n.alias("host_n"), bad.alias("host_bad"), rate.alias("rate"), bound.alias("bound"), (bound > F.lit(float(mean if most_bad is None else most_bad))).alias("blocked"))
+    prior, rests = F.coalesce("p_domain", "p_suffix", F.lit(mean)), F.coalesce("e_domain", "e_suffix", whole)
+    posterior = level(joined.withColumns({"_prior": prior, "_prior_rests": rests}), F.col("_prior"), F.col("_prior_rests"), k_host)
+    share = F.col("_k") / F.col("_rests")
+    variance = F.col("_rate") * (1 - F.col("_rate")) / (F.col("_rests") + 1) + share * share * F.col("_prior") * (1 - F.col("_prior")) / (F.col("_prior_rests") + 1)
+    bound = F.col("_rate") - z * F.sqrt(variance)
+    limit = F.lit(float(TOLERANCE * mean if most_bad is None else most_bad))
+    return posterior.select("host", n.alias("host_n"), bad.alias("host_bad"), F.col("_rate").alias("rate"), bound.alias("bound"), ((bound > limit) & (F.coalesce("domain_bad", F.lit(0)) > 0)).alias("blocked"))
 
 
 def url_filter(
@@ -113,6 +130,7 @@ def url_filter(
     rules: Sequence[tuple[str, str, str]] = RULES,
     z: float = Z,
     most_bad: float | None = None,
+    two_label: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Host, path, rule and verdict of every page; hosts without a rule are judged by their reputation.
 
@@ -123,7 +141,7 @@ def url_filter(
     judged = narrow.select("id", host.alias("host"), path.alias("path"))
     known = outcomes.select(outcomes[outcome_id_col].alias("oid"), outcomes[bad_col].cast("int").alias("bad")).filter("oid is not null and bad is not null")
     seen = judged.join(known, F.col("id") == F.col("oid")).select("host", "bad")
-    reputation = Scratch(pages.sparkSession).keep(host_reputation(seen, judged, z=z, most_bad=most_bad), "reputation")
+    reputation = Scratch(pages.sparkSession).keep(host_reputation(seen, judged, z=z, most_bad=most_bad, two_label=two_label), "reputation")
     ruled = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     if reputation.count() <= MOST_BROADCAST:
         joined = ruled.join(F.broadcast(reputation), "host")
@@ -151,22 +169,23 @@ def url_filter_sql() -> str:
     return f"""
 with u as (select page_id, case when coalesce(instr(url, '://'), 0) > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
-parts as (select *, string_split(host, '.') as s from h),
-named as (select page_id, host, path, case when array_to_string(s[-2:], '.') in ({two}) then array_to_string(s[-2:], '.') else s[-1] end as suffix,
-  case when array_to_string(s[-2:], '.') in ({two}) then array_to_string(s[-3:], '.') else array_to_string(s[-2:], '.') end as domain from parts),
+parts as (select *, string_split(name, '.') as s, regexp_matches(name, '{ADDRESS}') as a from (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name from h)),
+named as (select page_id, host, path, case when a then name when array_to_string(s[-2:], '.') in ({two}) then array_to_string(s[-2:], '.') else s[-1] end as suffix,
+  case when a then name when array_to_string(s[-2:], '.') in ({two}) then array_to_string(s[-3:], '.') else array_to_string(s[-2:], '.') end as domain from parts),
 by_host as (select host, suffix, domain, count(*) as n, sum((quality = 0)::int) as bad from named join labels on page_id = doc_id where quality is not null group by all),
 by_domain as (select suffix, domain, sum(n) as n, sum(bad) as bad from by_host group by all),
 by_suffix as (select suffix, sum(n) as n, sum(bad) as bad from by_domain group by all),
 {moments('kh', 'by_host')},
 {moments('kd', 'by_domain')},
 {moments('ks', 'by_suffix')},
-mean as (select coalesce(sum(bad)::double / sum(n)::double, 0) as v from by_suffix),
-ps as (select suffix, (bad + mean.v * ks.v) / (n + ks.v) as p from by_suffix, mean, ks),
-pd as (select domain, (bad + ps.p * kd.v) / (n + kd.v) as p from by_domain join ps using (suffix), kd),
-post as (select x.host, coalesce(b.n, 0) as n, coalesce(b.bad, 0) as bad, (coalesce(b.bad, 0) + coalesce(pd.p, ps.p, mean.v) * kh.v) / (coalesce(b.n, 0) + kh.v) as rate, coalesce(b.n, 0) + kh.v as total
-  from (select distinct host, suffix, domain from named) x left join by_host b using (host) left join pd on pd.domain = x.domain left join ps on ps.suffix = x.suffix, kh, mean),
+mean as (select coalesce(sum(bad)::double / sum(n)::double, 0) as v, greatest(coalesce(sum(n), 0), 1)::double as whole from by_suffix),
+ps as (select suffix, (bad + mean.v * k) / (n + k) as p, n + k as e from (select *, least(ks.v, mean.whole) as k from by_suffix, mean, ks) x, mean),
+pd as (select domain, bad, (bad + p * k) / (n + k) as p, n + k as e from (select *, least(kd.v, ps.e) as k from by_domain join ps using (suffix), kd)),
+prior as (select x.host, coalesce(b.n, 0) as n, coalesce(b.bad, 0) as bad, coalesce(pd.bad, 0) as domain_bad, coalesce(pd.p, ps.p, mean.v) as p, coalesce(pd.e, ps.e, mean.whole) as e
+  from (select distinct host, suffix, domain from named) x left join by_host b using (host) left join pd on pd.domain = x.domain left join ps on ps.suffix = x.suffix, mean),
+post as (select *, (bad + p * k) / (n + k) as rate, n + k as total from (select *, least(kh.v, e) as k from prior, kh)),
 judged as (select *, case{cases} end as rv from named),
-bounded as (select *, rate - {Z} * sqrt(rate * (1 - rate) / (total + 1)) as bound from post)
-select page_id, j.host, path, string_split(rv, ':')[1] as rule, coalesce(string_split(rv, ':')[2], case when bound > mean.v then 'block' else 'allow' end) as verdict,
+bounded as (select *, rate - {Z} * sqrt(rate * (1 - rate) / (total + 1) + (k / total) * (k / total) * p * (1 - p) / (e + 1)) as bound from post)
+select page_id, j.host, path, string_split(rv, ':')[1] as rule, coalesce(string_split(rv, ':')[2], case when bound > {TOLERANCE} * mean.v and domain_bad > 0 then 'block' else 'allow' end) as verdict,
   n::bigint as host_n, bad::bigint as host_bad, round(rate, 6) as rate, round(bound, 6) as bound
 from judged j join bounded b on j.host = b.host, mean"""

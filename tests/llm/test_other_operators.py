@@ -221,6 +221,36 @@ def test_bad_hosts_are_blocked_and_priors_flow_down(spark):
     assert got["new.spam.org"].bound < got["bad.spam.org"].bound
 
 
+def test_few_outcomes_of_others_block_nobody(spark):
+    # A bad suffix of 45 outcomes: its hosts without a bad outcome of their own or their domain stay, a bad one goes.
+    rows, labels, k = [], [], 0
+    for host, n, bad in [("worst.bad.net", 20, 18), *((f"h{i}.d{i}.net", 3, 0) for i in range(10)), ("none.d99.net", 2, None), *((f"h{i}.ok.com", 40, 3) for i in range(20))]:
+        for i in range(n):
+            rows.append((k, f"http://{host}/p"))
+            if bad is not None:
+                labels.append((k, int(i < bad)))
+            k += 1
+    got = {r.host: r.verdict for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"worst.bad.net"}
+
+
+def test_labels_dealt_at_random_block_about_none(spark):
+    rng = random.Random(3)
+    rows = [(k, f"http://h{k % 60}.d{k % 20}.{'com' if k % 3 else 'net'}/p") for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for _ in range(2):
+        labels = spark.createDataFrame([(k, int(rng.random() < 0.15)) for k, _ in rows], "page_id long, bad int")
+        got = U.url_filter(pages, labels, rules=()).filter("verdict = 'block'").select("host").distinct().count()
+        assert got <= 1
+
+
+def test_suffixes_of_ports_users_and_addresses(spark):
+    hosts = ["x.com:8080", "u:p@a.b.co.uk", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "plain", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.s, r.d) for r in df.select("host", *[c.alias(n) for c, n in zip(U.suffix_and_domain(F.col("host")), "sd")]).collect()}
+    assert got == {"x.com:8080": ("com", "x.com"), "u:p@a.b.co.uk": ("co.uk", "b.co.uk"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.1:80": ("10.0.0.1",) * 2, "[::1]:80": ("[::1]",) * 2, "plain": ("plain",) * 2, "": ("", "")}
+
+
 @pytest.mark.parametrize("most_broadcast", [U.MOST_BROADCAST, 0])
 def test_the_query_blocks_a_host_by_its_outcomes(spark, tmp_path, monkeypatch, most_broadcast):
     from tallyforge.llm.queries import QUERIES
