@@ -173,11 +173,11 @@ def parse_priority(v):
     return R.parse_priority(v("document"), v("project"))
 
 
-@query("message", "project", sql="select p.id as key, p.id as target from project p where p.id % 2 = 0")
+@query("message", "project", sql="select p.id as key, p.id as target from project p")
 def register_matcher(v):
     """A matcher of one's own, by its name in the registry."""
     P.register_matcher("same_name", lambda left, right: left.select(F.col("id").alias("key"), F.lower("name").alias("n")).join(right.select(F.col("id").alias("target"), F.lower("name").alias("n")), "n").select("key", "target"))
-    return P.match("same_name", v("project").filter("id % 2 = 0").withColumn("name", F.upper("name")), v("project"))
+    return P.match("same_name", v("project").withColumn("name", F.upper("name")), v("project"))
 
 
 @query(sql="select doc_id as id, case when doc_id % 2 = 0 then 'shout' else 'plain' end as method, md5(case when doc_id % 2 = 0 then replace(text, 'e', 'E') else text end) as digest from documents")

@@ -52,7 +52,7 @@ def weekly_changes(v):
 
 
 def _resolved(v):
-    keys = v("receipt").filter("job_name like 'Customer%'").select(F.col("job_name").alias("key")).distinct()
+    keys = v("receipt").filter("job_name is not null").select(F.col("job_name").alias("key")).distinct()
     return J.exact_match(keys.withColumn("name", F.col("key")), v("project"), ["name"]).withColumn("method", F.lit("job_name"))
 
 

@@ -64,13 +64,16 @@ def import_purchase_headers(raw: DataFrame) -> DataFrame:
 
 
 def import_purchase_lines(lines: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines numbered per receipt, and headers with stubs for receipts that only lines name.
+    """Lines numbered per receipt by ``line_order``, and headers with stubs for receipts that only lines name.
 
-    A receipt's new lines replace its earlier ones when written with dynamic partition overwrite by receipt.
+    ``scan_delimited`` numbers the lines it reads; without such a column a re-run could
+    number them otherwise. A receipt's new lines replace its earlier ones when written with dynamic partition overwrite by receipt.
     """
     df = _clean_names(lines)
-    order = Window.partitionBy("number").orderBy(F.monotonically_increasing_id() if "line_order" not in df.columns else F.col("line_order"))
-    read = df.select(F.trim("transaction_number").alias("number"), *(["line_order"] if "line_order" in df.columns else []), F.nullif(F.trim("sku_number"), F.lit("")).alias("sku"), F.trim("product_name").alias("product_name"), parse_money(F.col("quantity")).cast("decimal(12,3)").alias("quantity"), parse_money(F.col("subtotal")).cast(MONEY).alias("subtotal"))
+    if "line_order" not in df.columns:
+        raise ValueError("the lines need a column line_order")
+    order = Window.partitionBy("number").orderBy("line_order")
+    read = df.select(F.trim("transaction_number").alias("number"), "line_order", F.nullif(F.trim("sku_number"), F.lit("")).alias("sku"), F.trim("product_name").alias("product_name"), parse_money(F.col("quantity")).cast("decimal(12,3)").alias("quantity"), parse_money(F.col("subtotal")).cast(MONEY).alias("subtotal"))
     numbered = read.withColumn("line_number", F.row_number().over(order))
     sums = numbered.groupBy("number").agg(F.sum("subtotal").cast(MONEY).alias("line_sum"))
     joined = headers.join(sums, "number", "full_outer").withColumn("is_stub", F.col("total").isNull() & F.col("line_sum").isNotNull())
