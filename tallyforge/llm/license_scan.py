@@ -15,7 +15,7 @@ anchor are weighed, which changes no result.
 Everything is a DataFrame expression. Defined results: null or empty texts have
 no licence of their own; a null path has no directory and inherits nothing; ties
 go to the template whose name comes last; repeated rows give repeated results;
-other columns are ignored, whatever their names.
+very long texts are split into units whole; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ a join whose hot hosts Spark may split.
 
 Defined results: a null text stays null and has no lines, but counts as a page;
 null hosts form one host; repeated rows are pages of their own; lines without a
-word are never dropped; all input columns return unchanged but the text.
+word are never dropped; very long texts are read whole; an empty table gives an empty one;
+all input columns return unchanged but the text.
 """
 
 from __future__ import annotations

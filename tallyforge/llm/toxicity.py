@@ -7,7 +7,8 @@ inputs are presence times r. Scoring maps over all whole texts with the fitted
 weights and shuffles nothing.
 
 Only the text enters a score. Defined results: a null or empty text scores the
-model's intercept; repeated rows give repeated results; without labels of both
+model's intercept; repeated rows give repeated results; very long texts are read whole;
+an empty table gives an empty one; without labels of both
 classes every score is the prior (0 without any label); rows of ``labels`` with
 a null id or label are left out; other columns are ignored, whatever their names.
 """

@@ -13,7 +13,9 @@ payload of their own.
 Defined results: a null payload is an empty one; a null URL has no target line;
 line breaks in a URL are written as %0D and %0A; repeated rows give repeated
 records (rows that share the largest id are all responses); a row with a null id
-is never referred to; other columns are ignored, whatever their names.
+is never referred to; very long payloads are one record, held whole by the task that
+writes or reads it; an empty table gives an archive without records and an empty index;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
