@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.
+
+Defined results: an empty table passes every stage as an empty one; null and empty
+texts are clean if the model's intercept says so, have no lines to drop, link with
+nothing, have no tokens to weigh and are encoded as no pieces; rows with a null id are
+never taken as copies; repeated rows share one draw; very long texts are read whole;
+extra columns go along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
