@@ -50,7 +50,9 @@ def dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 def with_components(members: DataFrame, known: DataFrame) -> DataFrame:
     """Members with the component of their id, which is the id itself where no link is known."""
-    return members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = known.withColumnRenamed("node", "id")
+    named = F.broadcast(named) if known.count() <= MOST_BROADCAST else named
+    return members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def crossing(members: DataFrame, known: DataFrame, scratch: Scratch, *, details: DataFrame | None = None, on: tuple[str, ...] = ("id", "mark")) -> DataFrame:

@@ -265,13 +265,14 @@ def cross_candidates(lists: DataFrame, known: DataFrame, parities: DataFrame, sc
     """
     owned = scratch.keep(with_components(lists.select("key", "id", "n", "s1", "pos"), known), "owned")
     ends = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    members = scratch.keep(owned.join(ends, "key", "left_semi"), "open")
+    ends = scratch.keep(ends, "open-keys")
+    members = scratch.keep(owned.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "key", "left_semi"), "open")
     told = telling_lists(members).withColumnRenamed("s1", "mark")
     met = crossing(told, known, scratch).filter(_may_link("p", "q"))
     swap = F.col("p.id") > F.col("q.id")
     side = lambda first, second: F.when(swap, F.struct(f"{second}.id", f"{second}.n", f"{second}.mark")).otherwise(F.struct(f"{first}.id", f"{first}.n", f"{first}.mark"))
     pairs = scratch.keep(met.select(side("p", "q").alias("x"), side("q", "p").alias("y")).distinct(), "met")
-    scratch.drop("owned", "open")
+    scratch.drop("owned", "open", "open-keys")
     bits = lambda name: parities.select(F.struct("id", "n", F.col("s1").alias("mark")).alias(name), F.col("parity").alias(f"{name}_parity"))
     both = pairs.join(bits("x"), "x").join(bits("y"), "y")
     both = both.select(*[F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.n").alias("n"), F.col(f"{c}_parity").alias("parity")).alias(c) for c in ("x", "y")])
