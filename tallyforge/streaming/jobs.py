@@ -76,7 +76,7 @@ def intake(seen: KeyedTable, failures: KeyedTable, process: Callable[[DataFrame]
     columns, attempts, error, status) those whose processing raised an error, which
     every batch tries again up to ``most_attempts`` times in all. ``process`` takes the
     rows, with the attempts made so far, and gives (key, error). Outcomes are written
-    to ``folder``/batch=n. A batch that stopped halfway is run again from the same
+    to ``folder``/batch=n, what was tried to ``folder``_asked. A batch that stopped halfway is run again from the same
     tables; one that is in ``seen`` is done.
     """
 
@@ -88,6 +88,10 @@ def intake(seen: KeyedTable, failures: KeyedTable, process: Callable[[DataFrame]
         fresh = first.join(seen.held(first, number).select(key), key, "left_anti").join(pending.select(key), key, "left_anti")
         columns = [c for c in pending.columns if c not in ("attempts", "error", "status")]
         todo = fresh.select(*columns, F.lit(0).alias("attempts")).unionByName(pending.filter("status = 'failed'").select(*columns, "attempts"))
+        # Written first: what is processed and what is recorded are the same rows.
+        asked = f"{folder}_asked/batch={number}"
+        todo.write.mode("overwrite").parquet(asked)
+        todo = batch.sparkSession.read.schema(todo.schema).parquet(asked)
         status = F.when(F.col("error").isNull(), "ok").when(F.col("attempts") >= most_attempts, "dead").otherwise("failed")
         outcome = todo.withColumn("attempts", F.col("attempts") + 1).join(process(todo).select(key, "error"), key).withColumn("status", status)
         path = f"{folder}/batch={number}"
