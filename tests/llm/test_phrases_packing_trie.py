@@ -10,7 +10,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tallyforge.llm import packing as K
 from tallyforge.llm import phrases as P
@@ -275,4 +274,3 @@ def test_trie_of_an_empty_table_and_of_own_columns(spark):
 
 def test_registered():
     assert {"op11_phrase_mining", "op12_packing", "op13_prefix_trie"} <= set(QUERIES)
-    assert F is not None

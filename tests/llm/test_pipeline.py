@@ -58,6 +58,6 @@ def test_stages_take_odd_and_empty_rows(spark, odd_docs, no_docs, tmp_path):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(re.match(rf"op{n}_", x) for x in names)] == []
+    assert [n for n in range(1, 14) if not any(re.match(rf"op{n}_", x) for x in names)] == []
     assert "pipeline" in names
     assert ngram_join.MOST_BROADCAST > 0
