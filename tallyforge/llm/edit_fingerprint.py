@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
 from ..scratch import Scratch
-from .components import connected_components, crossing, dealt
+from .components import contracted_components, crossing, dealt, merged, reaching
 from .words import mix
 
 WALKS = 64
@@ -286,9 +286,11 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
 
     Equal fingerprints are one class. In each band a class is first verified against
     TRIED of those that lead its keys or stand before it, most frequent first, in an
-    order that differs from key to key, which joins most near copies; then all pairs of a key that lie in different components are, in blocks. So a
-    group of near copies is never paired with itself, and no link between components
-    that any band shows is lost.
+    order that differs from key to key, which joins most near copies. A class outside
+    the largest component of a key is then compared with that component until one link
+    is found, and at last all pairs outside it that still lie in different components
+    are, in blocks. So a group of near copies is never paired with itself, and no link
+    between components that any band shows is lost.
     """
     scratch = Scratch(prints.sparkSession)
     own = prints.select(prints[id_col].alias("id"), F.unhex(prints[fingerprint_col]).alias("print"))
@@ -305,13 +307,17 @@ def near_copies(prints: DataFrame, *, id_col: str = "doc_id", fingerprint_col: s
     tried = times.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TRIED)
     pairs = tried.select(F.col("x.id").alias("a"), F.col("x.mark").alias("ha"), F.col("y.id").alias("b"), F.col("y.mark").alias("hb"))
     one = scratch.keep(verified(pairs, named, least), "one")
-    known = connected_components(one, scratch, "cc1")
-    # Verified where they meet: only links leave the join.
-    met = crossing(members, known, scratch, details=named.select("id", "mark", "longs")).filter(alike("p.longs", "q.longs") >= least)
-    two = scratch.keep(met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "two")
-    final = connected_components(one.unionByName(two), scratch, "cc2")
+    known = contracted_components(one, scratch, "cc1")
+    # Verified where they meet: of a class's links to the largest component one leaves the join, of those between two outside it all, as pairs of components.
+    details, like = named.select("id", "mark", "longs"), alike("p.longs", "q.longs") >= least
+    reached, outside = reaching(members, known, scratch, like, details=details)
+    reached, outside = scratch.keep(reached, "reached"), scratch.keep(outside, "outside")
+    known = merged(known, reached, scratch, "cc2")
+    met = crossing(outside, known, scratch, details=details).filter(like)
+    two = scratch.keep(met.select(F.col("p.component").alias("a"), F.col("q.component").alias("b")).distinct(), "two")
+    final = merged(known, two, scratch, "cc3")
     small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
     joined = classes.select("print", F.col("id").alias("class_id")).join(small(final), F.col("class_id") == F.col("node"), "left")
     of_class = joined.select("print", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    scratch.drop("members", "one", "two")
+    scratch.drop("members", "one", "reached", "outside", "two")
     return own.join(of_class, "print").select(F.col("id").alias(id_col), "class_id", "component_id")

@@ -483,6 +483,69 @@ def test_near_copies_match_brute_force(spark, monkeypatch, share):
     assert got[None].component_id == got[1].component_id and got[112].class_id == got[113].class_id == 112 and got[110].class_id == 1
 
 
+def test_links_of_a_near_group_are_not_all_kept(spark, monkeypatch):
+    """A group that no first try has joined: links and edges grow with its members, not with their pairs."""
+    from tallyforge.scratch import Scratch
+
+    kept, keep = {}, Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    monkeypatch.setattr(E, "TRIED", 0)
+    rng = np.random.Generator(np.random.PCG64(8))
+    base = rng.integers(1, 256, size=(2, 2 * E.WALKS), dtype=np.uint8)
+    # Two groups, unlike one another; a member differs from its group in four bytes of the same two walks.
+    group = np.repeat(base, 150, axis=0)
+    group[:, :4] = rng.integers(1, 256, size=(300, 4))
+    rows = [(i, f.tobytes().hex()) for i, f in enumerate(group)]
+    got = {r.doc_id: r.component_id for r in E.near_copies(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert got == {i: 150 * (i // 150) for i in range(300)}
+    assert sum(n for name, n in kept.items() if name in ("one", "reached", "two") or name.endswith("-edges")) <= 12 * 300
+
+
+@pytest.mark.parametrize("n_links", [0, 60, 900])
+def test_contracted_components_match_union(spark, n_links):
+    from tallyforge.llm import components as C
+    from tallyforge.scratch import Scratch
+
+    rng = random.Random(n_links)
+    pairs = {tuple(sorted(rng.sample(range(100 * k, 100 * k + 100), 2))) for k in range(3) for _ in range(n_links // 3)}
+    more = [(a, a + 50) for a in range(200, 230)] if n_links else []
+    scratch = Scratch(spark)
+    first = C.contracted_components(spark.createDataFrame(list(pairs), "a long, b long"), scratch)
+    want = components(pairs, {x for p in pairs for x in p})
+    assert {r.node: r.component for r in first.collect()} == want
+    links = {(want.get(a, a), want.get(b, b)) for a, b in [*more, (0, 400), (300, 400)]}
+    second = C.merged(first, spark.createDataFrame(list(links), "a long, b long"), scratch, "more")
+    want = components([*pairs, *links], {x for p in [*pairs, *links] for x in p})
+    rows = [(r.node, r.component) for r in second.collect()]
+    assert len(rows) == len(want) and dict(rows) == want
+
+
+@pytest.mark.parametrize("share", [4096, 3])
+def test_stragglers_reach_each_other_and_the_group(spark, monkeypatch, share):
+    """Without first tries every link of a shared key is still found: to the largest component, or between others only."""
+    from tallyforge.llm import components as C
+
+    monkeypatch.setattr(C, "KEY_SHARE", share)
+    monkeypatch.setattr(E, "TRIED", 0)
+    rng = np.random.Generator(np.random.PCG64(9))
+    group = np.repeat(rng.integers(1, 256, size=(1, 2 * E.WALKS), dtype=np.uint8), 60, axis=0)
+    # Members differ in up to 40 bytes, so that many are linked only by others, and some by none.
+    for i, n in enumerate(rng.integers(0, 41, size=60)):
+        group[i, rng.choice(2 * E.WALKS, n, replace=False)] = rng.integers(1, 256, size=n)
+    walks = group.reshape(60, E.WALKS, 2)
+    shared = lambda a, b: any((walks[a][own] == walks[b][own]).all() for own in E.band_walks())
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if E.likeness(group[a], group[b]) >= E.LEAST and shared(a, b)]
+    rows = [(i, f.tobytes().hex()) for i, f in enumerate(group)]
+    got = {r.doc_id: r.component_id for r in E.near_copies(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert got == components(pairs, range(60)) and len(set(got.values())) > 1
+
+
 def test_recall_of_planted_edits(spark):
     rng = random.Random(14)
     base = [words(rng, rng.choice([40, 120, 400, 3000])) for _ in range(120)]
