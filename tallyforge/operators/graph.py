@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..scratch import Scratch
+from ..scratch import Scratch, shuffled
 from .windows import distributed_rank
 
 KEY = ["project_id", "id"]
@@ -206,7 +206,7 @@ def cpm_backward(forward: DataFrame, edges: DataFrame) -> DataFrame:
     finish = forward.groupBy("project_id").agg(F.max("early_finish").alias("_end"))
     # The longest chain after a task, against the edges.
     after = _longest_before(forward, edges, "successor_id", "predecessor_id").select(*KEY, "value")
-    late = forward.join(after, KEY).join(finish, "project_id").withColumn("late_finish", F.col("_end") - F.col("value"))
+    late = forward.join(shuffled(after), KEY).join(shuffled(finish), "project_id").withColumn("late_finish", F.col("_end") - F.col("value"))
     out = late.withColumns({"late_start": F.col("late_finish") - F.col("expected"), "total_float": F.round(F.col("late_finish") - F.col("early_finish"), 6)})
     return out.withColumn("critical", F.abs("total_float") < 0.001).drop("value", "_end")
 
@@ -240,19 +240,19 @@ def drag(schedule: DataFrame) -> DataFrame:
     schedule = Scratch(schedule.sparkSession).keep(schedule.select(*KEY, "expected", "early_start", "early_finish", "critical", "total_float"), "schedule")
     ends = schedule.select("project_id", F.explode(F.array("early_start", "early_finish")).alias("time")).distinct()
     numbered = distributed_rank(ends, [F.asc("time")], by=("project_id",), name="place")
-    at = lambda c: numbered.select("project_id", F.col("time").alias(c), F.col("place").alias(f"_{c}"))
+    at = lambda c: shuffled(numbered.select("project_id", F.col("time").alias(c), F.col("place").alias(f"_{c}")))
     tops = numbered.groupBy("project_id").agg(F.length(F.bin(F.max("place") * 2 + 1)).cast("int").alias("top"))
-    placed = schedule.join(tops, "project_id").join(at("early_start"), ["project_id", "early_start"]).join(at("early_finish"), ["project_id", "early_finish"])
+    placed = schedule.join(shuffled(tops), "project_id").join(at("early_start"), ["project_id", "early_start"]).join(at("early_finish"), ["project_id", "early_finish"])
     empty = F.col("_early_start") == F.col("_early_finish")
     placed = placed.withColumns({"lo": F.col("_early_start") * 2 + F.when(empty, 0).otherwise(1), "hi": F.col("_early_finish") * 2 - F.when(empty, 0).otherwise(1)})
     covered = Scratch(schedule.sparkSession).keep(placed.select(*KEY, "expected", "critical", "total_float", "top", F.expr(_COVER).alias("cover")), "cover").withColumn("above", F.expr(_ABOVE))
     other = covered.filter("not critical")
-    nodes = lambda df, c: df.select("project_id", F.explode(c).alias("node"), "total_float").groupBy("project_id", "node").agg(F.min("total_float").alias("_least"))
+    nodes = lambda df, c: shuffled(df.select("project_id", F.explode(c).alias("node"), "total_float").groupBy("project_id", "node").agg(F.min("total_float").alias("_least")))
     crit = covered.filter("critical")
     inside = crit.select(*KEY, F.explode("cover").alias("node")).join(nodes(other.withColumn("both", F.array_distinct(F.concat("cover", "above"))), "both"), ["project_id", "node"])
     around = crit.select(*KEY, F.explode("above").alias("node")).join(nodes(other, "cover"), ["project_id", "node"])
     least = inside.unionByName(around).groupBy(*KEY).agg(F.min("_least").alias("_least"))
-    return crit.join(least, KEY, "left").select(*KEY, "expected", F.least("expected", F.coalesce("_least", "expected")).alias("drag"))
+    return crit.join(shuffled(least), KEY, "left").select(*KEY, "expected", F.least("expected", F.coalesce("_least", "expected")).alias("drag"))
 
 
 def crash_rank(drags: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tokens
 from ..rules import TASK_STATUS_SCORES
-from ..scratch import Scratch
+from ..scratch import Scratch, shuffled
 
 
 def latest_snapshot(snapshots: DataFrame, *, key: str = "project_id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
@@ -114,7 +114,7 @@ def distributed_rank(rows: DataFrame, order: list[Column], *, by: tuple[str, ...
     sizes = local.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_part", *by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    return local.join(before, ["_part", *by]).withColumn(name, (F.col("_offset") + F.col("_local")).cast("long")).drop("_part", "_local", "_offset")
+    return local.join(shuffled(before) if by else before, ["_part", *by]).withColumn(name, (F.col("_offset") + F.col("_local")).cast("long")).drop("_part", "_local", "_offset")
 
 
 def key_union(*parts: DataFrame) -> DataFrame:

@@ -181,3 +181,23 @@ def test_twins_of_one_amount_without_a_project(spark):
     # In-store rows on even days, as many online rows on odd ones: each day but the last takes the day before, or the next.
     found = J.duplicate_twins(df, day_window=1)
     assert found.count() == n // 2 and found.select("duplicate").distinct().count() == n // 2 and found.filter("days > 1").count() == 0
+
+
+def test_joins_of_drag_and_of_edges_shuffle_however_small_the_files_are(spark, tmp_path, monkeypatch):
+    """Millions of like rows are a few MB of Parquet, which Spark would send to the driver to broadcast."""
+    from tallyforge import adapters, scratch
+
+    plans = {}
+    keep = scratch.Scratch.keep
+    monkeypatch.setattr(scratch.Scratch, "keep", lambda self, df, name: (plans.update({name: df}), keep(self, df, name))[1])
+    t = spark.createDataFrame([(p, i, 1.0) for p in range(9) for i in range(3)], "project_id int, id int, expected double")
+    e = spark.createDataFrame([(p, i, i + 1) for p in range(9) for i in range(2)], "project_id int, predecessor_id int, successor_id int")
+    plans["drag"] = G.drag(G.cpm_backward(G.cpm_forward(t, e), e))
+    lines = spark.range(30).selectExpr("id div 3 as l_orderkey", "cast(id % 3 as int) as l_linenumber", "1.0d as l_quantity", "timestamp '1998-01-01' as l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans["edge"] = adapters.view(spark, str(tmp_path), "edge")
+    plan = {k: df._jdf.queryExecution().sparkPlan().toString() for k, df in plans.items()}
+    # What rests on the projects of over MOST_ROWS rows alone is small at any size.
+    joins = {k: text.count("BroadcastHashJoin") for k, text in plan.items() if k != "chains"}
+    assert {"schedule", "cover", "drag", "edge"} <= set(joins) and not any(joins.values())
+    assert plans["drag"].count() == 27 and plans["edge"].count() == 30
