@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import civic_numbers, normalize_job, normalize_name, prefix_candidates, street_signature
+from ..scratch import shuffled
 from .textjoin import contained, contained_targets, matching_ratio, near_texts
 from .windows import distributed_rank
 
@@ -134,12 +135,19 @@ def resolve_project_ref(refs: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def civic_match(names: DataFrame, projects: DataFrame) -> DataFrame:
-    """Names (``key``) to projects by a civic number only one project shares, else by equal normalised names, if unique."""
+    """Names (``key``) to projects by a civic number only one project shares, else by equal normalised names, if unique.
+
+    A name meets two projects at most by each number and by its text, so names and projects
+    that share a number are never paired with one another.
+    """
     keys = names.select("key").distinct()
     own = keys.select("key", F.explode(civic_numbers(F.col("key"))).alias("civic"))
     dim = projects.select(F.col("id").alias("target"), F.explode(civic_numbers(F.col("name"))).alias("civic"))
-    by_civic = own.join(dim, "civic").select("key", "target").distinct()
-    by_name = keys.withColumn("n", normalize_name(F.col("key"))).filter("n <> ''").join(projects.select(F.col("id").alias("target"), normalize_name(F.col("name")).alias("n")), "n").select("key", "target")
+    # There are 111,000 numbers of 3 to 5 digits at most.
+    shared = F.broadcast(_ends(dim, "civic"))
+    named = shuffled(_ends(projects.select(F.col("id").alias("target"), normalize_name(F.col("name")).alias("n")), "n"))
+    by_civic = own.join(shared, "civic").select("key", F.explode("targets").alias("target"))
+    by_name = keys.withColumn("n", normalize_name(F.col("key"))).filter("n <> ''").join(named, "n").select("key", F.explode("targets").alias("target"))
     return precedence_join(keys, [Strategy(by_civic, "civic", 1.0, True), Strategy(by_name, "name", 1.0, True)])
 
 

@@ -121,3 +121,16 @@ def test_search_equals_ranking_all_chunks(spark, monkeypatch, top_k, least, most
     got = sorted(tuple(r) for r in R.hybrid_search(asked, df, top_k=top_k, min_similarity=least).collect())
     assert got == plain_search(queries, chunks, top_k, least)
     assert R.hybrid_search(asked, df.limit(0)).count() == 0 and R.hybrid_search(asked.limit(0), df).count() == 0
+
+
+def test_names_and_projects_of_one_civic_number_are_not_paired(spark, monkeypatch):
+    projects = spark.createDataFrame([(i, "100 Rue Saint Paul") for i in range(300)] + [(900, "200-202 Depot"), (901, "300 Mill"), (902, "Yard"), (903, "yard!")], "id long, name string")
+    names = spark.createDataFrame([(f"100 site {i}",) for i in range(300)] + [("200 north",), ("300-100 x",), ("100-101 rue saint paul",), ("100 rue saint paul",), ("YARD",), ("202 300",), (None,), ("",)], "key string")
+    found = []
+    join = J.precedence_join
+    monkeypatch.setattr(J, "precedence_join", lambda keys, tiers: (found.extend(t.candidates.count() for t in tiers), join(keys, tiers))[1])
+    got = {r.key: (r.target, r.method) for r in J.civic_match(names, projects).collect()}
+    # Two projects at most for each number of a name, and for its text.
+    assert found[0] <= 2 * (300 + 7) and found[1] <= 2 * 8
+    assert {k: v for k, v in got.items() if not (k or "").startswith("100 site")} == {"200 north": (900, "civic"), "300-100 x": (None, "unresolved"), "100-101 rue saint paul": (None, "unresolved"), "100 rue saint paul": (None, "unresolved"), "YARD": (None, "unresolved"), "202 300": (None, "unresolved"), None: (None, "unresolved"), "": (None, "unresolved")}
+    assert len(got) == 308 and all(v == (None, "unresolved") for k, v in got.items() if (k or "").startswith("100 site"))
