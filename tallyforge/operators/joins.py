@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import civic_numbers, normalize_job, normalize_name, prefix_candidates, street_signature
-from ..scratch import shuffled
+from ..scratch import Scratch, shuffled
 from .textjoin import contained, contained_targets, matching_ratio, near_texts
 from .windows import distributed_rank
 
@@ -122,16 +122,23 @@ def resolve_project_ref(refs: DataFrame, projects: DataFrame) -> DataFrame:
     ``projects`` may have ``legacy_number`` (text) and ``aliases`` (array of texts). Case
     and blanks around a reference do not count.
     """
-    keys = refs.select("key").filter("trim(key) <> ''").distinct().withColumn("ref", F.lower(F.trim("key")))
-    equal = lambda c, dim: keys.join(dim.select(F.col("id").alias("target"), F.lower(c).alias("ref")), "ref").select("key", "target")
+    trimmed = lambda df: df.select("key").filter("trim(key) <> ''").distinct().withColumn("ref", F.lower(F.trim("key")))
+    keys = trimmed(refs)
+
+    def equal(c: Column, dim: DataFrame) -> DataFrame:
+        return keys.join(shuffled(dim.groupBy(F.lower(c).alias("ref")).agg(F.min("id").alias("target"))), "ref").select("key", "target")
+
     tiers = [Strategy(equal(F.col("id").cast("string"), projects), "id", 1.0), Strategy(equal(F.col("code"), projects), "code", 1.0)]
     if "legacy_number" in projects.columns:
         tiers.append(Strategy(equal(F.col("legacy_number"), projects), "legacy_number", 0.95))
     if "aliases" in projects.columns:
         tiers.append(Strategy(equal(F.trim("alias"), projects.select("id", F.explode("aliases").alias("alias"))), "alias", 0.9))
+    # Only what no other tier resolves is looked for in names.
+    first = Scratch(refs.sparkSession).keep(precedence_join(refs.select("key").distinct(), tiers), "first")
+    rest = first.filter("target is null").select("key")
     dim = projects.select(F.col("id").alias("target"), F.lower("name").alias("pname"))
-    tiers.append(Strategy(contained_targets(keys, "ref", dim, "pname", name_in_text=False), "name", 0.8))
-    return precedence_join(refs.select("key").distinct(), tiers)
+    named = Strategy(contained_targets(trimmed(rest), "ref", dim, "pname", name_in_text=False), "name", 0.8)
+    return first.filter("target is not null").unionByName(precedence_join(rest, [named]))
 
 
 def civic_match(names: DataFrame, projects: DataFrame) -> DataFrame:

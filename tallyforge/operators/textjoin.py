@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Characters of the grams on which a text meets what holds it.
-GRAM = 3
-#: Bytes of needles that are broadcast at most; beyond, both sides are shuffled by gram.
-MOST_BYTES = 32 << 20
+from ..scratch import shuffled
+
+#: Characters of the grams on which a text meets what holds it: the most that it has. Twice the one before,
+#: so that a long text, one number among millions for instance, meets few that do not hold it.
+GRAMS = (1, 2, 3, 6, 12, 24)
+#: Bytes of needles that are broadcast at most, ROW_BYTES for each row besides its text; beyond, both sides are shuffled by gram.
+MOST_BYTES, ROW_BYTES = 32 << 20, 100
 #: Segments beyond those that edits can spoil: so many of the most frequent ones are left out.
 SPARE = 2
 
@@ -32,23 +35,25 @@ def _grams(text: Column, size: Column) -> Column:
 def contained(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
     """(needle, hay): every pair of distinct texts, not empty, of which ``hay`` holds ``needle``.
 
-    A needle meets the texts that hold the rarest of its grams, its own text where it
-    is shorter than GRAM. Needles of a checked size are broadcast, so long texts stay
+    A needle meets the texts that hold the rarest of its grams of the longest of GRAMS
+    that it has. Needles of a checked size are broadcast, so long texts stay
     where they are; more of them are shuffled by gram.
     """
     own = needles.filter(F.length(needle) > 0).select(F.col(needle).alias("needle")).distinct()
     held = hays.filter(F.length(hay) > 0).select(F.col(hay).alias("hay")).distinct()
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    # At most GRAM numbers and one sum come back.
-    known = own.groupBy(size.alias("size")).agg(F.sum(F.octet_length("needle")).alias("bytes")).collect()
+    size = F.lit(GRAMS[0])
+    for n in GRAMS[1:]:
+        size = F.when(F.length("needle") >= n, n).otherwise(size)
+    # A number and a sum for each of GRAMS come back at most.
+    known = own.groupBy(size.alias("size")).agg(F.sum(F.octet_length("needle") + ROW_BYTES).alias("bytes")).collect()
     if not known:
         return own.withColumn("hay", F.col("needle")).filter(F.lit(False))
     grams = held.withColumn("gram", F.explode(F.flatten(F.array(*[_grams(F.col("hay"), F.lit(r["size"])) for r in known]))))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    met = own.withColumn("gram", F.explode(_grams(F.col("needle"), size))).join(counts, "gram", "left")
+    met = own.withColumn("gram", F.explode(_grams(F.col("needle"), size))).join(shuffled(counts), "gram", "left")
     rarest = met.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0").select("needle", F.col("m.gram").alias("gram"))
     small = sum(r["bytes"] for r in known) <= MOST_BYTES
-    return grams.join(F.broadcast(rarest) if small else rarest, "gram").filter(F.contains("hay", "needle")).select("needle", "hay")
+    return grams.join(F.broadcast(rarest) if small else shuffled(rarest), "gram").filter(F.contains("hay", "needle")).select("needle", "hay")
 
 
 def contained_targets(keys: DataFrame, text: str, names: DataFrame, name: str, *, name_in_text: bool = True, text_in_name: bool = True) -> DataFrame:
@@ -60,8 +65,8 @@ def contained_targets(keys: DataFrame, text: str, names: DataFrame, name: str, *
     if text_in_name:
         pairs.append(contained(keys, text, ends, "_name").select(F.col("needle").alias("_text"), F.col("hay").alias("_name")))
     met = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
-    found = met.join(ends, "_name").select("_text", F.explode("_targets").alias("target")).distinct()
-    return keys.select("key", F.col(text).alias("_text")).join(found, "_text").select("key", "target")
+    found = met.join(shuffled(ends), "_name").select("_text", F.explode("_targets").alias("target")).distinct()
+    return keys.select("key", F.col(text).alias("_text")).join(shuffled(found), "_text").select("key", "target")
 
 
 def edits(threshold: float, ratio: bool) -> tuple[Callable[[Column, Column], Column], float]:

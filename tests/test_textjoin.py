@@ -134,3 +134,25 @@ def test_names_and_projects_of_one_civic_number_are_not_paired(spark, monkeypatc
     assert found[0] <= 2 * (300 + 7) and found[1] <= 2 * 8
     assert {k: v for k, v in got.items() if not (k or "").startswith("100 site")} == {"200 north": (900, "civic"), "300-100 x": (None, "unresolved"), "100-101 rue saint paul": (None, "unresolved"), "100 rue saint paul": (None, "unresolved"), "YARD": (None, "unresolved"), "202 300": (None, "unresolved"), None: (None, "unresolved"), "": (None, "unresolved")}
     assert len(got) == 308 and all(v == (None, "unresolved") for k, v in got.items() if (k or "").startswith("100 site"))
+
+
+def test_references_and_projects_are_joined_without_the_driver(spark, monkeypatch):
+    """Files of a few MB hold a million projects: neither they nor needles of many rows go to the driver."""
+    from tallyforge import scratch
+
+    monkeypatch.setattr(X, "MOST_BYTES", 2000)
+    plans = []
+    keep = scratch.Scratch.keep
+    monkeypatch.setattr(scratch.Scratch, "keep", lambda self, df, name: (plans.append(df), keep(self, df, name))[1])
+    projects = spark.createDataFrame([(i, f"J{i}", f"Customer#{i:06d}", f"old-{i}", ["x", f"The {i}"]) for i in range(200)], "id long, code string, name string, legacy_number string, aliases array<string>")
+    refs = [("7",), ("j9",), (" OLD-11 ",), ("the 13",), ("X",), ("OMER#000150",), ("0001",), ("19",), ("none",), ("",), (None,)] + [(f"R#{i:06d}",) for i in range(100)]
+    done = J.resolve_project_ref(spark.createDataFrame(refs, "key string"), projects)
+    plans.append(done)
+    joins = [df._jdf.queryExecution().sparkPlan().toString() for df in plans]
+    assert not sum(text.count("BroadcastHashJoin") for text in joins)
+    got = {r.key: (r.target, r.method) for r in done.collect()}
+    assert {k: v for k, v in got.items() if not (k or "").startswith("R#")} == {
+        "7": (7, "id"), "j9": (9, "code"), " OLD-11 ": (11, "legacy_number"), "the 13": (13, "alias"), "X": (0, "alias"), "OMER#000150": (150, "name"), "0001": (1, "name"), "19": (19, "id"),
+        "none": (None, "unresolved"), "": (None, "unresolved"), None: (None, "unresolved"),
+    }
+    assert all(got[f"R#{i:06d}"] == (i, "name") for i in range(100))
