@@ -248,3 +248,34 @@ def test_lines_are_numbered_across_blocks_of_a_file(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {(f, i, (f"x{i}", str(i)), ("name", "amount")) for f in "ab" for i in range(1, 1000) if i % 5}
+
+
+def method_sizes(spark, df):
+    """Bytes of the largest method that Spark writes for each stage of a plan; the JVM compiles none of over 8,000."""
+    debug = spark._jvm.org.apache.spark.sql.execution.debug
+    stages = getattr(debug, "package$").__getattr__("MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+
+
+def test_grids_are_read_once_by_code_that_is_compiled(spark):
+    sheet = "x\nDescription,Notes,Material Amount,Labour Amount,Total Amount\nTiles,,,,5\n a,,1,,\nMisc,Div. 22,,,(7)\n" + '"b, c",,"$1,000.50",(2),\n,,,,\nMaterial,,,,Total Amount\n,,Grand,,9'
+    docs = spark.createDataFrame([(1, "q", sheet), (2, "q", sheet.replace("\n", "\r\n")), (3, "q", "nothing"), (4, "q", None), (None, "q", sheet)], "document_id int, name string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = L.parse_quote_grid(L.grid_lines(L.split_workbook_sections(docs)))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("posexplode") == 2
+        assert max(method_sizes(spark, rows)) < 8000
+        got = Counter((r.document_id, r.line, r.kind, r.division_code, r.amount_type, str(r.amount), r.description) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    one = [(2, "division_total", "09", "total", "5.00", "Tiles"), (3, "line_item", "09", "material", "1.00", "a"), (4, "division_total", "22", "total", "-7.00", "Misc"), (5, "line_item", "22", "material", "1000.50", "b, c"), (5, "line_item", "22", "labour", "-2.00", "b, c"), (8, "other_total", "22", "total", "9.00", "")]
+    one[-1] = (8, "pre_tax", *one[-1][2:])
+    assert got == Counter((d, *r) for d in (1, 2) for r in one)
+
+
+def test_divisions_by_code_hint_and_text(spark):
+    cases = [("Div. 9", "plumbing", "09"), ("1012", None, "10-12"), ("77", "demo of walls", "02"), ("tiles", "plumbing", "09"), ("", "PLUMBING", "22"), (None, "Profits", "01"), (None, None, "99"), ("  ", "nothing", "99"), ("x", "demolitions", "02")]
+    df = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(cases)], "k int, hint string, text string")
+    done = df.select("k", M.classify_division(F.col("hint"), F.col("text")).alias("d"))
+    assert [r.d for r in done.orderBy("k").collect()] == [c[2] for c in cases]
