@@ -279,3 +279,22 @@ def test_divisions_by_code_hint_and_text(spark):
     df = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(cases)], "k int, hint string, text string")
     done = df.select("k", M.classify_division(F.col("hint"), F.col("text")).alias("d"))
     assert [r.d for r in done.orderBy("k").collect()] == [c[2] for c in cases]
+
+
+def test_ledger_reads_documents_once_for_their_lines(spark):
+    grid = "Description,Notes,Material Amount,Labour Amount,Total Amount\nTiles,,,,5\n a,,1,2,"
+    orders = "CO #,Item,Cost,Total,Status\n1,door,1,10,Accepted\n2,door,1,20,"
+    rows = [
+        (1, "101 QUOTE", grid), (2, "Extras", orders), (3, "extras", grid), (4, "101 accepted quote", f"### Quote\n{grid}\n### Extras\n{orders}\n### Quote B\n{grid}"), (5, "plan", "\n" * 7 + "an estimate\n" + grid), (6, "plan", "\n" * 8 + "an estimate\n" + grid),
+        (7, "quote", "USD\n" + grid), (8, "quote", "\n" * 20 + "USD\n" + grid), (9, "job costing quote", grid), (10, "quote", None),
+    ]
+    docs = spark.createDataFrame(rows, "document_id int, name string, text string")
+    found, outcome = L.ledger_from_documents(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Lines come from what was written; the documents' own rows are read for units and currency alone.
+    assert "posexplode" not in plan and plan.count("BroadcastHashJoin") == 0
+    got = Counter((r.document_id, r.source, r.amount_type, float(r.amount), r.division_code, r.status, r.currency) for r in found.collect())
+    sheet = lambda d, status="unknown", currency="CAD": {(d, "grid", "total", 5.0, "09", status, currency): 1, (d, "grid", "material", 1.0, "09", status, currency): 1, (d, "grid", "labour", 2.0, "09", status, currency): 1}
+    change = lambda d, second: {(d, "extras", "adjustment", 10.0, "08", "accepted", "CAD"): 1, (d, "extras", "adjustment", 20.0, "08", second, "CAD"): 1}
+    assert got == Counter(sheet(1) | change(2, "unknown") | sheet(3) | change(4, "unknown") | sheet(4, "accepted") | sheet(5) | sheet(7, currency="USD") | sheet(8))
+    assert {r.document_id: (r.outcome, r.rows_written) for r in outcome.collect()} == {1: ("parsed", 3), 2: ("parsed", 2), 3: ("parsed", 3), 4: ("parsed", 5), 5: ("parsed", 3), 6: ("skipped:unsupported_layout", 0), 7: ("parsed", 3), 8: ("parsed", 3), 9: ("skipped:unsupported_layout", 0), 10: ("skipped:no_text", 0)}
